@@ -22,15 +22,12 @@ def technical(f: Frame) -> Frame:
     windows = (5, 10, 20, 50, 100, 200)
     emas = {f"ema_{w}": ("close", w) for w in windows}
     f = f.ema(emas | {"__e12": ("close", 12), "__e26": ("close", 26)})
-    step = f.diff("close")
     f = f.add(
         {f"sma_{w}": f.mean("close", w) for w in windows}
         | {f"return_{w}d": f.change("close", w) for w in (1, 3, 5, 7, 14, 21)}
         | {f"high_{w}d_dist": div(c("close") - f.max("high", w), "close") for w in (14, 21, 50)}
         | {f"low_{w}d_dist": div(c("close") - f.min("low", w), "close") for w in (14, 21, 50)}
         | {
-            "__gain": at_least(step, 0.0),
-            "__loss": at_least(-step, 0.0),
             "__tr": true_range(f),
             "__std": f.std("close", 20),
             "__lo": f.min("low", 14),
@@ -41,7 +38,6 @@ def technical(f: Frame) -> Frame:
     f = f.add(
         {f"sma_cross_{a}_{b}": c(f"sma_{a}") - c(f"sma_{b}") for a, b in ((5, 20), (10, 50), (50, 200))}
         | {f"price_vs_sma_{w}": div(c("close") - c(f"sma_{w}"), f"sma_{w}") for w in (20, 50, 200)}
-        | {f"rsi_{w}": _rsi(f, w) for w in (6, 14, 28)}
         | {f"atr_{w}": f.mean("__tr", w) for w in (14, 21)}
         | {f"volatility_{w}d": f.std("return_1d", w) for w in (5, 10, 20)}
         | {
@@ -50,7 +46,7 @@ def technical(f: Frame) -> Frame:
             "stoch_k_14": div(100 * (c("close") - c("__lo")), c("__hi") - c("__lo") + EPS),
         }
     )
-    f = f.ema({"macd_signal": ("macd", 9)})
+    f = rsi(f, (6, 14, 28)).ema({"macd_signal": ("macd", 9)})
     f = f.add(
         {f"atr_pct_{w}": div(f"atr_{w}", "close") for w in (14, 21)}
         | {
@@ -60,12 +56,15 @@ def technical(f: Frame) -> Frame:
             "stoch_d_14": f.mean("stoch_k_14", 3),
         }
     )
-    return f.drop("__gain", "__loss", "__tr", "__std", "__lo", "__hi", "__e12", "__e26")
+    return f.drop("__tr", "__std", "__lo", "__hi", "__e12", "__e26")
 
 
-def _rsi(f: Frame, w: int):
-    strength = ratio(f.mean("__gain", w), f.mean("__loss", w))
-    return 100 - div(F.lit(100.0), 1 + strength)
+def rsi(f: Frame, windows: tuple[int, ...]) -> Frame:
+    """Relative strength from plain means of rises and falls."""
+    step = f.diff("close")
+    f = f.add({"__gain": at_least(step, 0.0), "__loss": at_least(-step, 0.0)})
+    strength = {w: ratio(f.mean("__gain", w), f.mean("__loss", w)) for w in windows}
+    return f.add({f"rsi_{w}": 100 - div(F.lit(100.0), 1 + s) for w, s in strength.items()}).drop("__gain", "__loss")
 
 
 @register_feature_set("volume", lookback=55)
