@@ -157,23 +157,31 @@ def threshold_score(metric: str) -> Column:
     raise ValueError(f"unknown threshold metric '{metric}', use one of {THRESHOLD_METRICS}")
 
 
+def best_thresholds(table: DataFrame, by: Sequence[str], goals: dict[str, tuple[str, float]]) -> DataFrame:
+    """Best threshold per group for several goals, name -> (metric, least precision), in one pass."""
+    best = []
+    for name, (metric, least) in goals.items():
+        usable = (c("tp") + c("fp") > 0) & (c("tn") + c("fn") > 0)
+        if least > 0:
+            usable = usable & (_safe(c("tp"), c("tp") + c("fp")) >= least)
+        score = F.when(usable, threshold_score(metric))
+        # largest score first, then the lowest threshold
+        pair = F.when(score.isNotNull(), F.struct(score.alias("score"), (-c("threshold")).alias("t")))
+        best.append(F.max(pair).alias(name))
+    out = table.groupBy(*by).agg(*best)
+    rows = F.array(*[F.struct(F.lit(n).alias("goal"), c(f"`{n}`").alias("b")) for n in goals])
+    return out.select(*by, F.explode(rows).alias("r")).select(
+        *by, "r.goal", F.coalesce(-c("r.b.t"), F.lit(0.5)).alias("best_threshold"), c("r.b.score").alias("best_score")
+    )
+
+
 def optimize_threshold(
     scored: DataFrame, by: Sequence[str] = (), metric: str = "f1", thresholds: Sequence[float] = THRESHOLDS,
     min_precision: float = 0.0, proba: str = "proba", y: str = "y_true",
 ) -> DataFrame:
     """Best threshold per group; the lowest wins ties, 0.5 when none is usable."""
-    usable = (c("tp") + c("fp") > 0) & (c("tn") + c("fn") > 0)
-    if min_precision > 0:
-        usable = usable & (_safe(c("tp"), c("tp") + c("fp")) >= min_precision)
-    table = threshold_table(scored, by, thresholds, proba, y).withColumn(
-        "score", F.when(usable, threshold_score(metric))
-    )
-    # largest score first, then the lowest threshold
-    best = F.max(F.when(c("score").isNotNull(), F.struct(c("score"), (-c("threshold")).alias("t"))))
-    out = table.groupBy(*by).agg(best.alias("best"))
-    return out.select(
-        *by, F.coalesce(-c("best.t"), F.lit(0.5)).alias("best_threshold"), c("best.score").alias("best_score")
-    )
+    table = threshold_table(scored, by, thresholds, proba, y)
+    return best_thresholds(table, by, {"best": (metric, min_precision)}).drop("goal")
 
 
 def apply_threshold(proba: str | Column, threshold: str | float | Column) -> Column:
