@@ -1,12 +1,165 @@
-"""placeholder"""
+"""Walk-forward training and evaluation, and the bull/bear ensemble."""
+
+from __future__ import annotations
+
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+import tidebar.features  # noqa: F401
+import tidebar.models  # noqa: F401
+from tidebar.features.builder import apply_null_policy, build_frame, feature_columns
+from tidebar.functions.scalars import flag, map_values
+from tidebar.models.base import LABEL, Fitted, create_model
+from tidebar.models.calibration import calibrated
+from tidebar.operators.folds import FoldPlan, number_rows, regime_weight, train_end
+from tidebar.operators.labels import get_label_strategy, label_lookback
+from tidebar.operators.metrics import compute_metrics, optimize_threshold
+from tidebar.session import materialize
+
 c = F.col
 
 
+@dataclass
+class Experiment:
+    """Everything that defines one run."""
+
+    sets: list[str]
+    label: str = "reversal"
+    label_params: dict[str, Any] = field(default_factory=lambda: {"T": 14, "X": 0.08})
+    label_map: dict[int, int] | None = None
+    null_policy: str = "ffill_then_drop"
+    model: str = "boosted_trees"
+    model_params: dict[str, Any] = field(default_factory=dict)
+    top_n: int = 0
+    plan: FoldPlan = field(default_factory=FoldPlan)
+    metrics: list[str] | None = None
+    threshold_optimize: bool = False
+    threshold_metric: str = "f1"
+    threshold_val_ratio: float = 0.15
+    holdout: bool = False  # fit before the threshold tail instead of including it
+    calibrate: str = "none"
+    regime_weights: dict[str, float] | None = None
+    regime_column: str = "regime_price_vs_ma200"
+
+
+@dataclass
+class Result:
+    """Tables of one run."""
+
+    predictions: DataFrame
+    folds: list[dict[str, Any]]
+    features: list[str]
+    last_model: Fitted
+
+    def fold_metrics(self, names: Sequence[str] | None = None) -> DataFrame:
+        return compute_metrics(self.predictions, ["fold_id"], names)
+
+    def pooled_metrics(self, names: Sequence[str] | None = None, once: bool = False) -> DataFrame:
+        """All test rows; ``once`` counts rows of overlapping folds a single time (latest fold)."""
+        preds = self.predictions
+        if once:
+            last = F.max_by(F.struct("y_true", "y_pred"), "fold_id").alias("r")
+            preds = preds.groupBy("symbol", "ts").agg(last).select("symbol", "ts", "r.*")
+        return compute_metrics(preds, (), names)
+
+    def importance(self) -> DataFrame:
+        rows = [(n, float(v)) for n, v in self.last_model.importance()]
+        return self.predictions.sparkSession.createDataFrame(rows, "feature string, importance double")
+
+
+def prepare(bars: DataFrame, exp: Experiment, sources: dict[str, DataFrame] | None = None, **layout) -> DataFrame:
+    """Complete feature rows with their label and position, written once for all folds."""
+    horizon = exp.label_params.get("T", 14)
+    f = build_frame(bars, exp.sets, sources, lookahead=horizon, extra_lookback=label_lookback(exp.label_params), **layout)
+    f = get_label_strategy(exp.label)(f, **exp.label_params)
+    names = [x for x in f.columns if x not in ("symbol", "ts", LABEL)]
+    labels = f.add({"__label": c(LABEL)}).drop(LABEL)
+    df = apply_null_policy(labels, exp.null_policy).add({LABEL: c("__label")}).finish()
+    df = df.na.drop(subset=names).filter(c(LABEL).isNotNull())
+    if exp.label_map:
+        df = df.withColumn(LABEL, map_values(LABEL, exp.label_map)).filter(c(LABEL).isNotNull())
+    return materialize(number_rows(df))
+
+
+def select_features(rows: DataFrame, features: list[str], exp: Experiment) -> list[str]:
+    """Top-n features by importance on the first training rows, in their original order."""
+    if not 0 < exp.top_n < len(features):
+        return features
+    first = rows.filter(c("row_idx") < F.least(F.lit(exp.plan.init_train), c("n_rows") - 100))
+    fitted = create_model(exp.model, exp.model_params).fit(first, features)
+    best = sorted(fitted.importance(), key=lambda p: -p[1])[: exp.top_n]
+    chosen = {name for name, _ in best}
+    return [f for f in features if f in chosen]
+
+
+def run_fold(rows: DataFrame, features: list[str], exp: Experiment, fold_id: int) -> tuple[DataFrame, dict, Fitted]:
+    """Train on the fold's prefix (minus purge), score its test window."""
+    plan, end = exp.plan, train_end(exp.plan, fold_id)
+    start = plan.init_train + fold_id * plan.step
+    usable = c("n_rows") >= start + plan.oos_window  # series that have this fold
+    train = rows.filter(usable & (c("row_idx") < end))
+    test = rows.filter(usable & (c("row_idx") >= start) & (c("row_idx") < start + plan.oos_window))
+    tail_from = end - max(int(end * exp.threshold_val_ratio), 50)
+    fit_rows = train.filter(c("row_idx") < tail_from) if exp.threshold_optimize and exp.holdout else train
+    weight = None
+    if exp.regime_weights and exp.regime_column in rows.columns:
+        fit_rows = fit_rows.withColumn("__sample", regime_weight(exp.regime_column, exp.regime_weights))
+        weight = "__sample"
+    model = create_model(exp.model, exp.model_params)
+    if exp.calibrate != "none":
+        fitted = calibrated(model, fit_rows, features, exp.calibrate, weight=weight)
+    else:
+        fitted = model.fit(fit_rows, features, weight)
+    scored = fitted.score(test)
+    info = {"fold_id": fold_id, "train_size": end, "test_size": plan.oos_window, "threshold": fitted.threshold}
+    if exp.threshold_optimize:
+        valid = fitted.score(train.filter(c("row_idx") >= tail_from))
+        best = optimize_threshold(valid, (), exp.threshold_metric, y=LABEL).first()
+        info["threshold"] = float(best["best_threshold"]) if best else 0.5
+        scored = scored.withColumn("y_pred", (c("proba") >= info["threshold"]).cast("int"))
+    out = scored.select(
+        "symbol", "ts", F.lit(fold_id).alias("fold_id"), c(LABEL).alias("y_true"), "y_pred", "proba"
+    )
+    return materialize(out), info, fitted
+
+
+def walk_forward(rows: DataFrame, features: list[str], exp: Experiment, parallel: int = 4) -> Result:
+    """All folds of prepared rows.
+
+    Folds are independent; a few are submitted at a time so that the many
+    small jobs of tree training overlap.  Each fold's predictions are written
+    out, so a lost executor costs at most one fold.
+    """
+    longest = rows.agg(F.max("n_rows")).first()[0] or 0
+    plan = exp.plan
+    if plan.init_train >= longest or longest < plan.init_train + plan.oos_window:
+        raise ValueError(f"no fold fits: longest series has {longest} rows")
+    count = (longest - plan.init_train - plan.oos_window) // plan.step + 1
+    ids = [k for k in range(count) if train_end(plan, k) > 0]
+    if not ids:
+        raise ValueError("the purge gap removes all training rows")
+    with ThreadPoolExecutor(max_workers=parallel) as pool:
+        done = list(pool.map(lambda k: run_fold(rows, features, exp, k), ids))
+    preds = done[0][0]
+    for p, _, _ in done[1:]:
+        preds = preds.unionByName(p)
+    return Result(preds, [i for _, i, _ in done], features, done[-1][2])
+
+
+def run_experiment(
+    bars: DataFrame, exp: Experiment, sources: dict[str, DataFrame] | None = None, parallel: int = 4, **layout
+) -> Result:
+    """Bars to out-of-sample predictions: features, labels, selection, walk-forward."""
+    rows = prepare(bars, exp, sources, **layout)
+    features = [f for f in feature_columns(rows) if f not in ("row_idx", "n_rows")]
+    return walk_forward(rows, select_features(rows, features, exp), exp, parallel)
+
+
 def combine_by_regime(
     bull: DataFrame, bear: DataFrame, regime: DataFrame, keys: Sequence[str] = ("symbol", "ts", "fold_id")
 ) -> DataFrame:
@@ -23,3 +176,24 @@ def regime_counts(combined: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.sum((c("regime_bull") == 1).cast("long")).alias("n_bull"),
         F.sum((c("regime_bull") == 0).cast("long")).alias("n_bear"),
     )
+
+
+def run_ensemble(
+    bars: DataFrame, bull: Experiment, bear: Experiment, sources: dict[str, DataFrame] | None = None,
+    parallel: int = 4, **layout
+) -> tuple[Result, Result, DataFrame]:
+    """Two walk-forward runs on common rows and features, switched by the 200-row mean."""
+    bull_rows, bear_rows = prepare(bars, bull, sources, **layout), prepare(bars, bear, sources, **layout)
+    keep = bull_rows.select("symbol", "ts").join(bear_rows.select("symbol", "ts"), ["symbol", "ts"])
+    keep = materialize(keep)
+    shared = [f for f in feature_columns(bull_rows) if f in bear_rows.columns and f not in ("row_idx", "n_rows")]
+
+    def common(rows: DataFrame) -> DataFrame:
+        return materialize(number_rows(rows.drop("row_idx", "n_rows").join(keep, ["symbol", "ts"], "left_semi")))
+
+    bull_result = walk_forward(common(bull_rows), shared, bull, parallel)
+    bear_result = walk_forward(common(bear_rows), shared, bear, parallel)
+    f = build_frame(bars, ["regime"], **layout)
+    regime = f.finish().select("symbol", "ts", flag(c("close") > c("sma_200")).alias("regime_bull"))
+    combined = combine_by_regime(bull_result.predictions, bear_result.predictions, regime)
+    return bull_result, bear_result, combined
