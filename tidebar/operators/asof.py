@@ -50,14 +50,14 @@ def asof_join(
     both = materialize(both)
     extent = series_extent(both, by, ts)
     order = [ts, "__side"]  # source rows of the same time come first
-    if extent[0] <= block_rows:
+    if extent.longest <= block_rows:
         upto = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         filled = both.select(
             *by, ts, "__side", "__l", *[F.last(s, ignorenulls=True).over(upto).alias(s) for s in slots]
         )
     else:
         width = choose_bucket_width(both, by, ts, extent, block_rows)
-        keyed = both.withColumn("__bkt", bucket_column(ts, extent[1], width))
+        keyed = both.withColumn("__bkt", bucket_column(ts, extent.lo, width))
         latest = keyed.groupBy(*by, "__bkt").agg(
             *[F.max_by(s, F.when(F.col(s).isNotNull(), F.col(ts))).alias(f"{s}_end") for s in slots]
         )

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tidebar.functions.scalars import col, div
 from tidebar.operators.scan import (
+    Extent,
     bucket_column,
     choose_bucket_width,
     combine,
@@ -80,8 +81,7 @@ class Frame:
 
     def add(self, cols: dict[str, Column]) -> Frame:
         """One layer of new (or replaced) columns in a single projection."""
-        keep = [c for c in self.df.columns if c not in cols]
-        return replace(self, df=self.df.select(*keep, *[e.alias(n) for n, e in cols.items()]))
+        return replace(self, df=self.df.withColumns(cols)) if cols else self
 
     def drop(self, *names: str) -> Frame:
         return replace(self, df=self.df.drop(*names))
@@ -256,6 +256,16 @@ class Frame:
         return out.drop(*zs, *prevs, "__li", *[f"__seg{s}" for s in segs])
 
 
+def task_count(df: DataFrame, extent: Extent, block_rows: int) -> int:
+    """Partitions for the window stage: about one block of rows each.
+
+    Windows are compute-bound and widen rows a lot, so the count follows the
+    rows, not the bytes; few small series are spread over the local cores.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-extent.rows // block_rows), min(2 * extent.series, cores))
+
+
 def lay_out(
     rows: DataFrame,
     by: Sequence[str] = ("symbol",),
@@ -278,12 +288,13 @@ def lay_out(
     if not materialized:
         rows = materialize(rows)
     extent = series_extent(rows, by, ts)
-    if extent[0] <= block_rows:
+    if extent.longest <= block_rows:
+        rows = rows.repartition(task_count(rows, extent, block_rows), *by)
         frame = Frame(rows, by, ts, False, block_rows, cell_rows)
         return frame.add({"__rn": (F.row_number().over(frame.order) - 1).cast("long")})
 
     width = choose_bucket_width(rows, by, ts, extent, block_rows)
-    keyed = rows.withColumn("__bkt", bucket_column(ts, extent[1], width))
+    keyed = rows.withColumn("__bkt", bucket_column(ts, extent.lo, width))
     counts = keyed.groupBy(*by, "__bkt").agg(F.count(F.lit(1)).alias("__cnt"))
     starts = prefix_scan(counts, by, "__bkt", {"__start": ("sum", F.col("__cnt"))})
     halo_cells = -(-lookback // cell_rows) + 1 if lookback else 0  # one more cell to warm up running inputs
@@ -295,6 +306,7 @@ def lay_out(
     shipped = (
         keyed.join(targets, [*by, "__bkt"]).withColumn("__blk", F.explode("__to")).drop("__bkt", "__to")
     )
+    shipped = shipped.repartition(task_count(rows, extent, block_rows), *by, "__blk")
     frame = Frame(shipped, by, ts, True, block_rows, cell_rows, halo_cells)
     upto = frame.order.rowsBetween(Window.unboundedPreceding, 0)
     frame = frame.add(

@@ -8,6 +8,7 @@ groups is done in two levels, so each window group stays below ``FAN`` rows
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,13 +82,24 @@ def micros(ts: str | Column) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
-def series_extent(df: DataFrame, by: Sequence[str], ts: str) -> tuple[int, int, int]:
-    """(rows of the longest series, first micros, last micros): one small job."""
+@dataclass(frozen=True)
+class Extent:
+    """Size of a table of series: longest series, all rows, series, time range (micros)."""
+
+    longest: int
+    rows: int
+    series: int
+    lo: int
+    hi: int
+
+
+def series_extent(df: DataFrame, by: Sequence[str], ts: str) -> Extent:
+    """One small job: per-series counts, reduced to a single row."""
     per = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.min(micros(ts)).alias("lo"), F.max(micros(ts)).alias("hi")
     )
-    row = per.agg(F.max("n"), F.min("lo"), F.max("hi")).first()
-    return int(row[0] or 0), int(row[1] or 0), int(row[2] or 0)
+    row = per.agg(F.max("n"), F.sum("n"), F.count(F.lit(1)), F.min("lo"), F.max("hi")).first()
+    return Extent(*[int(v or 0) for v in row])
 
 
 def bucket_column(ts: str, lo: int, width: int) -> Column:
@@ -95,15 +107,15 @@ def bucket_column(ts: str, lo: int, width: int) -> Column:
 
 
 def choose_bucket_width(
-    df: DataFrame, by: Sequence[str], ts: str, extent: tuple[int, int, int], block_rows: int
+    df: DataFrame, by: Sequence[str], ts: str, extent: Extent, block_rows: int
 ) -> int:
     """Widest time bucket (micros) for which no (series, bucket) exceeds half a block.
 
     Uneven density is met by narrowing until the bound holds; with unique
     timestamps this ends at the latest at one microsecond.
     """
-    n_max, lo, hi = extent
-    width = max(1, (hi - lo + 1) * max(block_rows // 8, 1) // max(n_max, 1))
+    lo = extent.lo
+    width = max(1, (extent.hi - lo + 1) * max(block_rows // 8, 1) // max(extent.longest, 1))
     while width > 1:
         counts = df.groupBy(*by, bucket_column(ts, lo, width).alias("__bkt")).agg(F.count(F.lit(1)).alias("n"))
         worst = counts.agg(F.max("n")).first()[0] or 0
