@@ -16,7 +16,7 @@ from tidebar.operators.folds import (
     validation_tail,
     walk_forward_folds,
 )
-from tidebar.operators.labels import add_labels, class_distribution, label_grid
+from tidebar.operators.labels import add_labels, class_distribution, get_label_strategy, label_grid
 from tidebar.operators.metrics import (
     THRESHOLD_METRICS,
     apply_threshold,
@@ -40,6 +40,7 @@ from tidebar.plans.signals import (
     signal_efficacy,
     signal_matrix,
 )
+from tidebar.plans.walk_forward import combine_by_regime, regime_counts
 
 c = F.col
 
@@ -96,8 +97,6 @@ def pooled_once(s, d):
 def multiclass(s, d):
     """Three-class predictions: sign of the last 7 rows against the next 7."""
     f = bar_frame(s, d, lookback=7, lookahead=7)
-    from tidebar.operators.labels import get_label_strategy
-
     f = get_label_strategy("directional")(f, T=7, X=0.5).add({"past": f.change("close", 7)})
     rows = f.finish().filter(c("label").isNotNull() & c("past").isNotNull())
     pred = F.when(c("past") >= 0.5, 0).when(c("past") <= -0.5, 2).otherwise(1)
@@ -139,8 +138,6 @@ def matrix(s, d):
 
 def ensemble(s, d):
     """Bull prediction above the 200-row mean, bear prediction otherwise, scored on the bull target."""
-    from tidebar.plans.walk_forward import combine_by_regime, regime_counts
-
     rows = fold_rows(s, d).withColumn("regime_bull", F.coalesce(c("close") > c("sma_200"), F.lit(False)).cast("int"))
     bear = rows.select("symbol", "ts", "fold_id", c("bear_pred").alias("y_pred"))
     both = combine_by_regime(rows, bear, rows.select("symbol", "ts", "regime_bull").distinct())
@@ -163,7 +160,18 @@ def snapshot(s, d):
     return indicator_snapshot(build_frame(order_bars(s, d), ["technical", "volume"]).finish())
 
 
+def flagship(s, d):
+    """Bars, indicators and reversal labels end to end: indicator means per class."""
+    f = build_frame(order_bars(s, d), ["technical"], lookahead=14)
+    rows = get_label_strategy("reversal")(f, T=14, X=0.8).finish().filter(c("label").isNotNull())
+    return rows.groupBy("symbol", "label").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("sma_20").alias("sma_20"), F.avg("rsi_14").alias("rsi_14"),
+        F.avg("bb_pctb_20").alias("bb_pctb_20"), F.avg("ema_20").alias("ema_20"),
+    )
+
+
 QUERIES = {
+    "feature_label_summary": flagship,
     "label_reversal": label_query("reversal", T=14, X=0.8),
     "label_reversal_down_first": label_query("reversal", T=14, X=0.8, tie="down"),
     "label_directional": label_query("directional", T=14, X=0.5),

@@ -242,4 +242,8 @@ def sql() -> dict[str, str]:
     q = Layers("x", [BARS, ("t", technical()), ("v", f"SELECT symbol, ts, {ratio('volume', mean('volume', 20))} AS vol_ratio_20 FROM bars"),
                      ("x", "SELECT t.*, vol_ratio_20 FROM t JOIN v USING (symbol, ts) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1")])
     out["indicator_snapshot"] = q.out(KEYS, [*snap, "vol_ratio_20"])
+    q = Layers("fl", [(BARS[0], BARS[1]), *reversal(14, 0.8).ctes[1:], ("t", technical()), (
+        "fl", "SELECT symbol, CAST(label AS INTEGER) AS label, count(*) AS n, avg(t.sma_20) AS sma_20, avg(t.rsi_14) AS rsi_14, avg(t.bb_pctb_20) AS bb_pctb_20, "
+              "avg(t.ema_20) AS ema_20 FROM l2 JOIN t USING (symbol, ts) WHERE label IS NOT NULL GROUP BY 1, 2")])
+    out["feature_label_summary"] = q.out(["symbol", "label", "n"], ["sma_20", "rsi_14", "bb_pctb_20", "ema_20"])
     return out

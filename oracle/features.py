@@ -417,3 +417,11 @@ def external_fgi_enhanced() -> str:
     cols += [f"{x}_change_{w}d" for w in (1, 3, 5, 7, 14, 21)] + [f"{x}_pct_rank_{w}" for w in (30, 60, 90)]
     cols += [f"{x}_price_div_7d", f"{x}_price_div_14d", f"{x}_momentum", f"{x}_momentum_accel", f"{x}_vs_ma14", f"{x}_vs_ma30"]
     return q.out([*KEYS, *[f"{x}_{k}" for k in ("extreme_fear", "extreme_greed", "fear", "greed")]], cols)
+
+
+def sql() -> dict[str, str]:
+    sets = (
+        technical, volume, flow, market_structure, onchain, sentiment, regime, bear_volatility, lag_rolling,
+        external, external_fgi, external_fgi_enhanced, external_macro, external_fr,
+    )
+    return {f"features_{s.__name__}": s() for s in sets}
