@@ -116,7 +116,7 @@ def test_pct_rank_ranges(spark, bars, monkeypatch):
 
     rounded = bars.withColumn("close", F.round("close", -1))
     whole = pct_rank(rounded, "close", "r")
-    monkeypatch.setattr(ranks, "FAN", 4)
+    monkeypatch.setattr(ranks, "GROUP_ROWS", 64)
     parted = pct_rank(rounded, "close", "r")
     assert_same(whole, parted)
     pdf = rounded.toPandas()

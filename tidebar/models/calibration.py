@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebar.models.base import LABEL, Fitted, Model, with_vector
-from tidebar.operators.metrics import brier, brier_improvement
+from tidebar.operators.metrics import brier_improvement, brier_score
 
 c = F.col
 METHODS = ("none", "platt", "isotonic")
@@ -75,7 +75,7 @@ def calibrated(
 
 def calibration_report(plain: Fitted, tuned: Fitted, valid: DataFrame) -> DataFrame:
     """Brier score before and after on validation rows, and the relative gain."""
-    before = brier(plain.score(valid).withColumn("y_true", c(LABEL)), []).select(c("brier").alias("orig_brier"))
-    after = brier(tuned.score(valid).withColumn("y_true", c(LABEL)), []).select(c("brier").alias("calib_brier"))
-    both = before.crossJoin(after)  # one row each
+    scored = plain.score(valid).withColumnRenamed("proba", "__plain").drop("y_pred", "probs")
+    scored = tuned.score(scored)
+    both = scored.agg(brier_score("__plain", LABEL).alias("orig_brier"), brier_score("proba", LABEL).alias("calib_brier"))
     return both.withColumn("brier_improvement", brier_improvement(c("orig_brier"), c("calib_brier")))

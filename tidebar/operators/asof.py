@@ -57,7 +57,7 @@ def asof_join(
         )
     else:
         width = choose_bucket_width(both, by, ts, extent, block_rows)
-        keyed = both.withColumn("__bkt", bucket_column(ts, extent.lo, width))
+        keyed = both.withColumn("__bkt", bucket_column(both, ts, extent.lo, width))
         latest = keyed.groupBy(*by, "__bkt").agg(
             *[F.max_by(s, F.when(F.col(s).isNotNull(), F.col(ts))).alias(f"{s}_end") for s in slots]
         )

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebar.operators.frame import BLOCK_ROWS, CELL_ROWS, lay_out
+from tidebar.operators.scan import FAN
 
 c = F.col
 
@@ -39,8 +40,12 @@ def series_sizes(df: DataFrame, by: Sequence[str] = ("symbol",)) -> DataFrame:
 
 def walk_forward_folds(sizes: DataFrame, plan: FoldPlan) -> DataFrame:
     """Fold table per series: half-open row ranges and the effective training size."""
-    ids = F.when(plan.count(c("n_rows")) > 0, F.sequence(F.lit(0).cast("long"), plan.count(c("n_rows")) - 1))
-    folds = sizes.withColumn("fold_id", F.explode(ids))
+    # two short explodes, so that no array grows with the series
+    n, fan = plan.count(c("n_rows")), F.lit(FAN).cast("long")
+    upper = F.when(n > 0, F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / fan)))
+    folds = sizes.withColumn("__upper", F.explode(upper))
+    first = c("__upper") * fan
+    folds = folds.withColumn("fold_id", F.explode(F.sequence(first, F.least(first + fan - 1, n - 1))))
     end = F.lit(plan.init_train) + c("fold_id") * F.lit(plan.step)
     return folds.select(
         *[x for x in sizes.columns if x != "n_rows"],

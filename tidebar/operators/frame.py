@@ -34,6 +34,8 @@ from tidebar.session import materialize
 
 BLOCK_ROWS = 65_536
 CELL_ROWS = 2_048
+# Most tasks of one window stage; beyond it a task handles several blocks in turn.
+MAX_TASKS = 20_000
 
 # An exponential mean keeps (1-a)^k of a value k rows back; past this many
 # nats the rest is below double precision.
@@ -213,6 +215,13 @@ class Frame:
         )
         return out.drop(*[f"__z_{n}" for n in specs])
 
+    def keep_numbered(self, kept: Column, name: str = "row_idx") -> DataFrame:
+        """Finished rows where ``kept`` holds, numbered from 0 within their series."""
+        one = F.when(kept, F.lit(1).cast("long"))
+        out = self.add({"__kept": one}).cumulative({"__pos": ("sum", "__kept")}, own_rows=True)
+        out = out.add({name: F.when(F.col("__kept").isNotNull(), F.col("__pos") - 1)})
+        return out.finish().filter(F.col(name).isNotNull())
+
     def ffill(self, names: Sequence[str]) -> Frame:
         return self.cumulative({n: ("last", F.col(n)) for n in names}, own_rows=True)
 
@@ -263,7 +272,7 @@ def task_count(df: DataFrame, extent: Extent, block_rows: int) -> int:
     rows, not the bytes; few small series are spread over the local cores.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return max(1, -(-extent.rows // block_rows), min(2 * extent.series, cores))
+    return max(1, min(-(-extent.rows // block_rows), MAX_TASKS), min(2 * extent.series, cores))
 
 
 def lay_out(
@@ -294,7 +303,7 @@ def lay_out(
         return frame.add({"__rn": (F.row_number().over(frame.order) - 1).cast("long")})
 
     width = choose_bucket_width(rows, by, ts, extent, block_rows)
-    keyed = rows.withColumn("__bkt", bucket_column(ts, extent.lo, width))
+    keyed = rows.withColumn("__bkt", bucket_column(rows, ts, extent.lo, width))
     counts = keyed.groupBy(*by, "__bkt").agg(F.count(F.lit(1)).alias("__cnt"))
     starts = prefix_scan(counts, by, "__bkt", {"__start": ("sum", F.col("__cnt"))})
     halo_cells = -(-lookback // cell_rows) + 1 if lookback else 0  # one more cell to warm up running inputs

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebar.features.price import true_range
@@ -138,9 +138,7 @@ def label_grid(frame: Frame, strategy: str, Ts: list[int], Xs: list[float]) -> D
 
 
 def class_distribution(df: DataFrame, by: list[str], label: str = "label") -> DataFrame:
-    """Rows and percent per class; groups are small after the partial count."""
-    from pyspark.sql import Window
-
+    """Rows and percent per class; a group has as many rows as classes after the count."""
     counts = df.filter(c(label).isNotNull()).groupBy(*by, label).agg(F.count(F.lit(1)).alias("n"))
     share = c("n") * 100.0 / F.sum("n").over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0)))
     return counts.withColumn("pct", share)

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidebar.operators.ranks import row_ranks
+
 c = F.col
 
 METRICS = [
@@ -91,8 +93,13 @@ def compute_metrics(preds: DataFrame, by: Sequence[str] = (), names: Sequence[st
     return metrics_from_counts(confusion_counts(preds, by), by, names)
 
 
+def brier_score(proba: str, y: str) -> Column:
+    """Aggregate: mean squared distance of probability and outcome."""
+    return F.avg((c(proba) - c(y)) * (c(proba) - c(y)))
+
+
 def brier(preds: DataFrame, by: Sequence[str], proba: str = "proba", y: str = "y_true") -> DataFrame:
-    return preds.groupBy(*by).agg(F.avg((c(proba) - c(y)) * (c(proba) - c(y))).alias("brier"))
+    return preds.groupBy(*by).agg(brier_score(proba, y).alias("brier"))
 
 
 def brier_improvement(before: Column, after: Column) -> Column:
@@ -203,8 +210,10 @@ def majority_baseline(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def importance_rank(df: DataFrame, by: Sequence[str], top_n: int | None = None) -> DataFrame:
     """Rank features by importance with their share of the group's total."""
     totals = df.groupBy(*by).agg(F.sum("importance").alias("__total"))
-    order = Window.partitionBy(*by).orderBy(c("importance").desc(), "feature")
-    ranked = df.withColumn("rank", F.row_number().over(order))
-    if top_n:
+    order = [c("importance").desc(), c("feature").asc()]
+    if top_n:  # the limit is applied per task before the shuffle
+        ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
         ranked = ranked.filter(c("rank") <= top_n)
+    else:
+        ranked = row_ranks(df, by, order, "rank")
     return ranked.join(totals, list(by)).withColumn("share", c("importance") / c("__total")).drop("__total")

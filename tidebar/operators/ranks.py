@@ -1,43 +1,59 @@
-"""Average-rank percentile of a column over its whole series."""
+"""Ranks over whole groups that stay bounded however large a group is."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebar.operators.scan import FAN, combine
+from tidebar.operators.scan import FAN
 from tidebar.session import materialize
 
+GROUP_ROWS = FAN * 16
+
+
+def running_before(df: DataFrame, by: Sequence[str], order: Sequence[Column], amount: Column, out: str) -> DataFrame:
+    """Sum of ``amount`` over the rows of the group ordered before each row.
+
+    Groups up to ``GROUP_ROWS`` rows use one window.  Otherwise the rows are
+    range-partitioned by (group, order), summed inside each range, and the
+    totals of the earlier ranges of the group are added.
+    """
+    by, order = list(by), list(order)
+    df = materialize(df)
+    size = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    prior = lambda *keys: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    if (size[0] or 0) <= GROUP_ROWS:
+        return df.withColumn(out, F.coalesce(F.sum(amount).over(prior(*by)), F.lit(0)))
+    ranges = max(2, -(-int(size[1]) // GROUP_ROWS))
+    spread = df.repartitionByRange(ranges, *by, *order).withColumn("__part", F.spark_partition_id())
+    spread = materialize(spread.withColumn("__amount", amount))
+    tops = spread.groupBy(*by, "__part").agg(F.sum("__amount").alias("__t"))
+    earlier = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select(*by, "__part", F.sum("__t").over(earlier).alias("__pre"))
+    inner = spread.withColumn("__in", F.sum("__amount").over(prior(*by, "__part")))
+    total = F.coalesce(F.col("__pre"), F.lit(0)) + F.coalesce(F.col("__in"), F.lit(0))
+    return inner.join(tops, [*by, "__part"]).select(*df.columns, total.alias(out))
+
+
+def row_ranks(df: DataFrame, by: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
+    """1-based position of every row in its group; the order must be unique."""
+    ranked = running_before(df, by, order, F.lit(1).cast("long"), out)
+    return ranked.withColumn(out, (F.col(out) + 1).cast("int"))
+
 
 def pct_rank(df: DataFrame, value: str, out: str, by: Sequence[str] = ("symbol",)) -> DataFrame:
-    """(smaller + (equal + 1) / 2) / count, null for null.
+    """Average-rank percentile: (smaller + (equal + 1) / 2) / count, null for null.
 
     Works on counts per distinct value, so copies of one value collapse before
-    the shuffle.  If one series has more distinct values than a bounded group
-    may hold, they are range-partitioned and ranked partition by partition.
+    the shuffle.
     """
     by = list(by)
-    present = df.filter(F.col(value).isNotNull())
-    counts = materialize(present.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n")))
-    most = counts.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    before = lambda *keys: Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    if most <= FAN * 16:
-        ranked = counts.withColumn("__below", F.sum("__n").over(before(*by)))
-    else:
-        parts = max(2, counts.count() // (FAN * 16))
-        spread = materialize(
-            counts.repartitionByRange(int(parts), *by, value).withColumn("__part", F.spark_partition_id())
-        )
-        inner = spread.withColumn("__in", F.sum("__n").over(before(*by, "__part")))
-        tops = spread.groupBy(*by, "__part").agg(F.sum("__n").alias("__t"))
-        outer = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-        tops = tops.select(*by, "__part", F.sum("__t").over(outer).alias("__pre"))
-        ranked = inner.join(tops, [*by, "__part"]).withColumn(
-            "__below", combine("sum", F.col("__pre"), F.col("__in"))
-        )
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
+    counts = materialize(counts)
+    ranked = running_before(counts, by, [F.col(value).asc()], F.col("__n"), "__below")
     sizes = counts.groupBy(*by).agg(F.sum("__n").alias("__all"))
-    rank = F.coalesce(F.col("__below"), F.lit(0)) + (F.col("__n") + 1) / 2
+    rank = F.col("__below") + (F.col("__n") + 1) / 2
     table = ranked.join(sizes, by).select(*by, value, (rank / F.col("__all")).alias(out))
     return df.join(table, [*by, value], "left").select(*df.columns, out)

@@ -77,9 +77,17 @@ def prefix_scan(
     )
 
 
-def micros(ts: str | Column) -> Column:
-    c = F.col(ts) if isinstance(ts, str) else ts
-    return F.unix_micros(c.cast("timestamp"))
+def micros(df: DataFrame, ts: str) -> Column:
+    """Monotone microsecond clock of a time column.
+
+    A time without zone is taken apart by its fields: reading it in the
+    session's zone could run backwards where clocks change.
+    """
+    kind = dict(df.dtypes)[ts]
+    if kind != "timestamp_ntz":
+        return F.unix_micros(F.col(ts).cast("timestamp"))
+    seconds = F.unix_date(F.to_date(ts)) * F.lit(86_400).cast("long") + F.hour(ts) * 3_600 + F.minute(ts) * 60
+    return seconds * 1_000_000 + (F.date_part(F.lit("SECOND"), ts) * 1_000_000).cast("long")
 
 
 @dataclass(frozen=True)
@@ -96,14 +104,16 @@ class Extent:
 def series_extent(df: DataFrame, by: Sequence[str], ts: str) -> Extent:
     """One small job: per-series counts, reduced to a single row."""
     per = df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.min(micros(ts)).alias("lo"), F.max(micros(ts)).alias("hi")
+        F.count(F.lit(1)).alias("n"), F.min(micros(df, ts)).alias("lo"), F.max(micros(df, ts)).alias("hi")
     )
     row = per.agg(F.max("n"), F.sum("n"), F.count(F.lit(1)), F.min("lo"), F.max("hi")).first()
     return Extent(*[int(v or 0) for v in row])
 
 
-def bucket_column(ts: str, lo: int, width: int) -> Column:
-    return F.floor((micros(ts) - F.lit(lo)) / F.lit(width)).cast("long")
+def bucket_column(df: DataFrame, ts: str, lo: int, width: int) -> Column:
+    offset = micros(df, ts) - F.lit(lo).cast("long")
+    width = F.lit(width).cast("long")
+    return ((offset - F.pmod(offset, width)) / width).cast("long")
 
 
 def choose_bucket_width(
@@ -117,7 +127,7 @@ def choose_bucket_width(
     lo = extent.lo
     width = max(1, (extent.hi - lo + 1) * max(block_rows // 8, 1) // max(extent.longest, 1))
     while width > 1:
-        counts = df.groupBy(*by, bucket_column(ts, lo, width).alias("__bkt")).agg(F.count(F.lit(1)).alias("n"))
+        counts = df.groupBy(*by, bucket_column(df, ts, lo, width).alias("__bkt")).agg(F.count(F.lit(1)).alias("n"))
         worst = counts.agg(F.max("n")).first()[0] or 0
         if worst <= max(block_rows // 2, 1):
             break

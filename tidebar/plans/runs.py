@@ -191,6 +191,7 @@ def importance_overlap(pairs: DataFrame, tops: DataFrame) -> DataFrame:
     )
 
 
-def parameter_grid(Ts: DataFrame, Xs: DataFrame) -> DataFrame:
-    """All (T, X) combinations; both sides are short user lists."""
-    return Ts.crossJoin(F.broadcast(Xs.limit(10_000)))
+def parameter_grid(params: DataFrame, first: str = "T", second: str = "X") -> DataFrame:
+    """All combinations of the distinct values of two parameter columns."""
+    lists = params.agg(F.collect_set(first).alias("__a"), F.collect_set(second).alias("__b"))
+    return lists.select(F.explode("__a").alias(first), "__b").select(first, F.explode("__b").alias(second))

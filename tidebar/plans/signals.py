@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebar.operators.frame import Frame
@@ -92,12 +92,8 @@ def signal_matrix(bull: DataFrame, bear: DataFrame, keys: Sequence[str] = ("symb
 
 def signal_distribution(matrix: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     counts = matrix.groupBy(*by, "signal").agg(F.count(F.lit(1)).alias("n"))
-    if by:
-        totals = counts.groupBy(*by).agg(F.sum("n").alias("__all"))
-        counts = counts.join(totals, list(by))
-    else:
-        counts = counts.crossJoin(counts.agg(F.sum("n").alias("__all")))  # one row
-    return counts.withColumn("pct", c("n") * 100.0 / c("__all")).drop("__all")
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # at most four states per group
+    return counts.withColumn("pct", c("n") * 100.0 / F.sum("n").over(group))
 
 
 def signal_efficacy(matrix: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -16,7 +18,7 @@ from tidebar.features.builder import apply_null_policy, build_frame, feature_col
 from tidebar.functions.scalars import flag, map_values
 from tidebar.models.base import LABEL, Fitted, create_model
 from tidebar.models.calibration import calibrated
-from tidebar.operators.folds import FoldPlan, number_rows, regime_weight, train_end
+from tidebar.operators.folds import FoldPlan, number_rows, regime_weight, series_sizes, train_end
 from tidebar.operators.labels import get_label_strategy, label_lookback
 from tidebar.operators.metrics import compute_metrics, optimize_threshold
 from tidebar.session import materialize
@@ -79,11 +81,11 @@ def prepare(bars: DataFrame, exp: Experiment, sources: dict[str, DataFrame] | No
     f = get_label_strategy(exp.label)(f, **exp.label_params)
     names = [x for x in f.columns if x not in ("symbol", "ts", LABEL)]
     labels = f.add({"__label": c(LABEL)}).drop(LABEL)
-    df = apply_null_policy(labels, exp.null_policy).add({LABEL: c("__label")}).finish()
-    df = df.na.drop(subset=names).filter(c(LABEL).isNotNull())
-    if exp.label_map:
-        df = df.withColumn(LABEL, map_values(LABEL, exp.label_map)).filter(c(LABEL).isNotNull())
-    return materialize(number_rows(df))
+    label = map_values("__label", exp.label_map) if exp.label_map else c("__label")
+    f = apply_null_policy(labels, exp.null_policy).add({LABEL: label})
+    complete = reduce(and_, [c(n).isNotNull() for n in (*names, LABEL)])
+    rows = materialize(f.keep_numbered(complete))
+    return rows.join(series_sizes(rows), "symbol")
 
 
 def select_features(rows: DataFrame, features: list[str], exp: Experiment) -> list[str]:
