@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebar.features.external import source_columns
-from tidebar.features.registry import get_feature_set, total_lookback
+from tidebar.features.registry import attach_running, get_feature_set, total_lookback
 from tidebar.operators.asof import asof_join
 from tidebar.operators.frame import BLOCK_ROWS, CELL_ROWS, Frame, lay_out
 from tidebar.operators.ranks import pct_rank
@@ -67,6 +67,7 @@ def build_frame(
         bars, lookback=total_lookback(sets) + extra_lookback, lookahead=lookahead,
         block_rows=block_rows, cell_rows=cell_rows,
     )
+    frame = attach_running(frame, sets)
     for name in sets:
         frame = get_feature_set(name).build(frame)
     return frame

@@ -67,7 +67,12 @@ def rsi(f: Frame, windows: tuple[int, ...]) -> Frame:
     return f.add({f"rsi_{w}": 100 - div(F.lit(100.0), 1 + s) for w, s in strength.items()}).drop("__gain", "__loss")
 
 
-@register_feature_set("volume", lookback=55)
+def signed_volume(f: Frame) -> tuple[Frame, dict]:
+    signed = F.coalesce(F.signum(f.diff("close")) * c("volume"), F.lit(0.0))
+    return f.add({"__signed": signed}), {"obv": ("sum", "__signed")}
+
+
+@register_feature_set("volume", lookback=55, running=signed_volume)
 def volume(f: Frame) -> Frame:
     typical = (c("high") + c("low") + c("close")) / 3
     f = f.add(
@@ -75,9 +80,9 @@ def volume(f: Frame) -> Frame:
         | {f"vol_change_{w}d": f.change("volume", w) for w in (1, 3, 5)}
         | {f"vol_price_corr_{w}": f.corr("volume", "close", w) for w in (10, 20)}
         | {f"vwap_{w}": ratio(f.sum(typical * c("volume"), w), f.sum("volume", w)) for w in (10, 20)}
-        | {"__signed": F.coalesce(F.signum(f.diff("close")) * c("volume"), F.lit(0.0))}
     )
-    f = f.cumulative({"obv": ("sum", "__signed")}).drop("__signed")
+    f, specs = signed_volume(f)
+    f = f.cumulative(specs).drop("__signed")
     f = f.add(
         {f"vol_ratio_{w}": ratio("volume", f"vol_sma_{w}") for w in (5, 10, 20, 50)}
         | {f"obv_sma_{w}": f.mean("obv", w) for w in (10, 20)}
@@ -141,10 +146,13 @@ def flow(f: Frame) -> Frame:
     return volume_density(f, "sma")
 
 
-@register_feature_set("market_structure", lookback=50)
+def volume_delta(f: Frame) -> tuple[Frame, dict]:
+    return f, {"cvd": ("sum", F.signum(c("close") - c("open")) * c("volume"))}
+
+
+@register_feature_set("market_structure", lookback=50, running=volume_delta)
 def market_structure(f: Frame) -> Frame:
-    f = f.add({"__ret": f.change("close"), "__delta": F.signum(c("close") - c("open")) * c("volume")})
-    f = f.cumulative({"cvd": ("sum", "__delta")})
+    f = f.cumulative(volume_delta(f)[1]).add({"__ret": f.change("close")})
     f = f.add(
         {f"funding_rate_{w}": f.mean("__ret", w) * 100 for w in (7, 14, 24)}
         | {f"open_interest_{w}": f.sum("volume", w) for w in (7, 14, 24)}
@@ -154,7 +162,7 @@ def market_structure(f: Frame) -> Frame:
             "stablecoin_inflow_proxy": -f.change("close", 7) * f.mean("volume", 7),
             "buy_pressure": ratio(c("close") - c("low"), c("high") - c("low")),
         }
-    ).drop("__ret", "__delta")
+    ).drop("__ret")
     f = f.add({f"buy_pressure_ma_{w}": f.mean("buy_pressure", w) for w in (5, 10, 20)})
     f = quote_volume_changes(quote_volume_ratios(f))
     return volume_density(trade_activity(f, "ma"), "ma")

@@ -12,7 +12,11 @@ from tidebar.operators.frame import Frame
 c = F.col
 
 
-@register_feature_set("onchain", lookback=210)
+def realized(f: Frame) -> tuple[Frame, dict]:
+    return f, Frame.mean_specs({"__realized": "close"})
+
+
+@register_feature_set("onchain", lookback=210, running=realized)
 def onchain(f: Frame) -> Frame:
     f = f.expanding_mean({"__realized": "close"})
     f = f.add(
@@ -42,11 +46,20 @@ def onchain(f: Frame) -> Frame:
     return f.drop("__realized", "__ret")
 
 
-@register_feature_set("sentiment", lookback=370)
+def direction(f: Frame) -> tuple[Frame, dict]:
+    f = f.add({"__move": f.change("close")})
+    return f, Frame.streak_specs(_streaks())
+
+
+def _streaks() -> dict:
+    return {"consecutive_up_days": c("__move") > 0, "consecutive_down_days": c("__move") < 0}
+
+
+@register_feature_set("sentiment", lookback=370, running=direction)
 def sentiment(f: Frame) -> Frame:
     horizons = (30, 90, 180, 365)
     f = f.add({"__ret": f.change("close"), "__volret": f.change("volume", 7)})
-    f = f.streak({"consecutive_up_days": c("__ret") > 0, "consecutive_down_days": c("__ret") < 0})
+    f = f.add({"__move": c("__ret")}).streak(_streaks())
     f = f.add(
         {f"vix_proxy_{w}": f.std("__ret", w) * 100 for w in (14, 30, 60)}
         | {f"volume_spike_{w}": ratio("volume", f.mean("volume", w)) for w in (10, 30)}
@@ -69,7 +82,7 @@ def sentiment(f: Frame) -> Frame:
             "vix_proxy_change_7": f.change("vix_proxy_30", 7),
         }
     )
-    return f.drop("__ret", "__volret")
+    return f.drop("__ret", "__volret", "__move")
 
 
 @register_feature_set("regime", lookback=225)
@@ -93,10 +106,14 @@ def regime(f: Frame) -> Frame:
     return f.drop("__ret", "__base", "__vol")
 
 
-@register_feature_set("bear_volatility", lookback=370)
+def peak(f: Frame) -> tuple[Frame, dict]:
+    return f, {"__peak": ("max", "close")}
+
+
+@register_feature_set("bear_volatility", lookback=370, running=peak)
 def bear_volatility(f: Frame) -> Frame:
     f = f.add({"__tr": true_range(f), "__step": f.diff("close"), "__ret": f.change("close")})
-    f = f.cumulative({"__peak": ("max", "close")})
+    f = f.cumulative(peak(f)[1])
     f = f.add(
         {f"bear_atr_{w}": f.mean("__tr", w) for w in (7, 14, 28)}
         | {f"bear_rv_{w}": f.std("__ret", w) for w in (5, 10, 21)}

@@ -173,43 +173,64 @@ class Frame:
         upto = self.order.rowsBetween(Window.unboundedPreceding, 0)
         if not self.blocked:
             return self.add({n: running(k, c, upto) for n, (k, c) in exprs.items()})
+        missing = {n: e for n, e in exprs.items() if f"__c_{n}" not in self.df.columns}
+        f = self.attach_carries(missing, own_rows=own_rows) if missing else self
+        counted = F.col("__rn") >= F.col("__blk") * self.block_rows - self._lead_in(own_rows) * self.cell_rows
+        f = f.add({f"__h_{n}": running(k, F.when(counted, c), upto) for n, (k, c) in exprs.items()})
+        f = f.add({n: combine(k, F.col(f"__c_{n}"), F.col(f"__h_{n}")) for n, (k, _) in exprs.items()})
+        return f.drop(*[f"__c_{n}" for n in exprs], *[f"__h_{n}" for n in exprs])
+
+    def _lead_in(self, own_rows: bool) -> int:
+        """Halo cells that running aggregates cover (the first one is warm-up)."""
+        return 0 if own_rows else max(self.halo_cells - 1, 0)
+
+    def attach_carries(
+        self, specs: dict[str, tuple[str, str | Column]], source: Frame | None = None, own_rows: bool = False
+    ) -> Frame:
+        """Join the value each running aggregate has before the block, as ``__c_<name>``.
+
+        ``source`` holds the input columns when this frame does not.  Totals
+        per cell come from own rows without a shuffle; their prefix is a
+        two-level scan over few rows.  Asking for the carries of many
+        aggregates at once costs one pass.
+        """
+        exprs = {n: (k, col(c)) for n, (k, c) in specs.items()}
+        rows = (source or self).df.filter(self._own())
         per_block = self.block_rows // self.cell_rows
         cell = F.floor(F.col("__rn") / F.lit(self.cell_rows)).cast("long")
-        totals = (
-            self.df.filter(self._own())
-            .groupBy(*self.keys, cell.alias("__cell"))
-            .agg(*[total(k, c, "__rn").alias(n) for n, (k, c) in exprs.items()])
+        totals = rows.groupBy(*self.keys, cell.alias("__cell")).agg(
+            *[total(k, c, "__rn").alias(n) for n, (k, c) in exprs.items()]
         )
         carries = prefix_scan(
             totals.drop("__blk"), self.by, "__cell", {f"__c_{n}": (k, F.col(n)) for n, (k, _) in exprs.items()}
         )
-        lead_in = 0 if own_rows else max(self.halo_cells - 1, 0)
-        shifted = F.col("__cell") + F.lit(lead_in)
+        shifted = F.col("__cell") + F.lit(self._lead_in(own_rows))
         carries = carries.filter(shifted % per_block == 0).select(
             *self.by, (shifted / per_block).cast("long").alias("__blk"), *[f"__c_{n}" for n in exprs]
         )
-        counted = F.col("__rn") >= (F.col("__blk") * per_block - F.lit(lead_in)) * F.lit(self.cell_rows)
-        here = self.add({f"__h_{n}": running(k, F.when(counted, c), upto) for n, (k, c) in exprs.items()})
-        joined = replace(here, df=here.df.join(carries, self.keys, "left"))
-        out = joined.add(
-            {n: combine(k, F.col(f"__c_{n}"), F.col(f"__h_{n}")) for n, (k, _) in exprs.items()}
-        )
-        return out.drop(*[f"__c_{n}" for n in exprs], *[f"__h_{n}" for n in exprs])
+        return replace(self, df=self.df.join(carries, self.keys, "left"))
+
+    @staticmethod
+    def mean_specs(specs: dict[str, str | Column]) -> dict[str, tuple[str, Column]]:
+        """Running aggregates behind :meth:`expanding_mean`."""
+        sums = {f"__s_{n}": ("sum", col(c)) for n, c in specs.items()}
+        present = lambda c: F.when(col(c).isNotNull(), F.lit(1)).otherwise(F.lit(0))
+        return sums | {f"__k_{n}": ("sum", present(c)) for n, c in specs.items()}
 
     def expanding_mean(self, specs: dict[str, str | Column]) -> Frame:
-        out = self.cumulative(
-            {f"__s_{n}": ("sum", c) for n, c in specs.items()}
-            | {f"__k_{n}": ("sum", F.when(col(c).isNotNull(), F.lit(1)).otherwise(F.lit(0))) for n, c in specs.items()}
-        )
+        out = self.cumulative(self.mean_specs(specs))
         out = out.add({n: div(f"__s_{n}", F.col(f"__k_{n}").cast("double")) for n in specs})
         return out.drop(*[f"__s_{n}" for n in specs], *[f"__k_{n}" for n in specs])
 
+    @staticmethod
+    def streak_specs(specs: dict[str, Column]) -> dict[str, tuple[str, Column]]:
+        """Running aggregates behind :meth:`streak`: the last row where the flag failed."""
+        failed = lambda c: ~F.coalesce(c, F.lit(False))
+        return {f"__z_{n}": ("max", F.when(failed(c), F.col("__rn"))) for n, c in specs.items()}
+
     def streak(self, specs: dict[str, Column]) -> Frame:
         """Rows since the flag last failed: run length ending here (0 while false)."""
-        out = self.cumulative(
-            {f"__z_{n}": ("max", F.when(~F.coalesce(c, F.lit(False)), F.col("__rn"))) for n, c in specs.items()},
-            own_rows=True,
-        )
+        out = self.cumulative(self.streak_specs(specs))
         out = out.add(
             {n: (F.col("__rn") - F.coalesce(F.col(f"__z_{n}"), F.lit(-1))).cast("int") for n in specs}
         )
