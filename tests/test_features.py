@@ -133,3 +133,18 @@ def test_streak_breaks_on_tie(spark):
     f = f.add({"r": f.change("close")}).streak({"up": F.col("r") > 0, "down": F.col("r") < 0})
     out = frame(f.finish())
     assert out["up"].tolist() == [0, 1, 2, 0, 1, 0, 0] and out["down"].tolist() == [0, 0, 0, 0, 0, 1, 2]
+
+
+def test_long_windows_equal_sliding_frames(spark):
+    pdf = walk_bars(500)
+    pdf.loc[120, "close"] = None
+    f = lay_out(spark.createDataFrame(pdf).withColumn("close", F.nanvl("close", F.lit(None))), lookback=400)
+    sizes = (1, 2, 3, 50, 64, 90, 365)
+    kinds = {"mean": f.mean, "sum": f.sum, "max": f.max, "min": f.min}
+    specs = {f"{k}_{w}": (k, "close", w) for k in kinds for w in sizes}
+    specs |= {f"std_{w}": ("std", "close", w) for w in (2, 30, 90)}
+    specs |= {f"{k}_any_{w}": (f"{k}_any", "close", w) for k in ("max", "min") for w in (30, 365)}
+    want = {f"{k}_{w}": fn("close", w) for k, fn in kinds.items() for w in sizes}
+    want |= {f"std_{w}": f.std("close", w) for w in (2, 30, 90)}
+    want |= {f"{k}_any_{w}": kinds[k]("close", w, 1) for k in ("max", "min") for w in (30, 365)}
+    assert_same(f.long_windows(specs).finish(), f.add(want).finish())

@@ -69,28 +69,30 @@ def funding(f: Frame) -> Frame:
     if not f.has("ext_funding_rate_mean"):
         return f
     rate = "ext_funding_rate_mean"
+    f = f.long_windows({"__mean_90": ("mean", rate, 90), "__std_90": ("std", rate, 90)})
     f = f.add(
         {f"ext_fr_ma_{w}": f.mean(rate, w) for w in (7, 14, 30)}
         | {f"ext_fr_std_{w}": f.std(rate, w) for w in (7, 14, 30)}
         | {f"ext_fr_cumsum_{w}": f.sum(rate, w) for w in (7, 14, 30)}
-        | {"ext_fr_zscore": zscore(rate, f.mean(rate, 90), f.std(rate, 90))}
+        | {"ext_fr_zscore": zscore(rate, "__mean_90", "__std_90")}
     )
     return f.add(
         {
             "ext_fr_extreme_high": flag(c("ext_fr_zscore") > 2),
             "ext_fr_extreme_low": flag(c("ext_fr_zscore") < -2),
         }
-    )
+    ).drop("__mean_90", "__std_90")
 
 
 def long_short(f: Frame) -> Frame:
     if not f.has("ext_ls_ratio"):
         return f
+    f = f.long_windows({"__mean_60": ("mean", "ext_ls_ratio", 60), "__std_60": ("std", "ext_ls_ratio", 60)})
     return f.add(
         {f"ext_ls_ma_{w}": f.mean("ext_ls_ratio", w) for w in (7, 14, 30)}
         | {f"ext_ls_change_{w}d": f.change("ext_ls_ratio", w) for w in (1, 3, 7)}
-        | {"ext_ls_zscore": zscore("ext_ls_ratio", f.mean("ext_ls_ratio", 60), f.std("ext_ls_ratio", 60))}
-    )
+        | {"ext_ls_zscore": zscore("ext_ls_ratio", "__mean_60", "__std_60")}
+    ).drop("__mean_60", "__std_60")
 
 
 @register_feature_set("external", lookback=95, sources=("fgi", "macro", "funding", "long_short"))

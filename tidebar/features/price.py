@@ -22,16 +22,18 @@ def technical(f: Frame) -> Frame:
     windows = (5, 10, 20, 50, 100, 200)
     emas = {f"ema_{w}": ("close", w) for w in windows}
     f = f.ema(emas | {"__e12": ("close", 12), "__e26": ("close", 26)})
+    f = f.long_windows(
+        {f"sma_{w}": ("mean", "close", w) for w in windows if w >= 50}
+        | {"__high_50": ("max", "high", 50), "__low_50": ("min", "low", 50)}
+    )
     f = f.add(
-        {f"sma_{w}": f.mean("close", w) for w in windows}
+        {f"sma_{w}": f.mean("close", w) for w in windows if w < 50}
         | {f"return_{w}d": f.change("close", w) for w in (1, 3, 5, 7, 14, 21)}
-        | {f"high_{w}d_dist": div(c("close") - f.max("high", w), "close") for w in (14, 21, 50)}
-        | {f"low_{w}d_dist": div(c("close") - f.min("low", w), "close") for w in (14, 21, 50)}
+        | {f"__high_{w}": f.max("high", w) for w in (14, 21)}
+        | {f"__low_{w}": f.min("low", w) for w in (14, 21)}
         | {
             "__tr": true_range(f),
             "__std": f.std("close", 20),
-            "__lo": f.min("low", 14),
-            "__hi": f.max("high", 14),
             "macd": c("__e12") - c("__e26"),
         }
     )
@@ -39,11 +41,13 @@ def technical(f: Frame) -> Frame:
         {f"sma_cross_{a}_{b}": c(f"sma_{a}") - c(f"sma_{b}") for a, b in ((5, 20), (10, 50), (50, 200))}
         | {f"price_vs_sma_{w}": div(c("close") - c(f"sma_{w}"), f"sma_{w}") for w in (20, 50, 200)}
         | {f"atr_{w}": f.mean("__tr", w) for w in (14, 21)}
+        | {f"high_{w}d_dist": div(c("close") - c(f"__high_{w}"), "close") for w in (14, 21, 50)}
+        | {f"low_{w}d_dist": div(c("close") - c(f"__low_{w}"), "close") for w in (14, 21, 50)}
         | {f"volatility_{w}d": f.std("return_1d", w) for w in (5, 10, 20)}
         | {
             "bb_upper_20": c("sma_20") + 2 * c("__std"),
             "bb_lower_20": c("sma_20") - 2 * c("__std"),
-            "stoch_k_14": div(100 * (c("close") - c("__lo")), c("__hi") - c("__lo") + EPS),
+            "stoch_k_14": div(100 * (c("close") - c("__low_14")), c("__high_14") - c("__low_14") + EPS),
         }
     )
     f = rsi(f, (6, 14, 28)).ema({"macd_signal": ("macd", 9)})
@@ -56,7 +60,7 @@ def technical(f: Frame) -> Frame:
             "stoch_d_14": f.mean("stoch_k_14", 3),
         }
     )
-    return f.drop("__tr", "__std", "__lo", "__hi", "__e12", "__e26")
+    return f.drop("__tr", "__std", "__e12", "__e26", *[f"__{s}_{w}" for s in ("high", "low") for w in (14, 21, 50)])
 
 
 def rsi(f: Frame, windows: tuple[int, ...]) -> Frame:

@@ -18,7 +18,7 @@ def realized(f: Frame) -> tuple[Frame, dict]:
 
 @register_feature_set("onchain", lookback=210, running=realized)
 def onchain(f: Frame) -> Frame:
-    f = f.expanding_mean({"__realized": "close"})
+    f = f.expanding_mean({"__realized": "close"}).long_windows({"__mean_128": ("mean", "close", 128)})
     f = f.add(
         {
             "__ret": f.change("close"),
@@ -26,7 +26,7 @@ def onchain(f: Frame) -> Frame:
             "lth_sopr": div("close", f.lag("close", 180)),
             "sth_sopr": div("close", f.lag("close", 30)),
             "active_addr_proxy": f.mean("volume", 7),
-            "difficulty_ribbon_proxy": rel(f.mean("close", 9), f.mean("close", 128)),
+            "difficulty_ribbon_proxy": rel(f.mean("close", 9), "__mean_128"),
             "nupl_proxy": ratio(c("close") - c("__realized"), "close"),
             "entity_adjusted_vol": c("volume") * ratio(F.abs(c("close") - c("open")), c("high") - c("low")),
         }
@@ -43,7 +43,7 @@ def onchain(f: Frame) -> Frame:
         }
     )
     f = f.add({"miner_outflow_ma_14": f.mean("miner_outflow_proxy", 14)})
-    return f.drop("__realized", "__ret")
+    return f.drop("__realized", "__ret", "__mean_128")
 
 
 def direction(f: Frame) -> tuple[Frame, dict]:
@@ -60,17 +60,23 @@ def sentiment(f: Frame) -> Frame:
     horizons = (30, 90, 180, 365)
     f = f.add({"__ret": f.change("close"), "__volret": f.change("volume", 7)})
     f = f.add({"__move": c("__ret")}).streak(_streaks())
+    f = f.long_windows(
+        {f"__high_{w}": ("max_any", "close", w) for w in horizons}
+        | {f"__low_{w}": ("min_any", "close", w) for w in horizons}
+        | {f"__std_{w}": ("std", "__ret", w) for w in (60, 90)}
+    )
+    sd = {14: f.std("__ret", 14), 30: f.std("__ret", 30), 60: c("__std_60")}
     f = f.add(
-        {f"vix_proxy_{w}": f.std("__ret", w) * 100 for w in (14, 30, 60)}
+        {f"vix_proxy_{w}": s * 100 for w, s in sd.items()}
         | {f"volume_spike_{w}": ratio("volume", f.mean("volume", w)) for w in (10, 30)}
-        | {f"dist_from_high_{w}d": rel("close", f.max("close", w, 1)) for w in horizons}
-        | {f"dist_from_low_{w}d": rel("close", f.min("close", w, 1)) for w in horizons}
+        | {f"dist_from_high_{w}d": rel("close", f"__high_{w}") for w in horizons}
+        | {f"dist_from_low_{w}d": rel("close", f"__low_{w}") for w in horizons}
         | {
             "fgi": clip(
                 50 + f.change("close", 30) * 100 - f.std("__ret", 30) * 200 + f.mean("__volret", 7) * 20, 0, 100
             ),
             "gtrend_proxy": ratio(f.mean("volume", 7), f.mean("volume", 30)) * 50,
-            "liquidity_proxy": 100 - f.std("__ret", 90) * 1000,
+            "liquidity_proxy": 100 - c("__std_90") * 1000,
         }
     )
     f = f.add(
@@ -82,16 +88,17 @@ def sentiment(f: Frame) -> Frame:
             "vix_proxy_change_7": f.change("vix_proxy_30", 7),
         }
     )
-    return f.drop("__ret", "__volret", "__move")
+    return f.drop("__ret", "__volret", "__move", "__std_60", "__std_90", *[f"__{s}_{w}" for s in ("high", "low") for w in horizons])
 
 
 @register_feature_set("regime", lookback=225)
 def regime(f: Frame) -> Frame:
-    f = f.add({"sma_200": f.mean("close", 200), "__ret": f.change("close")})
+    means = {50: "__mean_50", 100: "__mean_100", 200: "sma_200"}
+    f = f.long_windows({n: ("mean", "close", w) for w, n in means.items()}).add({"__ret": f.change("close")})
     f = f.add({"__base": f.lag("sma_200", 20), "__vol": f.std("__ret", 20)})
     close, ma = c("close"), c("sma_200")
     f = f.add(
-        {f"regime_trend_{w}": rel("close", f.mean("close", w)) for w in (50, 100, 200)}
+        {f"regime_trend_{w}": rel("close", n) for w, n in means.items()}
         | {
             "regime_price_vs_ma200": rel("close", "sma_200"),
             "regime_bull": flag(close > ma),
@@ -103,7 +110,7 @@ def regime(f: Frame) -> Frame:
             "regime_vol_low": flag(c("__vol") < 0.015),
         }
     )
-    return f.drop("__ret", "__base", "__vol")
+    return f.drop("__ret", "__base", "__vol", "__mean_50", "__mean_100")
 
 
 def peak(f: Frame) -> tuple[Frame, dict]:
@@ -113,12 +120,12 @@ def peak(f: Frame) -> tuple[Frame, dict]:
 @register_feature_set("bear_volatility", lookback=370, running=peak)
 def bear_volatility(f: Frame) -> Frame:
     f = f.add({"__tr": true_range(f), "__step": f.diff("close"), "__ret": f.change("close")})
-    f = f.cumulative(peak(f)[1])
+    f = f.cumulative(peak(f)[1]).long_windows({"__high_365": ("max", "close", 365)})
     f = f.add(
         {f"bear_atr_{w}": f.mean("__tr", w) for w in (7, 14, 28)}
         | {f"bear_rv_{w}": f.std("__ret", w) for w in (5, 10, 21)}
         | {
-            "bear_dist_from_ath": rel("close", f.max("close", 365)),
+            "bear_dist_from_ath": rel("close", "__high_365"),
             "bear_max_drawdown": rel("close", "__peak"),
         }
         | (
@@ -139,7 +146,7 @@ def bear_volatility(f: Frame) -> Frame:
             "bear_vol_low": flag(c("bear_rv_21") < c("__med") * 0.5),
         }
     )
-    return f.drop("__tr", "__step", "__ret", "__peak", "__wr_7", "__wr_14", "__med")
+    return f.drop("__tr", "__step", "__ret", "__peak", "__high_365", "__wr_7", "__wr_14", "__med")
 
 
 # fixed values: columns this set derives from, lags, rolling windows

@@ -15,6 +15,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -45,6 +47,21 @@ _EMA_GROWTH = 460.0
 _EMA_SEGMENTS = (110, 1_100, 4_200, 46_000)
 
 
+_FAMILY = {
+    "mean": "sum", "sum": "sum", "std": "std", "max": "max", "min": "min", "max_any": "maxany", "min_any": "minany",
+}
+
+
+def _pair(family: str, a: Column, b: Column) -> Column:
+    """Value of two adjacent (or, for max and min, overlapping) windows together."""
+    if family == "sum":
+        return a + b
+    if family == "std":  # the mean of two windows of equal size
+        return (a + b) / 2
+    best = F.greatest(a, b) if family in ("max", "maxany") else F.least(a, b)
+    return best if family.endswith("any") else F.when(a.isNotNull() & b.isNotNull(), best)
+
+
 def ema_segment(span: int) -> int:
     """Rows per segment for an exponential mean of this span."""
     decay = -math.log1p(-2.0 / (span + 1.0)) if span > 1 else math.inf
@@ -160,6 +177,71 @@ class Frame:
         win = self.order.rowsBetween(1, t)
         return F.when(F.count(col(present)).over(win) == t, agg.over(win))
 
+    # -- long windows -----------------------------------------------------
+    def long_windows(self, specs: dict[str, tuple[str, str, int]]) -> Frame:
+        """Trailing mean / sum / max / min / std over many rows: name -> (kind, column, w).
+
+        A sliding frame visits w rows per row.  Here windows of 2, 4, 8, ...
+        rows are built from two halves with lag(), and a window of any length
+        is put together from them: about log2(w) lags per row, shared by all
+        lengths.  A missing input makes the result null, as a full window
+        requires; ``max_any`` / ``min_any`` accept partial windows.
+        """
+        deepest: dict[tuple[str, str], int] = {}
+        for kind, src, w in specs.values():
+            key = (_FAMILY[kind], src)
+            deepest[key] = max(deepest.get(key, 1), 1 << (w.bit_length() - 1))
+        part = lambda fam, src, size, what="v": f"__{fam}_{src.strip('_')}_{size}_{what}"
+        f = self.add(
+            {part(fam, src, 1): col(src).cast("double") for fam, src in deepest}
+            | {part("std", src, 1, "q"): F.when(col(src).isNotNull(), F.lit(0.0)) for fam, src in deepest if fam == "std"}
+        )
+        size = 1
+        while any(size < d for d in deepest.values()):
+            layer = {}
+            for (fam, src), d in deepest.items():
+                if size < d:
+                    here, back = F.col(part(fam, src, size)), f.lag(part(fam, src, size), size)
+                    layer[part(fam, src, 2 * size)] = _pair(fam, here, back)
+                    if fam == "std":
+                        q = part(fam, src, size, "q")
+                        spread = (here - back) * (here - back) * F.lit(size / 2.0)
+                        layer[part(fam, src, 2 * size, "q")] = F.col(q) + f.lag(q, size) + spread
+            f, size = f.add(layer), 2 * size
+        out, moments = {}, {}
+        for name, (kind, src, w) in specs.items():
+            fam, top = _FAMILY[kind], 1 << (w.bit_length() - 1)
+            shifted = lambda size, off, what="v": f.lag(part(fam, src, size, what), off) if off else F.col(part(fam, src, size, what))
+            if fam in ("sum", "std"):
+                pieces, off = [], 0
+                for bit in reversed(range(w.bit_length())):
+                    if w >> bit & 1:
+                        pieces.append((1 << bit, off))
+                        off += 1 << bit
+            if fam == "sum":
+                whole = reduce(add, [shifted(n, off) for n, off in pieces])
+                out[name] = whole / w if kind == "mean" else whole
+            elif fam == "std":
+                for i, (n, off) in enumerate(pieces):
+                    out[f"__{name}_m{i}"], out[f"__{name}_q{i}"] = shifted(n, off), shifted(n, off, "q")
+                moments[name] = (w, [n for n, _ in pieces])
+            else:
+                out[name] = _pair(fam, shifted(top, 0), shifted(top, w - top)) if w > top else shifted(top, 0)
+        made = [c for c in f.df.columns if c not in self.df.columns]
+        f = f.add(out)
+        means = {
+            f"__{n}_m": reduce(add, [F.col(f"__{n}_m{i}") * F.lit(float(k)) for i, k in enumerate(ks)]) / w
+            for n, (w, ks) in moments.items()
+        }
+        f = f.add(means)
+        stds = {}
+        for n, (w, ks) in moments.items():
+            gap = lambda i: F.col(f"__{n}_m{i}") - F.col(f"__{n}_m")
+            total_sq = reduce(add, [F.col(f"__{n}_q{i}") + gap(i) * gap(i) * F.lit(float(k)) for i, k in enumerate(ks)])
+            stds[n] = F.sqrt(total_sq / (w - 1))
+        temps = [f"__{n}_{x}{i}" for n, (_, ks) in moments.items() for i in range(len(ks)) for x in ("m", "q")]
+        return f.add(stds).drop(*made, *temps, *means)
+
     # -- running aggregates -----------------------------------------------
     def cumulative(self, specs: dict[str, tuple[str, str | Column]], own_rows: bool = False) -> Frame:
         """Running sum / max / min / prod / last from the start of each series.
