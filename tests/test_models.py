@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from tests.helpers import walk_bars
 from tidebar.models import create_model, list_models
 from tidebar.models.calibration import calibrated
+from tidebar.models.store import load_model, save_model
 from tidebar.operators.folds import FoldPlan
-from tidebar.plans.walk_forward import Experiment, prepare, run_experiment, walk_forward
+from tidebar.plans.walk_forward import Experiment, parameter_search, prepare, run_experiment, walk_forward
 
 FAST = {"n_estimators": 3, "max_depth": 2, "learning_rate": 0.3, "min_child_samples": 5}
 
@@ -48,6 +49,17 @@ def test_weight_is_optional_everywhere(spark):
             assert out.filter(F.col("proba").between(0, 1)).count() == 400
 
 
+def test_saved_models_score_the_same(spark, tmp_path):
+    df = matrix(spark)
+    stack = {"base_models": [{"name": "x", "params": FAST}], "n_cv_folds": 2, "passthrough": True}
+    for name, params in (("boosted_trees", FAST), ("boosted_trees_regressor", FAST), ("stacking", stack)):
+        fitted = create_model(name, params).fit(df, list("abcd"))
+        save_model(spark, fitted, str(tmp_path / name))
+        again = load_model(spark, str(tmp_path / name))
+        pick = lambda m: [round(r["proba"], 9) for r in m.score(df).orderBy("row_idx").collect()]
+        assert again.features == list("abcd") and pick(fitted) == pick(again)
+
+
 def test_regressor_threshold(spark):
     fitted = create_model("boosted_trees_regressor", {**FAST, "auto_threshold": True}).fit(matrix(spark), list("abcd"))
     out = fitted.score(matrix(spark)).toPandas()
@@ -81,5 +93,7 @@ def test_walk_forward_run(spark):
     assert preds.groupby("symbol")["fold_id"].nunique().to_dict() == folds
     assert result.fold_metrics().count() == max(folds.values())
     assert result.pooled_metrics(once=True).first()["n"] == preds.groupby(["symbol", "ts"]).ngroups
+    search = parameter_search(bars, exp, [5, 400], [0.01]).toPandas()
+    assert search["status"][0] == "ok" and search["status"][1] != "ok" and len(search) == 2
     with pytest.raises(ValueError, match="no fold fits"):
         walk_forward(rows, result.features, Experiment(["volume"], plan=FoldPlan(5000)))

@@ -29,6 +29,36 @@ BASE_MODELS = [
 ]
 
 
+def first_layer(df: DataFrame, fitted: Sequence[Fitted], use_proba: bool) -> DataFrame:
+    """One column per first-layer model."""
+    used = "proba" if use_proba else "y_pred"
+    for i, m in enumerate(fitted):
+        df = m.score_rows(df).select(*df.columns, c(used).cast("double").alias(f"__m{i}"))
+    return df
+
+
+def second_input(models: int, passthrough: bool) -> VectorAssembler:
+    names = [f"__m{i}" for i in range(models)]
+    return VectorAssembler(inputCols=[*names, FEATURES] if passthrough else names, outputCol="__meta")
+
+
+def stack_from(meta, bases: Sequence[Fitted], features: Sequence[str], use_proba: bool, passthrough: bool) -> Fitted:
+    """Scoring with trained layers; importance is the mean of the normalised first-layer importances."""
+    assemble = second_input(len(bases), passthrough)
+
+    def score(data: DataFrame) -> DataFrame:
+        out = meta.transform(assemble.transform(first_layer(data, bases, use_proba)))
+        probs = vector_to_array("probability")
+        return out.select(
+            *data.columns, probs.alias("probs"), probs[1].alias("proba"), c("prediction").cast("int").alias("y_pred")
+        )
+
+    sums = [sum(b.importances) or 1.0 for b in bases]
+    mean = [sum(b.importances[i] / s for b, s in zip(bases, sums)) / len(bases) for i in range(len(features))]
+    stages = {"kind": "stack", "model": meta, "bases": list(bases), "use_proba": use_proba, "passthrough": passthrough}
+    return Fitted(list(features), score, mean, stages)
+
+
 @register_model("stacking")
 class Stacking(Model):
     """First-layer probabilities from expanding inner time splits feed the second layer.
@@ -50,13 +80,6 @@ class Stacking(Model):
             for b in self.params["base_models"]
         ]
 
-    def _first_layer(self, df: DataFrame, fitted: list[Fitted]) -> DataFrame:
-        used = "proba" if self.params["use_proba"] else "y_pred"
-        for i, m in enumerate(fitted):
-            scored = m.score_rows(df)
-            df = scored.select(*df.columns, c(used).cast("double").alias(f"__m{i}"))
-        return df
-
     def fit(self, df: DataFrame, features: Sequence[str], weight: str | None = None) -> Fitted:
         p, by = self.params, list(self.params["by"])
         if p["meta_model"] not in ("logistic", "boosted_trees"):
@@ -69,14 +92,12 @@ class Stacking(Model):
             cut = rows.join(bounds, by)
             train = cut.filter(c("row_idx") < c("valid_start")).select(*rows.columns)
             valid = cut.filter((c("row_idx") >= c("valid_start")) & (c("row_idx") < c("valid_end"))).select(*rows.columns)
-            parts.append(self._first_layer(valid, self._bases(train, features, weight)))
+            parts.append(first_layer(valid, self._bases(train, features, weight), p["use_proba"]))
         meta_rows = parts[0]
         for part in parts[1:]:
             meta_rows = meta_rows.unionByName(part)
         meta_rows = materialize(meta_rows)
-        names = [f"__m{i}" for i in range(len(p["base_models"]))]
-        inputs = [*names, FEATURES] if p["passthrough"] else names
-        assemble = VectorAssembler(inputCols=inputs, outputCol="__meta")
+        assemble = second_input(len(p["base_models"]), p["passthrough"])
         counts = class_counts(meta_rows)
         scale = balanced_weight(counts, weight) if p["auto_scale_pos_weight"] else balanced_weight({}, weight)
         meta_in = assemble.transform(meta_rows).withColumn(WEIGHT, scale).withColumn(LABEL, c(LABEL).cast("double"))
@@ -90,15 +111,4 @@ class Stacking(Model):
             meta = GBTClassifier(
                 featuresCol="__meta", labelCol=LABEL, weightCol=WEIGHT, maxIter=100, maxDepth=2, stepSize=0.1, seed=42
             ).fit(meta_in)
-        bases = self._bases(rows, features, weight)
-
-        def score(data: DataFrame) -> DataFrame:
-            out = meta.transform(assemble.transform(self._first_layer(data, bases)))
-            probs = vector_to_array("probability")
-            return out.select(
-                *data.columns, probs.alias("probs"), probs[1].alias("proba"), c("prediction").cast("int").alias("y_pred")
-            )
-
-        sums = [sum(b.importances) or 1.0 for b in bases]
-        mean = [sum(b.importances[i] / s for b, s in zip(bases, sums)) / len(bases) for i in range(len(features))]
-        return Fitted(list(features), score, mean, {"model": meta, "bases": bases})
+        return stack_from(meta, self._bases(rows, features, weight), features, p["use_proba"], p["passthrough"])

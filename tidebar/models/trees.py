@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
@@ -42,6 +42,36 @@ def tree_params(params: dict[str, Any]) -> dict[str, Any]:
 
 
 
+def classes_from(model, features: Sequence[str]) -> Fitted:
+    """Scoring with a trained tree classifier."""
+
+    def score(data: DataFrame) -> DataFrame:
+        out = model.transform(data)
+        probs = vector_to_array("probability")
+        return out.select(
+            *data.columns, probs.alias("probs"), probs[1].alias("proba"), c("prediction").cast("int").alias("y_pred")
+        )
+
+    kind = "classifier" if isinstance(model, GBTClassificationModel) else "forest"
+    return Fitted(list(features), score, list(model.featureImportances.toArray()), {"kind": kind, "model": model})
+
+
+def regression_from(model, features: Sequence[str], threshold: float, continuous: bool) -> Fitted:
+    """Scoring with a trained tree regression."""
+    value = c("prediction") if continuous else F.least(F.greatest(c("prediction"), F.lit(0.0)), F.lit(1.0))
+
+    def score(data: DataFrame) -> DataFrame:
+        out = model.transform(data).select(*data.columns, value.alias("proba"))
+        if continuous:
+            return out.withColumn("y_pred", c("proba"))
+        return out.withColumn("probs", F.array(1 - c("proba"), c("proba"))).withColumn(
+            "y_pred", (c("proba") >= threshold).cast("int")
+        )
+
+    stages = {"kind": "regressor", "model": model, "continuous": continuous}
+    return Fitted(list(features), score, list(model.featureImportances.toArray()), stages, threshold)
+
+
 @register_model("boosted_trees")
 class BoostedTrees(Model):
     """Binary: gradient-boosted trees; more classes: a forest.
@@ -71,16 +101,7 @@ class BoostedTrees(Model):
             model = GBTClassifier(maxIter=p["n_estimators"], stepSize=p["learning_rate"], **common).fit(rows)
         else:
             model = RandomForestClassifier(numTrees=p["n_estimators"], **common).fit(rows)
-        keep = ["rawPrediction", "probability", "prediction"]
-
-        def score(data: DataFrame) -> DataFrame:
-            out = model.transform(data)
-            probs = vector_to_array("probability")
-            return out.select(
-                *data.columns, probs.alias("probs"), probs[1].alias("proba"), c("prediction").cast("int").alias("y_pred")
-            )
-
-        return Fitted(list(features), score, list(model.featureImportances.toArray()), {"model": model, "dropped": keep})
+        return classes_from(model, features)
 
 
 @register_model("boosted_trees_regressor")
@@ -103,22 +124,8 @@ class BoostedTreesRegressor(Model):
             featuresCol=FEATURES, labelCol=LABEL, maxIter=p["n_estimators"], stepSize=p["learning_rate"], **tree_params(p)
         )
         model = (gbt.setWeightCol(weight) if weight else gbt).fit(rows)
-        value = c("prediction") if p["continuous"] else F.least(F.greatest(c("prediction"), F.lit(0.0)), F.lit(1.0))
-
-        def proba(data: DataFrame) -> DataFrame:
-            return model.transform(data).select(*data.columns, value.alias("proba"))
-
-        threshold = p["classification_threshold"]
+        fitted = regression_from(model, features, p["classification_threshold"], p["continuous"])
         if p["auto_threshold"] and not p["continuous"]:
-            best = optimize_threshold(proba(rows), (), p["threshold_metric"], y=LABEL).first()
-            threshold = float(best["best_threshold"])
-
-        def score(data: DataFrame) -> DataFrame:
-            out = proba(data)
-            if p["continuous"]:
-                return out.withColumn("y_pred", c("proba"))
-            return out.withColumn("probs", F.array(1 - c("proba"), c("proba"))).withColumn(
-                "y_pred", (c("proba") >= threshold).cast("int")
-            )
-
-        return Fitted(list(features), score, list(model.featureImportances.toArray()), {"model": model}, threshold)
+            best = optimize_threshold(fitted.score_rows(rows), (), p["threshold_metric"], y=LABEL).first()
+            fitted = regression_from(model, features, float(best["best_threshold"]), False)
+        return fitted

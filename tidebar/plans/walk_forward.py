@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
+from itertools import product
 from operator import and_
 from typing import Any
 
@@ -162,6 +163,26 @@ def run_experiment(
     return walk_forward(rows, select_features(rows, features, exp), exp, parallel)
 
 
+def parameter_search(
+    bars: DataFrame, exp: Experiment, Ts: Sequence[int], Xs: Sequence[float],
+    sources: dict[str, DataFrame] | None = None, parallel: int = 4, **layout
+) -> DataFrame:
+    """One run per label horizon and threshold: (T, X, status, accuracy, f1_macro, cohen_kappa).
+
+    A failed run is recorded with its message and the search goes on.
+    """
+    rows = []
+    for T, X in product(Ts, Xs):
+        one = replace(exp, label_params={**exp.label_params, "T": T, "X": X})
+        try:
+            m = run_experiment(bars, one, sources, parallel, **layout).pooled_metrics().first().asDict()
+            rows.append((T, float(X), "ok", m.get("accuracy"), m.get("f1_macro"), m.get("cohen_kappa")))
+        except ValueError as err:
+            rows.append((T, float(X), str(err), None, None, None))
+    schema = "T int, X double, status string, accuracy double, f1_macro double, cohen_kappa double"
+    return bars.sparkSession.createDataFrame(rows, schema)
+
+
 def combine_by_regime(
     bull: DataFrame, bear: DataFrame, regime: DataFrame, keys: Sequence[str] = ("symbol", "ts", "fold_id")
 ) -> DataFrame:
