@@ -131,6 +131,18 @@ def run_fold(rows: DataFrame, features: list[str], exp: Experiment, fold_id: int
     return materialize(out), info, fitted
 
 
+def fold_ids(rows: DataFrame, plan: FoldPlan) -> list[int]:
+    """Folds of the longest series that leave training rows."""
+    longest = rows.agg(F.max("n_rows")).first()[0] or 0
+    if longest < plan.init_train + plan.oos_window:
+        raise ValueError(f"no fold fits: longest series has {longest} rows")
+    count = (longest - plan.init_train - plan.oos_window) // plan.step + 1
+    ids = [k for k in range(count) if train_end(plan, k) > 0]
+    if not ids:
+        raise ValueError("the purge gap removes all training rows")
+    return ids
+
+
 def walk_forward(rows: DataFrame, features: list[str], exp: Experiment, parallel: int = 4) -> Result:
     """All folds of prepared rows.
 
@@ -138,14 +150,7 @@ def walk_forward(rows: DataFrame, features: list[str], exp: Experiment, parallel
     small jobs of tree training overlap.  Each fold's predictions are written
     out, so a lost executor costs at most one fold.
     """
-    longest = rows.agg(F.max("n_rows")).first()[0] or 0
-    plan = exp.plan
-    if plan.init_train >= longest or longest < plan.init_train + plan.oos_window:
-        raise ValueError(f"no fold fits: longest series has {longest} rows")
-    count = (longest - plan.init_train - plan.oos_window) // plan.step + 1
-    ids = [k for k in range(count) if train_end(plan, k) > 0]
-    if not ids:
-        raise ValueError("the purge gap removes all training rows")
+    ids = fold_ids(rows, exp.plan)
     with ThreadPoolExecutor(max_workers=parallel) as pool:
         done = list(pool.map(lambda k: run_fold(rows, features, exp, k), ids))
     preds = done[0][0]
@@ -159,6 +164,7 @@ def run_experiment(
 ) -> Result:
     """Bars to out-of-sample predictions: features, labels, selection, walk-forward."""
     rows = prepare(bars, exp, sources, **layout)
+    fold_ids(rows, exp.plan)  # too little data fails before any training
     features = [f for f in feature_columns(rows) if f not in ("row_idx", "n_rows")]
     return walk_forward(rows, select_features(rows, features, exp), exp, parallel)
 
