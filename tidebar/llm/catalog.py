@@ -6,7 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidebar.llm.common import read_table
 from tidebar.llm.exact_dedup import exact_duplicates
+from tidebar.llm.packing import pack, read_vocabulary
+from tidebar.llm.secrets import secret_digest
 from tidebar.llm.simhash import simhash_groups
+from tidebar.llm.toxicity import toxicity_scores
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(read_table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"), read_vocabulary(), with_ids=False)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +33,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_secrets": op3_secrets,
+    "op5_toxicity": op5_toxicity,
+    "op6_packing": op6_packing,
     "op7_simhash": op7_simhash,
     "op10_exact_dedup": op10_exact_dedup,
 }

@@ -83,14 +83,21 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and rows of the words of joined texts; white space is space and the bytes 9 to 13."""
-    space = (data == 32) | ((data >= 9) & (data <= 13))
+def split_words(data: np.ndarray, offsets: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and rows of the words of joined texts; white space is space and the bytes 9 to 13, and a word also
+    ends where cuts say."""
+    if not len(data):
+        return (np.zeros(0, np.int64),) * 3
+    word = ~((data == 32) | ((data >= 9) & (data <= 13)))
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[offsets] = True
-    word = ~space
-    starts = np.flatnonzero(word & np.concatenate(([True], space[:-1])) | word & edge[:-1]) if len(data) else np.zeros(0, np.int64)
-    ends = np.flatnonzero(word & np.concatenate((space[1:], [True])) | word & edge[1:]) + 1 if len(data) else np.zeros(0, np.int64)
+    if cuts is not None:
+        edge[cuts] = True
+    before, after = edge[:-1].copy(), edge[1:].copy()
+    before[1:] |= ~word[:-1]
+    after[:-1] |= ~word[1:]
+    before[0] = after[-1] = True
+    starts, ends = np.flatnonzero(word & before), np.flatnonzero(word & after) + 1
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
@@ -98,10 +105,12 @@ def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
     """A number for each word, and the distinct words (binary) that the numbers point to."""
     if not len(starts):
         return np.zeros(0, np.int64), pa.array([], pa.binary())
-    lengths = ends - starts
-    bounds = np.concatenate(([0], np.cumsum(lengths)))
-    inside = np.repeat(starts - bounds[:-1], lengths) + np.arange(bounds[-1])
-    packed = data[inside]
+    bounds = np.concatenate(([0], np.cumsum(ends - starts)))
+    # the words are all bytes that lie in one
+    depth = np.zeros(len(data) + 1, dtype=np.int8)
+    depth[starts] = 1
+    depth[ends] -= 1
+    packed = data[np.cumsum(depth[:-1], dtype=np.int8) > 0]
     words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(packed)])
     coded = words.dictionary_encode()
     return np.asarray(coded.indices, dtype=np.int64), coded.dictionary

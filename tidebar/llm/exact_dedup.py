@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidebar.llm.common import checkpointed, shuffle_partitions, whole_text
 
@@ -14,26 +17,30 @@ from tidebar.llm.common import checkpointed, shuffle_partitions, whole_text
 BLOCK = 2048
 
 
-def dense_names(rows: DataFrame, key: list[str], tie: list[str], carry: list[str]) -> DataFrame:
+def dense_names(rows: DataFrame, key: list[str], tie: list[str], carry: list[str], lead: str | None = None) -> DataFrame:
     """carry columns with `name`, the dense number (from 0) of the row's key among all sorted distinct keys.
 
-    Rows are range-partitioned on key and tie together, so one hot key spreads over as many partitions as it
-    fills. Each task numbers the keys that it sees; a key that goes on in the next task gets no second number.
-    What meets on the driver is one row a task: first key, last key, number of keys.
+    Rows are range-partitioned on lead (a number that follows from the key, so that the sampled bounds stay short; by
+    default the key itself) and tie, so one hot key spreads over as many partitions as it fills. Each task
+    numbers the keys that it sees; a key that goes on in the next task gets no second number. What meets on the
+    driver is one row a task: lead, digest of first and last key, number of keys. Should keys of the same lead mix
+    across a boundary, the work is done again with the keys themselves as bounds.
     """
     spark = rows.sparkSession
     parts = shuffle_partitions(rows)
-    ranged = rows.repartitionByRange(parts, *key, *tie).sortWithinPartitions(*key, *tie)
+    leads = [lead] if lead else key
+    ranged = rows.repartitionByRange(parts, *leads, *tie).sortWithinPartitions(*dict.fromkeys([*leads, *key, *tie]))
     kept = ranged.select(*carry).schema
     fields = [ranged.schema[k] for k in key]
-    schema = "__part long, __local long, __first binary, __last binary, " + ", ".join(
+    heads = ["__part", "__local", "__first_lead", "__first", "__last_lead", "__last"]
+    schema = "__part long, __local long, __first_lead string, __first binary, __last_lead string, __last binary, " + ", ".join(
         f"`{f.name}` {f.dataType.simpleString()}" for f in kept
     )
 
     def packed(batch, at):
-        return b"\0".join(
-            (v if isinstance(v, bytes) else str(v).encode()) for v in (batch.column(f.name)[at].as_py() for f in fields)
-        )
+        parts = (batch.column(f.name)[at].as_py() for f in fields)
+        value = b"\0".join(v if isinstance(v, (bytes, bytearray)) else str(v).encode() for v in parts)
+        return str(batch.column(leads[0])[at].as_py()) if lead else "", hashlib.sha256(value).digest()
 
     def number(batches):
         from pyspark import TaskContext
@@ -41,32 +48,31 @@ def dense_names(rows: DataFrame, key: list[str], tie: list[str], carry: list[str
         part = TaskContext.get().partitionId()
         seen, last, first = -1, None, None
         for batch in batches:
-            if not batch.num_rows:
+            count = batch.num_rows
+            if not count:
                 continue
-            new = np.zeros(batch.num_rows, dtype=bool)
+            new = np.zeros(count, dtype=bool)
             for f in fields:
                 values = batch.column(f.name)
-                new[1:] |= np.asarray(pc.not_equal(values.slice(1), values.slice(0, batch.num_rows - 1)))
+                new[1:] |= np.asarray(pc.not_equal(values.slice(1), values.slice(0, count - 1)))
             head = packed(batch, 0)
             new[0] = head != last
             first = head if first is None else first
             local = seen + np.cumsum(new)
-            seen, last = int(local[-1]), packed(batch, batch.num_rows - 1)
-            none = pa.nulls(batch.num_rows, pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(batch.num_rows, part)), pa.array(local), none, none]
-                + [batch.column(f.name) for f in kept],
-                names=["__part", "__local", "__first", "__last"] + [f.name for f in kept],
-            )
+            seen, last = int(local[-1]), packed(batch, count - 1)
+            none = [pa.nulls(count, pa.string()), pa.nulls(count, pa.binary())] * 2
+            columns = [pa.array(np.full(count, part)), pa.array(local), *none, *(batch.column(f.name) for f in kept)]
+            yield pa.RecordBatch.from_arrays(columns, names=heads + [f.name for f in kept])
         if first is not None:
-            columns = [pa.array([part]), pa.array([seen]), pa.array([first], pa.binary()), pa.array([last], pa.binary())]
-            empty = [pa.nulls(1, to_arrow(f.dataType)) for f in kept]
-            yield pa.RecordBatch.from_arrays(
-                columns + empty, names=["__part", "__local", "__first", "__last"] + [f.name for f in kept]
-            )
+            edge = [pa.array([x], k) for x, k in zip((*first, *last), (pa.string(), pa.binary()) * 2)]
+            empty = [pa.nulls(1, to_arrow_type(f.dataType)) for f in kept]
+            columns = [pa.array([part]), pa.array([seen]), *edge, *empty]
+            yield pa.RecordBatch.from_arrays(columns, names=heads + [f.name for f in kept])
 
     numbered = checkpointed(ranged.mapInArrow(number, schema))
-    edges = numbered.where("__first is not null").select("__part", "__local", "__first", "__last").orderBy("__part").collect()
+    edges = numbered.where("__first is not null").select(*heads).orderBy("__part").collect()
+    if lead and any(a["__last_lead"] == b["__first_lead"] and a["__last"] != b["__first"] for a, b in zip(edges, edges[1:])):
+        return dense_names(rows, key, tie, carry)
     shifts, total, before = [], 0, None
     for edge in edges:
         shift = total - 1 if edge["__first"] == before else total
@@ -81,12 +87,6 @@ def dense_names(rows: DataFrame, key: list[str], tie: list[str], carry: list[str
     )
 
 
-def to_arrow(kind) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(kind)
-
-
 def identities(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """row, doc_id, text_sha256, level, name: equal (level, name) exactly for equal texts.
 
@@ -109,7 +109,8 @@ def identities(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         .withColumn("doc_id", F.when(F.col("pos") == 0, F.col("doc_id")))
         .withColumn("text_sha256", F.when(F.col("pos") == 0, F.col("text_sha256")))
     )
-    named = dense_names(blocks, ["content"], ["row", "pos"], ["row", "pos", "doc_id", "text_sha256", "blocks"])
+    blocks = blocks.withColumn("lead", F.xxhash64("content"))
+    named = dense_names(blocks, ["content"], ["row", "pos"], ["row", "pos", "doc_id", "text_sha256", "blocks"], "lead")
     named = checkpointed(named.withColumn("pos", F.col("pos").cast("long")))
     longest = named.agg(F.max("blocks")).first()[0] or 0
     heads = named.where("pos = 0").select("row", "doc_id", "text_sha256")
