@@ -6,16 +6,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidebar.llm.common import read_table
 from tidebar.llm.exact_dedup import exact_duplicates
+from tidebar.llm.line_dedup import line_dedup_digest
+from tidebar.llm.neighbours import nearest
 from tidebar.llm.packing import pack, read_vocabulary
+from tidebar.llm.pieces import pieces_digest, read_pieces
+from tidebar.llm.ppm import lm_scores
 from tidebar.llm.secrets import secret_digest
+from tidebar.llm.sharding import balanced_shards
 from tidebar.llm.simhash import simhash_groups
 from tidebar.llm.toxicity import toxicity_scores
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup_digest(read_table(spark, sf_dir, "documents"))
+
+
+def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(read_table(spark, sf_dir, "documents"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read_table(spark, sf_dir, "embeddings"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -28,15 +45,28 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces_digest(read_table(spark, sf_dir, "documents"), read_pieces())
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balanced_shards(read_table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read_table(spark, sf_dir, "documents")).drop("level", "name")
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_ppm": op2_ppm,
     "op3_secrets": op3_secrets,
+    "op4_neighbours": op4_neighbours,
     "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
     "op7_simhash": op7_simhash,
+    "op8_pieces": op8_pieces,
+    "op9_sharding": op9_sharding,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
