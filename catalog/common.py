@@ -13,6 +13,8 @@ from tidebar.operators.frame import Frame, lay_out
 from tidebar.operators.labels import get_label_strategy
 from tidebar.sources.bars import order_bars
 
+#: Blocks so small that series of the test tables are cut into several, as long series are by default.
+BLOCKED = {"block_rows": 512, "cell_rows": 64}
 PLAN = FoldPlan(init_train=900, oos_window=63, step=21, purge_gap=7)
 
 
@@ -27,8 +29,8 @@ def canon(df: DataFrame) -> DataFrame:
     return df.select(*[one(n, k) for n, k in df.dtypes])
 
 
-def bar_frame(spark: SparkSession, sf_dir: str, lookback: int = 0, lookahead: int = 0, symbol="o_orderpriority") -> Frame:
-    return lay_out(order_bars(spark, sf_dir, symbol), lookback=lookback, lookahead=lookahead)
+def bar_frame(spark: SparkSession, sf_dir: str, lookback: int = 0, lookahead: int = 0, symbol="o_orderpriority", **layout) -> Frame:
+    return lay_out(order_bars(spark, sf_dir, symbol), lookback=lookback, lookahead=lookahead, **layout)
 
 
 def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

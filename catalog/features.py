@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from catalog.common import order_bars
+from catalog.common import BLOCKED, order_bars
 from tidebar.features.builder import build_frame
 from tidebar.features.registry import get_feature_set
 from tidebar.sources.bars import outside_series
 
+#: Sets whose blocked form is registered too: running values, exponential means, streaks, long windows, outside series.
+BLOCKED_SETS = ("technical", "volume", "onchain", "sentiment", "market_structure", "external_fr")
 RAW = ["open", "high", "low", "close", "volume", "quote_volume", "trades"]
 
 
-def feature_query(sets: list[str], drop: list[str] | None = None):
+def feature_query(sets: list[str], drop: list[str] | None = None, **layout):
     def run(spark, sf_dir):
         sources = outside_series(spark, sf_dir) if any(get_feature_set(s).sources for s in sets) else None
-        df = build_frame(order_bars(spark, sf_dir), sets, sources).finish()
+        df = build_frame(order_bars(spark, sf_dir), sets, sources, **layout).finish()
         return df.drop(*RAW, *(drop or []))
 
     return run
@@ -35,3 +37,5 @@ QUERIES = {
         "external", "external_fgi", "external_fgi_enhanced", "external_macro", "external_fr",
     )
 } | {"features_lag_rolling": lag_rolling}
+
+QUERIES |= {f"features_{s}_blocked": feature_query([s], **BLOCKED) for s in BLOCKED_SETS}

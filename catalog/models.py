@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.common import order_bars
+from tidebar.functions.scalars import map_values
 from tidebar.models import create_model
 from tidebar.models.calibration import calibrated, calibration_report
 from tidebar.operators.folds import FoldPlan
 from tidebar.operators.metrics import compute_metrics
-from tidebar.operators.prepare import tail
 from tidebar.plans.signals import decide
-from tidebar.plans.walk_forward import Experiment, prepare, run_ensemble, run_experiment, select_features
+from tidebar.plans.walk_forward import (
+    Experiment, fold_bounds, latest_rows, prepare, run_ensemble, run_experiment, score_latest, select_features,
+)
+from tidebar.session import materialize
 
 c = F.col
 
@@ -90,15 +93,67 @@ def ensemble(s, d):
     return compute_metrics(both, ["symbol"])
 
 
+def labelled(rows, mapping):
+    return rows.withColumn("label", map_values("label", mapping))
+
+
+def newest(s, d):
+    """Bull and bear probabilities of the newest bar of each series; one feature table trains both models."""
+    exp = Experiment(["technical"], **{**BULL, "label_map": None})
+    bars = materialize(order_bars(s, d))
+    data = prepare(bars, exp)
+    models = {
+        f"{name}_prob": create_model("boosted_trees", SMALL).fit(labelled(data, cfg["label_map"]), FEATURES)
+        for name, cfg in (("bull", BULL), ("bear", BEAR))
+    }
+    return score_latest(latest_rows(bars, exp), models)
+
+
 def latest_signal(s, d):
-    """Both models on the latest bar of each series, then the signal decision."""
+    """Both models on the newest bar of each series, then the signal decision."""
+    return decide(newest(s, d)).withColumn("risk_notes", F.concat_ws("|", "risk_notes"))
+
+
+def latest_signal_keys(s, d):
+    """The series and times that are scored, and whether the decision is well formed."""
+    codes = c("signal_code").isin("BULL", "BEAR", "NEUTRAL", "VOLATILE")
+    fine = c("bull_prob").between(0, 1) & c("bear_prob").between(0, 1) & codes
+    return decide(newest(s, d)).select("symbol", "ts", F.coalesce(fine, F.lit(False)).cast("int").alias("well_formed"))
+
+
+def checks(s, d):
+    """Every kind of model on the last fifth of the times: rows per series, and what must hold for their scores."""
+    data = materialize(prepare(order_bars(s, d), Experiment(["technical"], **{**BULL, "label_map": None})))
+    two = labelled(data, BULL["label_map"])
+    train, test = split(two)
+    bases = [{"name": f"b{k}", "params": {**SMALL, "max_depth": k}} for k in (2, 3)]
+    fitted = {
+        "classes": create_model("boosted_trees", {**SMALL, "early_stopping_rounds": 10}).fit(train, FEATURES),
+        "regression": create_model("boosted_trees_regressor", {**SMALL, "auto_threshold": True}).fit(train, FEATURES),
+        "stacking": create_model("stacking", {"base_models": bases}).fit(train, FEATURES),
+        "calibrated": calibrated(create_model("boosted_trees", SMALL), train, FEATURES, "isotonic"),
+        "three_classes": create_model("boosted_trees", SMALL).fit(split(data)[0], FEATURES),
+    }
     out = None
-    for name, cfg in (("bull", BULL), ("bear", BEAR)):
-        data = prepare(order_bars(s, d), Experiment(["technical"], **cfg))
-        fitted = create_model("boosted_trees", SMALL).fit(data, FEATURES)
-        one = fitted.score(tail(data, 1)).select("symbol", "ts", c("proba").alias(f"{name}_prob"))
-        out = one if out is None else out.join(one, ["symbol", "ts"])
-    return decide(out).withColumn("risk_notes", F.concat_ws("|", "risk_notes"))
+    for name, model in fitted.items():
+        held = (split(data)[1] if name == "three_classes" else test)
+        sums = F.abs(F.aggregate("probs", F.lit(0.0), lambda a, x: a + x) - 1) < 1e-6
+        best = c("y_pred").isin(0, 1, 2) if name == "three_classes" else (
+            c("y_pred") == (c("proba") >= F.lit(model.threshold)).cast("int") if name == "regression" else c("y_pred").isin(0, 1)
+        )
+        fine = c("proba").between(0, 1) & sums & best & F.lit(len(model.importance()) == len(FEATURES))
+        one = model.score(held).groupBy("symbol").agg(
+            F.count(F.lit(1)).alias("n_test"), F.min(F.coalesce(fine, F.lit(False)).cast("int")).alias("well_formed")
+        ).withColumn("model", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def no_future(s, d):
+    """Per fold of 63 and 21 times: last training and first test time, and the rows of either."""
+    plan = FoldPlan(init_train=1000, oos_window=63, step=21, purge_gap=14)
+    exp = Experiment(["technical"], **{**BULL, "plan": plan})
+    return fold_bounds(prepare(order_bars(s, d), exp), plan)
 
 
 QUERIES = {
@@ -112,4 +167,7 @@ QUERIES = {
     "walk_forward_experiment": experiment,
     "walk_forward_ensemble": ensemble,
     "latest_signal": latest_signal,
+    "latest_signal_keys": latest_signal_keys,
+    "model_checks": checks,
+    "walk_forward_no_future": no_future,
 }

@@ -146,7 +146,9 @@ QUERIES = {
     "runs_best_per_metric": lambda s, d: best_per_metric(long_metrics(registry(s, d))),
     "runs_compare_two": two_runs,
     "runs_version_table": versions,
+    "runs_best_with_gaps": lambda s, d: flat(best_run(registry(s, d), "f1_macro")),
     "runs_config_diff": lambda s, d: config_diff(config_rows(s, d)),
+    "runs_config_diff_absent": lambda s, d: config_diff(config_rows(s, d).where("key <> 'label.strategy' or run % 10 > 0"), "run"),
     "runs_fold_summary": lambda s, d: fold_summary(fold_table(s, d), ["accuracy", "f1_macro", "cohen_kappa"]),
     "importance_rank": lambda s, d: importance_rank(importances(s, d), ["run_id"]),
     "importance_top_n": lambda s, d: importance_rank(importances(s, d), ["run_id"], 15),

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
-from catalog.common import bar_frame, order_bars
+from catalog.common import BLOCKED, bar_frame, order_bars
 from tidebar.functions.scalars import zscore
 from tidebar.operators.ranks import pct_rank
 from tidebar.sources.bars import event_bars
@@ -17,15 +19,15 @@ def _pick(f, names):
     return f.finish().select("symbol", "ts", *names)
 
 
-def shifts(s, d):
-    f = bar_frame(s, d, lookback=14, lookahead=7)
+def shifts(s, d, **layout):
+    f = bar_frame(s, d, **layout, lookback=14, lookahead=7)
     cols = {f"lag_{n}": f.lag("close", n) for n in (1, 14)} | {f"lead_{n}": f.lead("close", n) for n in (1, 7)}
     cols |= {"diff_1": f.diff("close"), "diff_3": f.diff("close", 3), "pct_1": f.change("close"), "pct_7": f.change("volume", 7)}
     return _pick(f.add(cols), cols)
 
 
-def rolling(s, d):
-    f = bar_frame(s, d, lookback=60)
+def rolling(s, d, **layout):
+    f = bar_frame(s, d, **layout, lookback=60)
     cols = {f"mean_{w}": f.mean("close", w) for w in (5, 50)} | {f"sum_{w}": f.sum("volume", w) for w in (7, 24)}
     cols |= {f"std_{w}": f.std("close", w) for w in (10, 30)}
     cols |= {"max_14": f.max("high", 14), "min_14": f.min("low", 14), "median_60": f.median("close", 60)}
@@ -33,34 +35,34 @@ def rolling(s, d):
     return _pick(f.add(cols), cols)
 
 
-def min_periods(s, d):
-    f = bar_frame(s, d, lookback=365)
+def min_periods(s, d, **layout):
+    f = bar_frame(s, d, **layout, lookback=365)
     cols = {"max_365": f.max("close", 365, 1), "min_30": f.min("close", 30, 1), "mean_20_min5": f.mean("close", 20, 5)}
     return _pick(f.add(cols), cols)
 
 
-def running(s, d):
-    f = bar_frame(s, d, lookback=1)
+def running(s, d, **layout):
+    f = bar_frame(s, d, **layout, lookback=1)
     f = f.add({"ret": f.change("close")}).expanding_mean({"mean_all": "close"})
     f = f.cumulative({"sum_volume": ("sum", "volume"), "max_close": ("max", "close"), "min_close": ("min", "close")})
     f = f.cumulative({"growth": ("prod", 1 + F.signum(c("ret")) * 0.01)})
     return _pick(f, ["mean_all", "sum_volume", "max_close", "min_close", "growth"])
 
 
-def ema(s, d):
-    f = bar_frame(s, d, lookback=ema_segment(26))
+def ema(s, d, **layout):
+    f = bar_frame(s, d, **layout, lookback=ema_segment(26))
     return _pick(f.ema({"ema_12": ("close", 12), "ema_26": ("close", 26)}), ["ema_12", "ema_26"])
 
 
-def hourly_ema(s, d):
+def hourly_ema(s, d, **layout):
     """Hourly event bars, with gaps between hours."""
-    f = lay_out(event_bars(s, d), lookback=ema_segment(9)).ema({"ema_9": ("close", 9)})
+    f = lay_out(event_bars(s, d), lookback=ema_segment(9), **layout).ema({"ema_9": ("close", 9)})
     f = f.add({"mean_24": f.mean("close", 24)})
     return _pick(f, ["ema_9", "mean_24"])
 
 
-def streaks(s, d):
-    f = bar_frame(s, d, lookback=1)
+def streaks(s, d, **layout):
+    f = bar_frame(s, d, **layout, lookback=1)
     f = f.add({"ret": f.change("close")})
     return _pick(f.streak({"up": c("ret") > 0, "down": c("ret") < 0}), ["up", "down"])
 
@@ -70,14 +72,14 @@ def ranks(s, d):
     return pct_rank(df, "level", "pct_rank").select("symbol", "ts", "pct_rank")
 
 
-def forward(s, d):
-    f = bar_frame(s, d, lookahead=14)
+def forward(s, d, **layout):
+    f = bar_frame(s, d, **layout, lookahead=14)
     return _pick(f.add({"max_ahead": f.ahead(F.max("close"), "close", 14), "min_ahead": f.ahead(F.min("close"), "close", 14)}),
                  ["max_ahead", "min_ahead"])
 
 
-def zscores(s, d):
-    f = bar_frame(s, d, lookback=90)
+def zscores(s, d, **layout):
+    f = bar_frame(s, d, **layout, lookback=90)
     cols = {f"z_{w}": zscore("close", f.mean("close", w), f.std("close", w)) for w in (60, 90)}
     return _pick(f.add(cols), cols)
 
@@ -94,3 +96,7 @@ QUERIES = {
     "window_forward": forward,
     "window_zscore": zscores,
 }
+
+QUERIES |= {
+    f"{name}_blocked": partial(query, **BLOCKED) for name, query in QUERIES.items() if name != "window_pct_rank"
+}

@@ -424,4 +424,6 @@ def sql() -> dict[str, str]:
         technical, volume, flow, market_structure, onchain, sentiment, regime, bear_volatility, lag_rolling,
         external, external_fgi, external_fgi_enhanced, external_macro, external_fr,
     )
-    return {f"features_{s.__name__}": s() for s in sets}
+    out = {f"features_{s.__name__}": s() for s in sets}
+    blocked = (technical, volume, onchain, sentiment, market_structure, external_fr)
+    return out | {f"features_{s.__name__}_blocked": out[f"features_{s.__name__}"] for s in blocked}

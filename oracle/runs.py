@@ -38,9 +38,10 @@ def sql() -> dict[str, str]:
     }
     top = lambda where, order, n: Layers("reg", [REG, ("t", f"SELECT * FROM reg WHERE {where} ORDER BY {order} LIMIT {n}")])
     for name, where, order, n in (
-        ("runs_sorted_by_metric", "status = 'completed'", "coalesce(f1_macro, 0), experiment_id", 50),
+        ("runs_sorted_by_metric", "status = 'completed'", "f1_macro ASC NULLS LAST, experiment_id", 50),
         ("runs_sorted_by_field", "TRUE", "duration_seconds DESC, experiment_id", 20),
-        ("runs_best", "status = 'completed'", "cohen_kappa DESC, experiment_id", 1),
+        ("runs_best", "status = 'completed'", "cohen_kappa DESC NULLS LAST, experiment_id", 1),
+        ("runs_best_with_gaps", "status = 'completed'", "f1_macro DESC NULLS LAST, experiment_id", 1),
     ):
         q = top(where, order, n)
         q.last = "t"
@@ -69,6 +70,10 @@ def sql() -> dict[str, str]:
                     "UNION ALL SELECT 'model.type', o_orderstatus FROM orders UNION ALL SELECT 'model.max_depth', 'N/A' FROM orders")
     q = Layers("cd", [conf, ("cd", "SELECT key, count(DISTINCT value) = 1 AS same, count(*) AS n_runs FROM conf GROUP BY 1")])
     out["runs_config_diff"] = q.out(["key", "same", "n_runs"], [])
+    absent = ("conf", "SELECT o_orderkey AS run, 'label.T' AS key, (o_custkey % 3 * 7)::VARCHAR AS value FROM orders UNION ALL SELECT o_orderkey, 'label.strategy', 'reversal' FROM orders "
+                      "WHERE o_orderkey % 10 > 0 UNION ALL SELECT o_orderkey, 'model.type', o_orderstatus FROM orders UNION ALL SELECT o_orderkey, 'model.max_depth', 'N/A' FROM orders")
+    q = Layers("cd", [absent, ("cd", "SELECT key, count(DISTINCT value) = 1 AND count(DISTINCT run) = (SELECT count(DISTINCT run) FROM conf) AS same, count(*) AS n_runs FROM conf GROUP BY 1")])
+    out["runs_config_diff_absent"] = q.out(["key", "same", "n_runs"], [])
     folds = ("folds", "SELECT l_orderkey AS run_id, l_quantity / 50 AS accuracy, 1 - l_discount AS f1_macro, l_tax - l_discount AS cohen_kappa FROM lineitem")
     ms = ("accuracy", "f1_macro", "cohen_kappa")
     aggs = ", ".join(f"avg({m}) AS {m}_mean, stddev_samp({m}) AS {m}_std, min({m}) AS {m}_min, max({m}) AS {m}_max" for m in ms)

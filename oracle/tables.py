@@ -105,6 +105,11 @@ def sql() -> dict[str, str]:
         "QUALIFY row_number() OVER (PARTITION BY o_orderpriority, o_orderdate ORDER BY o_orderkey DESC) = 1",
         [*KEYS, "o_orderkey", "o_orderstatus"], ["o_totalprice"],
     )
+    out["dedupe_null_sequence"] = simple(
+        "SELECT o_orderpriority AS symbol, o_orderdate AS ts, o_orderkey, CASE WHEN o_custkey % 3 = 0 THEN o_orderkey END AS seq FROM orders "
+        "QUALIFY row_number() OVER (PARTITION BY o_orderpriority, o_orderdate ORDER BY seq DESC NULLS LAST, o_orderkey DESC) = 1",
+        [*KEYS, "o_orderkey", "seq"], [],
+    )
     out["date_range"] = Layers("bars", [BARS]).where(
         "ts BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1998-06-30'"
     ).out(ALL_BAR, BAR_DOUBLES)

@@ -44,15 +44,19 @@ def calibrated(
 ) -> Fitted:
     """cv models, each calibrated on the part it did not see; probabilities are averaged.
 
-    Parts are runs of consecutive rows.
+    Parts are runs of consecutive times (``row``: position on the calendar of all series). A part whose rows are all of one
+    class cannot be calibrated on: that is an error.
     """
     if method not in METHODS:
         raise ValueError(f"unknown calibration '{method}', use one of {METHODS}")
     if method == "none":
         return model.fit(df, features, weight)
     rows = with_vector(df, features)
-    size = df.agg(F.max(row)).first()[0] + 1
-    part = F.least(F.floor(c(row) * F.lit(cv) / F.lit(size)), F.lit(cv - 1))
+    first, last = df.agg(F.min(row), F.max(row)).first()
+    part = F.least(F.floor((c(row) - F.lit(first)) * F.lit(cv) / F.lit(last - first + 1)), F.lit(cv - 1))
+    seen = {r[0]: r[1] for r in df.groupBy(part.alias("part")).agg(F.count_distinct(LABEL)).collect()}
+    if any(seen.get(k, 0) < 2 for k in range(cv)):
+        raise ValueError(f"calibration in {cv} parts needs rows of both classes in each; found {seen}")
     pairs = []
     for k in range(cv):
         fitted = model.fit(rows.filter(part != k), features, weight)

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebar.models.base import FEATURES, LABEL, WEIGHT, Fitted, Model, balanced_weight, class_counts, create_model, register_model, with_vector
-from tidebar.operators.folds import inner_time_splits, series_sizes
 from tidebar.session import materialize
 
 c = F.col
@@ -63,14 +62,15 @@ def stack_from(meta, bases: Sequence[Fitted], features: Sequence[str], use_proba
 class Stacking(Model):
     """First-layer probabilities from expanding inner time splits feed the second layer.
 
-    Needs ``row_idx`` (position in the series) and the key columns ``by``.
+    Needs ``row_idx``, the position of the row's time on the calendar of all series, so no split trains on what
+    comes after its validation rows. The last n_cv_folds of n_cv_folds + 1 equal parts are validated in turn.
     Validation rows of one split pass through all first-layer models, so the
     second-layer input needs no joins.
     """
 
     defaults = {
         "base_models": BASE_MODELS, "meta_model": "logistic", "n_cv_folds": 3, "use_proba": True,
-        "passthrough": False, "auto_scale_pos_weight": True, "by": ("symbol",),
+        "passthrough": False, "auto_scale_pos_weight": True,
     }
 
     def _bases(self, df: DataFrame, features: Sequence[str], weight: str | None) -> list[Fitted]:
@@ -81,17 +81,17 @@ class Stacking(Model):
         ]
 
     def fit(self, df: DataFrame, features: Sequence[str], weight: str | None = None) -> Fitted:
-        p, by = self.params, list(self.params["by"])
+        p = self.params
         if p["meta_model"] not in ("logistic", "boosted_trees"):
             raise ValueError(f"unknown second layer '{p['meta_model']}'")
         rows = with_vector(df, features)
-        splits = inner_time_splits(series_sizes(df, by), p["n_cv_folds"])
+        first, last = df.agg(F.min("row_idx"), F.max("row_idx")).first()
+        size = (last - first + 1) // (p["n_cv_folds"] + 1) if last is not None else 0
         parts = []
         for k in range(p["n_cv_folds"]):
-            bounds = splits.filter(c("split_id") == k)
-            cut = rows.join(bounds, by)
-            train = cut.filter(c("row_idx") < c("valid_start")).select(*rows.columns)
-            valid = cut.filter((c("row_idx") >= c("valid_start")) & (c("row_idx") < c("valid_end"))).select(*rows.columns)
+            start = last + 1 - (p["n_cv_folds"] - k) * size
+            train = rows.filter(c("row_idx") < start)
+            valid = rows.filter((c("row_idx") >= start) & (c("row_idx") < start + size))
             parts.append(first_layer(valid, self._bases(train, features, weight), p["use_proba"]))
         meta_rows = parts[0]
         for part in parts[1:]:

@@ -27,8 +27,19 @@ from tidebar.operators.metrics import optimize_threshold
 c = F.col
 
 
+#: Parameters that the models of this module read.
+KNOWN = {
+    "n_estimators", "max_depth", "learning_rate", "subsample", "colsample_bytree", "min_child_samples", "random_state",
+    "max_memory_mb", "auto_scale_pos_weight", "early_stopping_rounds", "validation_tol", "row_column", "validation_share",
+    "validation_least", "classification_threshold", "auto_threshold", "threshold_metric", "continuous",
+}
+
+
 def tree_params(params: dict[str, Any]) -> dict[str, Any]:
-    """Common boosting names to Spark ML names."""
+    """Common boosting names to Spark ML names; a name that has no counterpart is an error."""
+    unknown = set(params) - KNOWN
+    if unknown:
+        raise ValueError(f"parameters without a counterpart: {sorted(unknown)}")
     share = params.get("colsample_bytree", 0.8)
     return {
         "maxDepth": params.get("max_depth", 6),
@@ -40,8 +51,6 @@ def tree_params(params: dict[str, Any]) -> dict[str, Any]:
     }
 
 
-
-
 def classes_from(model, features: Sequence[str]) -> Fitted:
     """Scoring with a trained tree classifier."""
 
@@ -76,14 +85,16 @@ def regression_from(model, features: Sequence[str], threshold: float, continuous
 class BoostedTrees(Model):
     """Binary: gradient-boosted trees; more classes: a forest.
 
-    ``early_stopping_rounds`` with ``row_column`` holds the last tenth of the
-    rows out for validation; ``auto_scale_pos_weight`` balances two classes.
+    ``early_stopping_rounds`` (Spark ML knows on and off: training stops when the held-out error no longer falls by
+    ``validation_tol``) holds out the last ``validation_share`` of the times in ``row_column``, ``validation_least`` at
+    least; it needs more times than that. ``auto_scale_pos_weight`` balances two classes.
     """
 
     defaults = {
         "n_estimators": 500, "max_depth": 6, "learning_rate": 0.05, "subsample": 0.8, "colsample_bytree": 0.8,
         "min_child_samples": 20, "random_state": 42, "auto_scale_pos_weight": True,
         "early_stopping_rounds": None, "validation_tol": 0.01, "row_column": "row_idx",
+        "validation_share": 0.1, "validation_least": 50,
     }
 
     def fit(self, df: DataFrame, features: Sequence[str], weight: str | None = None) -> Fitted:
@@ -93,9 +104,12 @@ class BoostedTrees(Model):
         rows = with_vector(df, features).withColumn(WEIGHT, scale).withColumn(LABEL, c(LABEL).cast("double"))
         common = dict(featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT, **tree_params(p))
         if set(counts) <= {0, 1}:
-            if p["early_stopping_rounds"] and sum(counts.values()) > 500:
-                last = df.agg(F.max(p["row_column"])).first()[0] + 1
-                held = c(p["row_column"]) >= last - max(int(last * 0.1), 50)
+            if p["early_stopping_rounds"]:
+                first, last = df.agg(F.min(p["row_column"]), F.max(p["row_column"])).first()
+                held_times = max(int((last - first + 1) * p["validation_share"]), p["validation_least"])
+                if held_times > last - first:
+                    raise ValueError(f"early stopping holds out {held_times} times; there are {last - first + 1}")
+                held = c(p["row_column"]) > last - held_times
                 rows = rows.withColumn("__held", held)
                 common |= {"validationIndicatorCol": "__held", "validationTol": p["validation_tol"]}
             model = GBTClassifier(maxIter=p["n_estimators"], stepSize=p["learning_rate"], **common).fit(rows)

@@ -77,6 +77,19 @@ def number_rows(
     return numbered.join(series_sizes(numbered, by), list(by))
 
 
+def number_times(
+    df: DataFrame, ts: str = "ts", block_rows: int = BLOCK_ROWS, cell_rows: int = CELL_ROWS
+) -> DataFrame:
+    """Add ``row_idx`` (position of the row's time among all distinct times of df) and ``n_rows`` (their number).
+
+    Folds cut on these positions are cut on the calendar, so a model trained on many series never sees rows after the
+    first test time, whatever dates the series have. For one series they are its row numbers.
+    """
+    times = df.select(ts).distinct().withColumn("everything", F.lit(0))
+    numbered = number_rows(times, ["everything"], ts, block_rows, cell_rows).drop("everything")
+    return df.drop("row_idx", "n_rows").join(numbered, ts)
+
+
 def assign_test_folds(numbered: DataFrame, plan: FoldPlan) -> DataFrame:
     """One row per (row, fold that tests it); overlapping folds repeat a row."""
     behind = c("row_idx") - F.lit(plan.init_train)

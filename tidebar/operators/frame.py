@@ -112,7 +112,7 @@ class Frame:
             df = df.filter(self._own())
         if keep_row_number:
             df = df.withColumn(keep_row_number, F.col("__rn"))
-        return df.drop(*[c for c in df.columns if c.startswith("__")])
+        return df.drop(*[c for c in df.columns if c.startswith("__") and c != keep_row_number])
 
     # -- windows ---------------------------------------------------------
     @property
@@ -283,6 +283,8 @@ class Frame:
         totals = rows.groupBy(*self.keys, cell.alias("__cell")).agg(
             *[total(k, c, "__rn").alias(n) for n, (k, c) in exprs.items()]
         )
+        # a few rows a block, written once: each later aggregate reads this frame one time for its totals and one time for its rows
+        totals = materialize(totals)
         carries = prefix_scan(
             totals.drop("__blk"), self.by, "__cell", {f"__c_{n}": (k, F.col(n)) for n, (k, _) in exprs.items()}
         )

@@ -25,13 +25,15 @@ def require_columns(df: DataFrame, required: Sequence[str] = REQUIRED_COLUMNS) -
 
 
 def dedupe_keep_last(df: DataFrame, keys: Sequence[str], sequence: str) -> DataFrame:
-    """Last row per key by ``sequence``.
+    """Last row per key by ``sequence``; rows without one come before all others.
 
+    Of equal sequences the largest row (column by column, nulls first) stays.
     An aggregate, not a row_number window: copies of one key collapse on the
     map side, so a key holding a third of the rows stays cheap.
     """
     rest = [c for c in df.columns if c not in keys]
-    last = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), sequence).alias("__last"))
+    order = F.struct(F.col(sequence).isNotNull().alias("known"), F.col(sequence).alias("at"), F.struct(*rest).alias("row"))
+    last = df.groupBy(*keys).agg(F.max(order)["row"].alias("__last"))
     return last.select(*[F.col(c) if c in keys else F.col(f"__last.{c}").alias(c) for c in df.columns])
 
 

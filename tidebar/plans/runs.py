@@ -28,7 +28,7 @@ def filter_runs(
 ) -> DataFrame:
     """Runs matching every condition, optionally sorted by a field or metric.
 
-    A missing sort value counts as 0 ascending and as infinity descending.
+    Runs without the sort value come last.
     """
     if status:
         registry = registry.filter(c("status") == status)
@@ -43,13 +43,9 @@ def filter_runs(
             F.lower("name").contains(text) | F.lower("experiment_id").contains(text)
         )
     if sort_by:
-        if sort_by in registry.columns:
-            value = c(sort_by)
-            if dict(registry.dtypes)[sort_by] not in ("string", "timestamp", "date", "timestamp_ntz"):
-                value = F.coalesce(value, F.lit(0.0 if ascending else float("inf")))
-        else:
-            value = F.coalesce(metric(sort_by), F.lit(0.0 if ascending else float("inf")))
-        registry = registry.orderBy(value.asc() if ascending else value.desc(), "experiment_id")
+        value = c(sort_by) if sort_by in registry.columns else metric(sort_by)
+        order = value.asc_nulls_last() if ascending else value.desc_nulls_last()
+        registry = registry.orderBy(order, "experiment_id")
     return registry.limit(top_n) if top_n else registry
 
 
@@ -82,17 +78,18 @@ def archive(
     return registry.filter(~hit), registry.filter(hit)
 
 
-def export_flat(registry: DataFrame, metrics: Sequence[str] | None = None) -> DataFrame:
+def export_flat(registry: DataFrame, metrics: Sequence[str] | None = None, most: int = 1000) -> DataFrame:
     """Metrics as columns, tags joined by commas.
 
     Without a list, the metric names are read from the data (a distinct over
-    map keys, merged on the map side).
+    map keys, merged on the map side); more than ``most`` of them are an error,
+    for a table of that many columns should be asked for by name.
     """
     if metrics is None:
         keys = registry.select(F.explode(F.map_keys("aggregate_metrics")).alias("k")).distinct()
-        metrics = sorted(r[0] for r in keys.limit(1000).collect())
-        if len(metrics) == 1000:
-            raise ValueError("too many metric names for columns; pass the list to export")
+        metrics = sorted(r[0] for r in keys.limit(most + 1).collect())
+        if len(metrics) > most:
+            raise ValueError(f"more than {most} metric names; pass the list to export")
     plain = [x for x in registry.columns if x not in ("aggregate_metrics", "tags")]
     return registry.select(*plain, F.concat_ws(",", "tags").alias("tags"), *[metric(m).alias(m) for m in metrics])
 
@@ -149,13 +146,21 @@ def best_per_metric(long: DataFrame) -> DataFrame:
     )
 
 
-def config_diff(long_config: DataFrame) -> DataFrame:
-    """(run, key, value) rows to one row per key with a same/different flag."""
+def config_diff(long_config: DataFrame, run: str | None = None) -> DataFrame:
+    """(run, key, value) rows to one row per key with a same/different flag.
+
+    With the run column's name, a key that some run lacks counts as different, as a value of N/A would.
+    """
     value = F.coalesce("value", F.lit("N/A"))
-    return long_config.groupBy("key").agg(
+    keys = long_config.groupBy("key").agg(
         (F.min(value) == F.max(value)).alias("same"),
         F.count(F.lit(1)).alias("n_runs"),
+        *([F.count_distinct(run).alias("__runs")] if run else []),
     )
+    if not run:
+        return keys
+    total = long_config.agg(F.count_distinct(run)).first()[0]
+    return keys.select("key", (c("same") & (c("__runs") == F.lit(total))).alias("same"), "n_runs")
 
 
 def fold_summary(folds: DataFrame, metrics: Sequence[str], by: Sequence[str] = ("run_id",)) -> DataFrame:
@@ -191,7 +196,17 @@ def importance_overlap(pairs: DataFrame, tops: DataFrame) -> DataFrame:
     )
 
 
-def parameter_grid(params: DataFrame, first: str = "T", second: str = "X") -> DataFrame:
-    """All combinations of the distinct values of two parameter columns."""
-    lists = params.agg(F.collect_set(first).alias("__a"), F.collect_set(second).alias("__b"))
-    return lists.select(F.explode("__a").alias(first), "__b").select(first, F.explode("__b").alias(second))
+def parameter_grid(params: DataFrame, first: str = "T", second: str = "X", most: int = 10_000) -> DataFrame:
+    """All combinations of the distinct values of two parameter columns.
+
+    Each list is a search space that one driver works through, so more than ``most`` values are an error.
+    """
+    lists = []
+    for name in (first, second):
+        values = [r[0] for r in params.select(name).where(c(name).isNotNull()).distinct().limit(most + 1).collect()]
+        if len(values) > most:
+            raise ValueError(f"'{name}' has more than {most} values; that is no search space")
+        lists.append(values)
+    kinds = dict(params.dtypes)
+    rows = params.sparkSession.createDataFrame([(v,) for v in lists[0]], f"{first} {kinds[first]}")
+    return rows.withColumn(second, F.explode(F.array(*[F.lit(v) for v in lists[1]]).cast(f"array<{kinds[second]}>")))

@@ -10,7 +10,7 @@ from itertools import product
 from operator import and_
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 import tidebar.features  # noqa: F401
@@ -19,9 +19,11 @@ from tidebar.features.builder import apply_null_policy, build_frame, feature_col
 from tidebar.functions.scalars import flag, map_values
 from tidebar.models.base import LABEL, Fitted, create_model
 from tidebar.models.calibration import calibrated
-from tidebar.operators.folds import FoldPlan, number_rows, regime_weight, series_sizes, train_end
+from tidebar.operators.folds import FoldPlan, number_times, regime_weight, train_end
+from tidebar.operators.frame import lay_out
 from tidebar.operators.labels import get_label_strategy, label_lookback
 from tidebar.operators.metrics import compute_metrics, optimize_threshold
+from tidebar.operators.prepare import tail
 from tidebar.session import materialize
 
 c = F.col
@@ -76,7 +78,10 @@ class Result:
 
 
 def prepare(bars: DataFrame, exp: Experiment, sources: dict[str, DataFrame] | None = None, **layout) -> DataFrame:
-    """Complete feature rows with their label and position, written once for all folds."""
+    """Complete feature rows with their label, written once for all folds.
+
+    ``row_idx`` is the position of the row's time among the times of all series, ``n_rows`` the number of these times.
+    """
     horizon = exp.label_params.get("T", 14)
     f = build_frame(bars, exp.sets, sources, lookahead=horizon, extra_lookback=label_lookback(exp.label_params), **layout)
     f = get_label_strategy(exp.label)(f, **exp.label_params)
@@ -85,15 +90,33 @@ def prepare(bars: DataFrame, exp: Experiment, sources: dict[str, DataFrame] | No
     label = map_values("__label", exp.label_map) if exp.label_map else c("__label")
     f = apply_null_policy(labels, exp.null_policy).add({LABEL: label})
     complete = reduce(and_, [c(n).isNotNull() for n in (*names, LABEL)])
-    rows = materialize(f.keep_numbered(complete))
-    return rows.join(series_sizes(rows), "symbol")
+    rows = materialize(f.finish().filter(complete))
+    return materialize(number_times(rows))
+
+
+def latest_rows(bars: DataFrame, exp: Experiment, sources: dict[str, DataFrame] | None = None, **layout) -> DataFrame:
+    """The newest bar of every series with its features; no label is asked for."""
+    f = apply_null_policy(build_frame(bars, exp.sets, sources, **layout), exp.null_policy)
+    return materialize(tail(f.finish(), 1))
+
+
+def score_latest(rows: DataFrame, models: dict[str, Fitted]) -> DataFrame:
+    """symbol, ts and one probability per model, under its name.
+
+    A series whose newest bar lacks a feature that a model needs has a null there.
+    """
+    out = rows.select("symbol", "ts")
+    for name, fitted in models.items():
+        complete = reduce(and_, [c(x).isNotNull() for x in fitted.features])
+        out = out.join(fitted.score(rows.filter(complete)).select("symbol", "ts", c("proba").alias(name)), ["symbol", "ts"], "left")
+    return out
 
 
 def select_features(rows: DataFrame, features: list[str], exp: Experiment) -> list[str]:
-    """Top-n features by importance on the first training rows, in their original order."""
+    """Top-n features by importance on the rows that the first fold trains on, in their original order."""
     if not 0 < exp.top_n < len(features):
         return features
-    first = rows.filter(c("row_idx") < F.least(F.lit(exp.plan.init_train), c("n_rows") - 100))
+    first = rows.filter(c("row_idx") < train_end(exp.plan, 0))
     fitted = create_model(exp.model, exp.model_params).fit(first, features)
     best = sorted(fitted.importance(), key=lambda p: -p[1])[: exp.top_n]
     chosen = {name for name, _ in best}
@@ -101,12 +124,14 @@ def select_features(rows: DataFrame, features: list[str], exp: Experiment) -> li
 
 
 def run_fold(rows: DataFrame, features: list[str], exp: Experiment, fold_id: int) -> tuple[DataFrame, dict, Fitted]:
-    """Train on the fold's prefix (minus purge), score its test window."""
+    """Train on all rows of times before the test window (minus purge), score the rows of its times.
+
+    Every series gives what it has: a short or late one is trained on and tested where it has rows.
+    """
     plan, end = exp.plan, train_end(exp.plan, fold_id)
     start = plan.init_train + fold_id * plan.step
-    usable = c("n_rows") >= start + plan.oos_window  # series that have this fold
-    train = rows.filter(usable & (c("row_idx") < end))
-    test = rows.filter(usable & (c("row_idx") >= start) & (c("row_idx") < start + plan.oos_window))
+    train = rows.filter(c("row_idx") < end)
+    test = rows.filter((c("row_idx") >= start) & (c("row_idx") < start + plan.oos_window))
     tail_from = end - max(int(end * exp.threshold_val_ratio), 50)
     fit_rows = train.filter(c("row_idx") < tail_from) if exp.threshold_optimize and exp.holdout else train
     weight = None
@@ -119,7 +144,11 @@ def run_fold(rows: DataFrame, features: list[str], exp: Experiment, fold_id: int
     else:
         fitted = model.fit(fit_rows, features, weight)
     scored = fitted.score(test)
-    info = {"fold_id": fold_id, "train_size": end, "test_size": plan.oos_window, "threshold": fitted.threshold}
+    sizes = rows.agg(
+        F.sum((c("row_idx") < end).cast("long")).alias("train"),
+        F.sum(((c("row_idx") >= start) & (c("row_idx") < start + plan.oos_window)).cast("long")).alias("test"),
+    ).first()
+    info = {"fold_id": fold_id, "train_size": sizes["train"], "test_size": sizes["test"], "threshold": fitted.threshold}
     if exp.threshold_optimize:
         valid = fitted.score(train.filter(c("row_idx") >= tail_from))
         best = optimize_threshold(valid, (), exp.threshold_metric, y=LABEL).first()
@@ -132,10 +161,10 @@ def run_fold(rows: DataFrame, features: list[str], exp: Experiment, fold_id: int
 
 
 def fold_ids(rows: DataFrame, plan: FoldPlan) -> list[int]:
-    """Folds of the longest series that leave training rows."""
+    """Folds over the common times that leave training rows."""
     longest = rows.agg(F.max("n_rows")).first()[0] or 0
     if longest < plan.init_train + plan.oos_window:
-        raise ValueError(f"no fold fits: longest series has {longest} rows")
+        raise ValueError(f"no fold fits: there are {longest} times")
     count = (longest - plan.init_train - plan.oos_window) // plan.step + 1
     ids = [k for k in range(count) if train_end(plan, k) > 0]
     if not ids:
@@ -169,6 +198,29 @@ def run_experiment(
     return walk_forward(rows, select_features(rows, features, exp), exp, parallel)
 
 
+def fold_bounds(rows: DataFrame, plan: FoldPlan) -> DataFrame:
+    """Per fold (fold_id, last_train_ts, first_test_ts, train_size, test_size), as run_fold cuts prepared rows.
+
+    Sizes are differences of running counts over the distinct times, read at the times where folds begin and end.
+    """
+    times = rows.groupBy("ts", "n_rows").agg(F.count(F.lit(1)).alias("n")).withColumn("everything", F.lit(0))
+    at = lay_out(times, ["everything"]).cumulative({"upto": ("sum", c("n"))}).finish(keep_row_number="__at")
+    at = materialize(at.filter(plan.count(c("n_rows")) > 0))
+
+    def read(position: int, **columns: Column) -> DataFrame:
+        """Columns at the time `position` of fold 0, and one step on for each fold after it."""
+        offset = c("__at") - F.lit(position)
+        fold = (offset / F.lit(plan.step)).cast("long")
+        hit = at.filter((offset >= 0) & (offset % F.lit(plan.step) == 0) & (fold < plan.count(c("n_rows"))))
+        return hit.select(fold.alias("fold_id"), *[x.alias(n) for n, x in columns.items()])
+
+    train = read(plan.init_train - plan.purge_gap - 1, last_train_ts=c("ts"), train_size=c("upto"))
+    begin = read(plan.init_train, first_test_ts=c("ts"), before=c("upto") - c("n"))
+    end = read(plan.init_train + plan.oos_window - 1, upto=c("upto"))
+    folds = train.join(begin, "fold_id").join(end, "fold_id")
+    return folds.select("fold_id", "last_train_ts", "first_test_ts", "train_size", (c("upto") - c("before")).alias("test_size"))
+
+
 def parameter_search(
     bars: DataFrame, exp: Experiment, Ts: Sequence[int], Xs: Sequence[float],
     sources: dict[str, DataFrame] | None = None, parallel: int = 4, **layout
@@ -183,8 +235,8 @@ def parameter_search(
         try:
             m = run_experiment(bars, one, sources, parallel, **layout).pooled_metrics().first().asDict()
             rows.append((T, float(X), "ok", m.get("accuracy"), m.get("f1_macro"), m.get("cohen_kappa")))
-        except ValueError as err:
-            rows.append((T, float(X), str(err), None, None, None))
+        except Exception as err:  # one failed run, of whatever kind, must not end the search
+            rows.append((T, float(X), str(err)[:500], None, None, None))
     schema = "T int, X double, status string, accuracy double, f1_macro double, cohen_kappa double"
     return bars.sparkSession.createDataFrame(rows, schema)
 
@@ -218,7 +270,7 @@ def run_ensemble(
     shared = [f for f in feature_columns(bull_rows) if f in bear_rows.columns and f not in ("row_idx", "n_rows")]
 
     def common(rows: DataFrame) -> DataFrame:
-        return materialize(number_rows(rows.drop("row_idx", "n_rows").join(keep, ["symbol", "ts"], "left_semi")))
+        return materialize(number_times(rows.join(keep, ["symbol", "ts"], "left_semi")))
 
     bull_result = walk_forward(common(bull_rows), shared, bull, parallel)
     bear_result = walk_forward(common(bear_rows), shared, bear, parallel)
