@@ -117,15 +117,17 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     names = levels[0]
     for more in levels[1:]:
         names = names.unionByName(more)
+    names = checkpointed(names)  # short plans: each of the following steps is planned on its own
     level = F.floor(F.log2(F.col("count") + 0.5)).cast("int")
     heads = windows.withColumn("level", level).withColumn("tail", F.col("pos") + F.col("count") - F.pow(F.lit(2.0), F.col("level")).cast("int"))
     met = heads.join(names.withColumnRenamed("name", "head"), [*DOC, "pos", "level"]).join(
         names.select(*DOC, "level", F.col("pos").alias("tail"), F.col("name").alias("next")), [*DOC, "tail", "level"]
     )
+    met = checkpointed(met.select(*DOC, "pos", "count", "head", "next"))
     copies = repeated(met.select(*DOC, "pos", "count", "head", "next"), ["count", "head", "next"]).where(
         where_of() != F.col("name")
     )
-    spans = copies.select(*DOC, F.col("pos").alias("start"), (F.col("pos") + F.col("count")).alias("stop"))
+    spans = checkpointed(copies.select(*DOC, F.col("pos").alias("start"), (F.col("pos") + F.col("count")).alias("stop")))
     by_start = Window.partitionBy(*DOC).orderBy("start", "stop")
     reached = F.max("stop").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     joined = spans.withColumn("new", F.coalesce(F.col("start") > reached, F.lit(True)).cast("int"))
