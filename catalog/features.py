@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from catalog.common import BLOCKED, order_bars
 from tidebar.features.builder import build_frame
+from tidebar.features.proxies import CORE_COLUMNS
 from tidebar.features.registry import get_feature_set
 from tidebar.sources.bars import outside_series
 
@@ -22,9 +23,10 @@ def feature_query(sets: list[str], drop: list[str] | None = None, **layout):
 
 
 def lag_rolling(spark, sf_dir):
-    """Columns derived from five of the core columns."""
-    df = build_frame(order_bars(spark, sf_dir), ["market_structure", "onchain", "lag_rolling"]).finish()
-    cores = ["buy_pressure", "volume_density", "mvrv", "lth_sopr", "sth_sopr"]
+    """Columns derived from all core columns."""
+    sets = ["technical", "market_structure", "onchain", "sentiment", "lag_rolling"]
+    df = build_frame(order_bars(spark, sf_dir), sets).finish()
+    cores = CORE_COLUMNS
     ends = [f"_lag{k}" for k in (1, 2, 3, 7, 14)] + [f"_{m}{w}" for m in ("ma", "std") for w in (3, 7, 14, 30)]
     ends += ["_dev_ma7"] + [f"_roc_{w}" for w in (1, 3, 7)]
     return df.select("symbol", "ts", *[c + e for c in cores for e in ends])

@@ -119,11 +119,11 @@ def ffill_frame(spark, sf_dir):
 
 def drop_null_rows(spark, sf_dir):
     """Volume features, only complete rows."""
-    return build_features(order_bars(spark, sf_dir), ["volume"], "drop").select("symbol", "ts", "vol_sma_50", "obv", "vol_change_5d")
+    return build_features(order_bars(spark, sf_dir), ["volume"], "drop").drop(*RAW)
 
 
 def ffill_then_drop(spark, sf_dir):
-    return build_features(order_bars(spark, sf_dir), ["volume"]).select("symbol", "ts", "vol_sma_50", "obv", "vol_change_5d")
+    return build_features(order_bars(spark, sf_dir), ["volume"]).drop(*RAW)
 
 
 def value_map(spark, sf_dir):

@@ -25,7 +25,7 @@ def _ema_layers() -> Layers:
     return q.cte("withema", "SELECT num.*, e.* EXCLUDE (symbol, rn) FROM num JOIN e USING (symbol, rn)")
 
 
-def technical() -> str:
+def _technical_layers() -> Layers:
     ws = (5, 10, 20, 50, 100, 200)
     q = _ema_layers()
     q.add(
@@ -59,6 +59,12 @@ def technical() -> str:
             "stoch_d_14": mean("stoch_k_14", 3),
         }
     )
+    return q
+
+
+def technical() -> str:
+    ws = (5, 10, 20, 50, 100, 200)
+    q = _technical_layers()
     cols = [f"{p}_{w}" for p in ("sma", "ema") for w in ws]
     cols += ["sma_cross_5_20", "sma_cross_10_50", "sma_cross_50_200"]
     cols += [f"price_vs_sma_{w}" for w in (20, 50, 200)] + [f"rsi_{w}" for w in (6, 14, 28)]
@@ -279,23 +285,25 @@ def bear_volatility() -> str:
 
 
 def lag_rolling() -> str:
-    """On buy_pressure, volume_density, mvrv and both sopr columns."""
-    q = Layers("bars", [BARS])
-    q.add({"realized": run("avg", "close")})
+    """On all ten core columns."""
+    q = _technical_layers()
+    q.add({"realized": run("avg", "close"), "ret": pct("close"), "vr": pct("volume", 7)})
+    q.add({"raw": f"50 + {pct('close', 30)} * 100 - {std('ret', 30)} * 200 + {mean('vr', 7)} * 20"})
     base = {
         "buy_pressure": ratio("close - low", "high - low"), "volume_density": ratio("volume", "high - low"),
         "mvrv": "close / nullif(realized, 0)", "lth_sopr": f"close / nullif({lag('close', 180)}, 0)",
         "sth_sopr": f"close / nullif({lag('close', 30)}, 0)",
+        "fgi": "CASE WHEN raw IS NOT NULL THEN least(greatest(raw, 0), 100) END",
     }
     q.add(base)
-    layer = {}
-    for f in base:
+    layer, cores = {}, [*base, "rsi_14", "macd", "macd_hist", "atr_14"]
+    for f in cores:
         layer |= {f"{f}_lag{k}": lag(f, k) for k in (1, 2, 3, 7, 14)}
         layer |= {f"{f}_ma{w}": mean(f, w) for w in (3, 7, 14, 30)}
         layer |= {f"{f}_std{w}": std(f, w) for w in (3, 7, 14, 30)}
         layer |= {f"{f}_roc_{w}": pct(f, w) for w in (1, 3, 7)}
     q.add(layer)
-    dev = {f"{f}_dev_ma7": f"({f} - {f}_ma7) / nullif(abs({f}_ma7) + 1e-10::DOUBLE, 0)" for f in base}
+    dev = {f"{f}_dev_ma7": f"({f} - {f}_ma7) / nullif(abs({f}_ma7) + 1e-10::DOUBLE, 0)" for f in cores}
     q.add(dev)
     return q.out(KEYS, [*layer, *dev])
 

@@ -126,11 +126,10 @@ def sql() -> dict[str, str]:
     from oracle.features import volume as volume_sql
 
     base = volume_sql()
-    vol_cols = ["vol_sma_50", "obv", "vol_change_5d"]
     complete = "COLUMNS(*) IS NOT NULL"
-    out["null_policy_drop"] = f"SELECT symbol, ts, {', '.join(vol_cols)} FROM ({base}) WHERE {complete}"
+    out["null_policy_drop"] = f"SELECT * FROM ({base}) WHERE {complete}"
     filled = f"SELECT symbol, ts, last_value(COLUMNS(* EXCLUDE (symbol, ts)) IGNORE NULLS) OVER ({W} ROWS UNBOUNDED PRECEDING) FROM ({base})"
-    out["null_policy_ffill_then_drop"] = f"SELECT symbol, ts, {', '.join(vol_cols)} FROM ({filled}) WHERE {complete}"
+    out["null_policy_ffill_then_drop"] = f"SELECT * FROM ({filled}) WHERE {complete}"
 
     q = directional(14, 0.5).add({
         "bull": "CASE label WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 2 THEN 1 END", "bear": "CASE label WHEN 0 THEN 1 WHEN 2 THEN 0 END",
