@@ -8,7 +8,9 @@ from tidebar.models import create_model, list_models
 from tidebar.models.calibration import calibrated
 from tidebar.models.store import load_model, save_model
 from tidebar.operators.folds import FoldPlan
-from tidebar.plans.walk_forward import Experiment, parameter_search, prepare, run_experiment, walk_forward
+from tidebar.plans.walk_forward import (
+    Experiment, fold_bounds, latest_rows, parameter_search, prepare, run_experiment, score_latest, walk_forward,
+)
 
 FAST = {"n_estimators": 3, "max_depth": 2, "learning_rate": 0.3, "min_child_samples": 5}
 
@@ -87,13 +89,56 @@ def test_walk_forward_run(spark):
     result = run_experiment(bars, exp)
     assert len(result.features) == 6
     preds = result.predictions.toPandas()
-    n = rows.groupBy("symbol").count().toPandas().set_index("symbol")["count"]
-    folds = {s: (k - 150 - 40) // 30 + 1 for s, k in n.items()}
-    assert preds.groupby(["symbol", "fold_id"]).size().eq(40).all()
-    assert preds.groupby("symbol")["fold_id"].nunique().to_dict() == folds
-    assert result.fold_metrics().count() == max(folds.values())
+    folds = (rows.select("ts").distinct().count() - 150 - 40) // 30 + 1
+    # the longer series fills each window, the other gives what rows it has there
+    sizes = preds.groupby(["symbol", "fold_id"]).size()
+    assert sizes["A"].eq(40).all() and sizes["B"].le(40).all() and len(sizes["A"]) == folds
+    known = rows.select("symbol", "ts", "row_idx").toPandas()
+    tested = known[(known.row_idx >= 150) & (known.row_idx < 150 + 30 * (folds - 1) + 40)]
+    assert preds[["symbol", "ts"]].drop_duplicates().shape[0] == len(tested)
+    assert result.fold_metrics().count() == folds
     assert result.pooled_metrics(once=True).first()["n"] == preds.groupby(["symbol", "ts"]).ngroups
     search = parameter_search(bars, exp, [5, 400], [0.01]).toPandas()
     assert search["status"][0] == "ok" and search["status"][1] != "ok" and len(search) == 2
     with pytest.raises(ValueError, match="no fold fits"):
         walk_forward(rows, result.features, Experiment(["volume"], plan=FoldPlan(5000)))
+
+
+def test_folds_of_series_with_other_dates(spark):
+    """No fold trains on the future, short and late series keep their history, and sizes are those of the rows."""
+    bars = pd.concat([walk_bars(260, 1, "OLD", "2020-01-01"), walk_bars(260, 2, "NEW", "2020-09-01"), walk_bars(60, 3, "SHORT", "2020-10-01")])
+    plan = FoldPlan(200, 30, 30, 7)
+    exp = Experiment(["volume"], label_params={"T": 5, "X": 0.01}, label_map={0: 0, 1: 0, 2: 1}, plan=plan, model_params=FAST)
+    rows = prepare(spark.createDataFrame(bars), exp)
+    known = rows.select("symbol", "ts", "row_idx", "n_rows").toPandas()
+    assert set(known.symbol) == {"OLD", "NEW", "SHORT"}
+    assert (known.sort_values("ts").row_idx.diff().dropna() >= 0).all() and known.n_rows.nunique() == 1
+    bounds = {r.fold_id: r for r in fold_bounds(rows, plan).collect()}
+    assert len(bounds) == (known.n_rows.max() - 230) // 30 + 1
+    for k, r in bounds.items():
+        train = known[known.row_idx < 200 + 30 * k - 7]
+        test = known[(known.row_idx >= 200 + 30 * k) & (known.row_idx < 230 + 30 * k)]
+        assert r.last_train_ts == train.ts.max() < test.ts.min() == r.first_test_ts
+        assert (r.train_size, r.test_size) == (len(train), len(test))
+    result = walk_forward(rows, ["vol_sma_50", "obv"], exp)
+    assert [(i["train_size"], i["test_size"]) for i in result.folds] == [(b.train_size, b.test_size) for _, b in sorted(bounds.items())]
+
+
+def test_newest_bars_are_scored_without_labels(spark):
+    bars = spark.createDataFrame(pd.concat([walk_bars(120, 1, "A"), walk_bars(90, 2, "B"), walk_bars(10, 3, "C")]))
+    exp = Experiment(["volume"], label_params={"T": 5, "X": 0.01}, label_map={0: 0, 1: 0, 2: 1})
+    fitted = create_model("boosted_trees", FAST).fit(prepare(bars, exp), ["vol_sma_50", "obv"])
+    got = {r.symbol: r for r in score_latest(latest_rows(bars, exp), {"p": fitted}).collect()}
+    newest = {r.symbol: r.ts for r in bars.groupBy("symbol").agg(F.max("ts").alias("ts")).collect()}
+    assert {s: r.ts for s, r in got.items()} == newest
+    assert 0 <= got["A"].p <= 1 and got["C"].p is None
+
+
+def test_early_stopping_and_unknown_parameters(spark):
+    df = matrix(spark, 300)
+    stop = {**FAST, "early_stopping_rounds": 5}
+    assert create_model("boosted_trees", stop).fit(df, list("abcd")).score(df).count() == 300
+    with pytest.raises(ValueError, match="holds out"):
+        create_model("boosted_trees", {**stop, "validation_least": 400}).fit(df, list("abcd"))
+    with pytest.raises(ValueError, match="counterpart"):
+        create_model("boosted_trees", {**FAST, "num_leaves": 31}).fit(df, list("abcd"))
