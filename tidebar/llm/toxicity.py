@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebar.llm.common import BLOCK_BYTES, fold_of, joined_bytes, lower_ascii, text_blocks, whole_text
+from tidebar.llm.common import BLOCK_BYTES, fold_of, joined_bytes, lower_ascii, text_blocks, whole_text, worker_cache
 
 BASE, MASK = 0x100000001B3, (1 << 64) - 1
 
@@ -97,8 +97,6 @@ def features(texts: pa.Array, plan: FtrlPlan, wanted: np.ndarray | None = None)
 
 
 def worker_powers(count: int):
-    from tidebar.llm.common import worker_cache
-
     held = worker_cache("powers", dict)
     if held.get("count", 0) < count:
         held["count"] = max(count, BLOCK_BYTES * 2)
