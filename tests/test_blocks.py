@@ -123,3 +123,39 @@ def test_pct_rank_ranges(spark, bars, monkeypatch):
     pdf["r"] = pdf.groupby("symbol")["close"].rank(pct=True)
     got = whole.toPandas().sort_values(["symbol", "ts"])["r"].values
     assert abs(got - pdf.sort_values(["symbol", "ts"])["r"].values).max() < 1e-12
+
+
+def test_prefix_scan_of_sparse_indexes(spark):
+    """A burst among far-apart entries: every level has groups of at most `fan` entries, and the prefix is right."""
+    from pyspark.sql import functions as F
+
+    from tidebar.operators.scan import prefix_scan
+
+    index = [10**9 * k for k in range(40)] + [10**6 + k for k in range(60)]
+    rows = [(s, i, float(i % 7), None if i % 3 else i) for s in ("A", "B") for i in sorted(set(index))]
+    df = spark.createDataFrame(rows, "symbol string, idx long, v double, w long")
+    specs = {"before": ("sum", F.col("v")), "most": ("max", F.col("v")), "last": ("last", F.col("w"))}
+    got = {(r.symbol, r.idx): (r.before, r.most, r["last"]) for r in prefix_scan(df, ["symbol"], "idx", specs, fan=8).collect()}
+    assert len(got) == len(rows)
+    for s in ("A", "B"):
+        total, most, last = None, None, None
+        for _, i, v, w in [r for r in rows if r[0] == s]:
+            assert got[s, i] == (total, most, last)
+            total, most, last = (total or 0) + v, v if most is None else max(most, v), w if w is not None else last
+
+
+def test_blocked_carries_read_their_input_in_line(spark):
+    """Running values on top of running values: scans grow with their number, not with its power."""
+    from pyspark.sql import functions as F
+
+    from tests.helpers import walk_bars
+    from tidebar.operators.frame import lay_out
+
+    f = lay_out(spark.createDataFrame(walk_bars(300)), block_rows=64, cell_rows=16)
+    counts = []
+    for k in range(4):
+        f = f.cumulative({f"s{k}": ("sum", F.col("close"))}, own_rows=True)
+        plan = f.df._jdf.queryExecution().executedPlan().toString()
+        counts.append(plan.count("Scan ExistingRDD"))
+    steps = [b - a for a, b in zip(counts, counts[1:])]
+    assert max(steps) <= 4, counts

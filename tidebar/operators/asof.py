@@ -61,6 +61,7 @@ def asof_join(
         latest = keyed.groupBy(*by, "__bkt").agg(
             *[F.max_by(s, F.when(F.col(s).isNotNull(), F.col(ts))).alias(f"{s}_end") for s in slots]
         )
+        latest = materialize(latest)
         carry = prefix_scan(latest, by, "__bkt", {f"{s}_carry": ("last", F.col(f"{s}_end")) for s in slots})
         upto = Window.partitionBy(*by, "__bkt").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         filled = keyed.select(

@@ -273,7 +273,7 @@ class Frame:
 
         ``source`` holds the input columns when this frame does not.  Totals
         per cell come from own rows without a shuffle; their prefix is a
-        two-level scan over few rows.  Asking for the carries of many
+        scan over few rows.  Asking for the carries of many
         aggregates at once costs one pass.
         """
         exprs = {n: (k, col(c)) for n, (k, c) in specs.items()}
@@ -410,6 +410,7 @@ def lay_out(
     width = choose_bucket_width(rows, by, ts, extent, block_rows)
     keyed = rows.withColumn("__bkt", bucket_column(rows, ts, extent.lo, width))
     counts = keyed.groupBy(*by, "__bkt").agg(F.count(F.lit(1)).alias("__cnt"))
+    counts = materialize(counts)
     starts = prefix_scan(counts, by, "__bkt", {"__start": ("sum", F.col("__cnt"))})
     halo_cells = -(-lookback // cell_rows) + 1 if lookback else 0  # one more cell to warm up running inputs
     size, back = F.lit(block_rows), F.lit(halo_cells * cell_rows)

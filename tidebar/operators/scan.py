@@ -1,8 +1,8 @@
 """Bounded-group building blocks: time buckets and two-level prefix scans.
 
 No step here puts a whole series into one task.  A prefix over many small
-groups is done in two levels, so each window group stays below ``FAN`` rows
-(and the upper level holds 1/FAN of the entries).
+groups is done in as many levels as keep each window group at ``FAN`` rows,
+however unevenly the entries lie.
 """
 
 from __future__ import annotations
@@ -58,19 +58,28 @@ def prefix_scan(
 ) -> DataFrame:
     """Add the exclusive prefix of every value, ordered by the integer ``idx``.
 
-    ``idx`` is unique within ``by``.  Level one runs inside groups of ``fan``
-    consecutive indexes, level two over the group totals.
+    ``idx`` is a whole number from 0, unique within ``by``.  Level one runs
+    inside groups of ``fan`` consecutive indexes, and the group totals are
+    scanned in the same way, until their indexes all lie below ``fan``.  ``df``
+    is read twice a level: pass a written one.
     """
-    by = list(by)
-    keyed = df.withColumn("__sup", F.floor(F.col(idx) / F.lit(fan)).cast("long"))
-    inner = Window.partitionBy(*by, "__sup").orderBy(idx).rowsBetween(Window.unboundedPreceding, -1)
-    outer = Window.partitionBy(*by).orderBy("__sup").rowsBetween(Window.unboundedPreceding, -1)
-    tops = keyed.groupBy(*by, "__sup").agg(*[total(k, c, idx).alias(f"__t_{n}") for n, (k, c) in values.items()])
-    tops = tops.select(
-        *by, "__sup", *[running(k, F.col(f"__t_{n}"), outer).alias(f"__p_{n}") for n, (k, _) in values.items()]
-    )
+    top = df.agg(F.max(idx)).first()[0]
+    return _scan(df, list(by), idx, values, fan, int(top or 0) + 1, 0)
+
+
+def _scan(df: DataFrame, by: list[str], idx: str, values: dict, fan: int, span: int, level: int) -> DataFrame:
+    """One level of :func:`prefix_scan`; all indexes are below ``span``."""
+    sup = f"__sup{level}"
+    groups = [*by, sup] if span > fan else by
+    keyed = df.withColumn(sup, F.floor(F.col(idx) / F.lit(fan)).cast("long")) if span > fan else df
+    inner = Window.partitionBy(*groups).orderBy(idx).rowsBetween(Window.unboundedPreceding, -1)
     near = keyed.select("*", *[running(k, c, inner).alias(f"__n_{n}") for n, (k, c) in values.items()])
-    joined = near.join(tops, [*by, "__sup"])
+    if span <= fan:
+        return near.select(*df.columns, *[F.col(f"__n_{n}").alias(n) for n in values])
+    totals = keyed.groupBy(*groups).agg(*[total(k, c, idx).alias(f"__t_{n}") for n, (k, c) in values.items()])
+    above = {f"__p_{n}": (k, F.col(f"__t_{n}")) for n, (k, _) in values.items()}
+    tops = _scan(totals, by, sup, above, fan, -(-span // fan), level + 1).select(*groups, *above)
+    joined = near.join(tops, groups)
     return joined.select(
         *df.columns,
         *[combine(k, F.col(f"__p_{n}"), F.col(f"__n_{n}")).alias(n) for n, (k, _) in values.items()],
