@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from tidebar.llm.common import distinct_words, joined_bytes, lower_ascii, split_words, text_blocks, whole_text, worker_cache
 
 #: Longest sequence, the id after each document, and words that a worker keeps encoded.
-LONGEST, END, KEPT_WORDS = 4096, 2, 1_000_000
+LONGEST, END, KEPT_WORDS = 4096, 2, 300_000
 #: Bytes of text that share one list of distinct words, and plain words that are encoded as one text.
-WORD_BLOCK, TOGETHER = 8 << 20, 256
+WORD_BLOCK, TOGETHER = 4 << 20, 256
 #: Words of Latin letters alone, or of marks alone: one run for the tokenizer.
 PLAIN = re.compile(b"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[.,;:!?]+")
 MARKS = np.zeros(256, dtype=bool)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidebar.llm.common import distinct_words, joined_bytes, text_blocks, whole_text, worker_cache
 
 #: Bytes of text that share one list of distinct stretches.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 
 
 def read_pieces(name: str = "piece_bpe_32k.model") -> list[tuple[bytes, float, bool]]:

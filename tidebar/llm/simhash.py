@@ -11,11 +11,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebar.llm.common import checkpointed, whole_text
+from tidebar.llm.common import checkpointed, shuffle_partitions, whole_text
 from tidebar.llm.components import components
 
 #: Seed of the shingle hash and shingles hashed at a time, so one very long text needs bounded memory.
-SEED, STEP = 42, 1 << 16
+SEED, STEP = 42, 1 << 13
 #: Fingerprints of an index entry that are compared pair by pair; larger entries take the way over midpoints.
 PAIRWISE = 32
 
@@ -164,8 +164,8 @@ def near_duplicates(
     Fingerprints of 64 bits a lane meet in an inverted index whose entries hold `taken` positional bytes. Pairs that
     meet are tallied over all positional bytes and their bits are counted (a loose bound from the similarity), then
     the shingle sets themselves are compared. With the defaults a pair at similarity 0.9 meets with probability 0.99, at
-    0.8 with 0.7. In entries with more than `pairwise` texts, each is compared with the smallest two and with its
-    neighbours in sorted order, in each of its entries. The first document (smallest doc_id, then digest) of a
+    0.8 with 0.7. In entries with more than `pairwise` texts, each is compared with the entry's first, in each of
+    its entries. The first document (smallest doc_id, then digest) of a
     group stays. Texts without words form one group.
     """
     rows = checkpointed(docs.select(
@@ -177,20 +177,19 @@ def near_duplicates(
     # texts of one digest are one node; its number follows from the digest
     node = F.conv(F.substring("text_sha256", 1, 15), 16, 10).cast("long")
     nodes = rows.groupBy(node.alias("node")).agg(F.first("print").alias("print"))
-    nodes = checkpointed(nodes)
+    # a small table whose rows become many: as many partitions as shuffles have
+    nodes = checkpointed(nodes.repartition(shuffle_partitions(docs), "node"))
     sets = position_sets(8 * lanes, taken, tables)
     entries = [F.concat(F.lit(bytes([n])), *[F.substring("print", p + 1, F.lit(1)) for p in s]) for n, s in enumerate(sets)]
     index = nodes.select("node", "print", F.explode(F.array(*[F.xxhash64(e) for e in entries])).alias("entry"))
     sizes = index.groupBy("entry").agg(
-        F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")
+        F.count("*").alias("n"), F.min("node").alias("low")
     ).where("n > 1")
     met = checkpointed(index.select("node", "entry").join(sizes, "entry"))
     few = met.where(F.col("n") <= pairwise)
     pairs = few.select("entry", F.col("node").alias("a")).join(few.select("entry", F.col("node").alias("b")), "entry").where("a < b").select("a", "b")
     many = met.where(F.col("n") > pairwise)
-    stars = many.select(F.col("low").alias("a"), F.col("node").alias("b")).unionByName(
-        many.select(F.col("node").alias("a"), F.col("high").alias("b"))
-    ).where("a <> b")
+    stars = many.select(F.col("low").alias("a"), F.col("node").alias("b")).where("a <> b")
     pairs = pairs.unionByName(stars).distinct()
     longs = [
         F.conv(F.hex(F.substring("print", 8 * k + 1, F.lit(8))), 16, -10).cast("long").alias(f"w{k}") for k in range(lanes)

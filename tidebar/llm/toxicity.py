@@ -9,9 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebar.llm.common import BLOCK_BYTES, fold_of, joined_bytes, lower_ascii, text_blocks, whole_text, worker_cache
+from tidebar.llm.common import fold_of, joined_bytes, lower_ascii, text_blocks, whole_text, worker_cache
 
 BASE, MASK = 0x100000001B3, (1 << 64) - 1
+#: Bytes of text whose features are made at once; a task needs some 60 bytes of memory for each.
+BLOCK_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -114,15 +116,18 @@ def train(texts: list[str], labels: list[int], plan: FtrlPlan) -> tuple[np.ndarr
         w = -(zi - np.sign(zi) * plan.l1) / ((plan.beta + np.sqrt(n[at])) / plan.alpha + plan.l2)
         return np.where(np.abs(zi) <= plan.l1, 0.0, w)
 
-    rows = []
-    for first, block in text_blocks(pa.array(texts, pa.large_string())):
+    parts, sizes = [], []
+    for _, block in text_blocks(pa.array(texts, pa.large_string()), BLOCK_BYTES):
         at, index = features(block, plan)
-        cuts = np.searchsorted(at, np.arange(len(block) + 1))
-        rows += [np.append(index[a:b], size).astype(np.int32) for a, b in zip(cuts[:-1], cuts[1:])]
+        # every row also has the bias, whose number is the largest
+        sizes.append(np.bincount(at, minlength=len(block)) + 1)
+        parts.append(np.insert(index, np.cumsum(sizes[-1] - 1), size).astype(np.int32))
+    flat, ends = np.concatenate(parts), np.cumsum(np.concatenate(sizes))
+    del parts
     order = np.random.default_rng(7)
     for _ in range(plan.epochs):
-        for i in order.permutation(len(rows)):
-            at = rows[i]
+        for i in order.permutation(len(ends)):
+            at = flat[ends[i - 1] if i else 0 : ends[i]]
             w = weights(at)
             p = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35)))
             g = p - labels[i]
@@ -181,7 +186,7 @@ def toxicity(model, plan: FtrlPlan = FtrlPlan(), spark=None) -> Column:
         dense[index] = w
         wanted = dense != 0
         out = np.full(len(texts), float(bias))
-        for first, block in text_blocks(texts):
+        for first, block in text_blocks(texts, BLOCK_BYTES):
             at, which = features(block, plan, wanted)
             out[first : first + len(block)] += np.bincount(at, weights=dense[which].astype(float), minlength=len(block))
         return pa.array(1 / (1 + np.exp(-np.clip(out, -35, 35))))
