@@ -22,7 +22,7 @@ from tidebar.operators.prepare import (
 )
 from tidebar.session import ensure_checkpoint_dir
 from tidebar.sources.bars import event_bars, outside_series, read_bars, read_table
-from tidebar.sources.files import write_csv
+from tidebar.sources.files import load_runs, write_csv, write_run
 from tidebar.sources.landing import fear_greed, funding_daily, klines, long_short_daily, macro_wide, price_history
 
 c = F.col
@@ -178,10 +178,30 @@ def return_summary(spark, sf_dir):
 
 
 def column_normalise(spark, sf_dir):
-    raw = read_table(spark, sf_dir, "nation")
+    raw = read_table(spark, sf_dir, "orders")
     return normalise_columns(raw.toDF(*[f" {n.upper()} " for n in raw.columns]))
 
 
+def stored(table):
+    """A table of two runs, written with all their artifacts to the shared folder and read back."""
+
+    def run(spark, sf_dir):
+        root = f"{ensure_checkpoint_dir(spark)}/runs-{uuid.uuid4().hex}"
+        bars = order_bars(spark, sf_dir)
+        for name, low in (("first", 0), ("second", 200_000)):
+            preds = bars.filter(c("close") > low).select(
+                "symbol", "ts", (c("trades") % 3).alias("fold_id"), (c("close") > c("open")).cast("int").alias("y_true"),
+                (c("close") > 250_000).cast("int").alias("y_pred"),
+            )
+            folds = preds.groupBy("fold_id").agg(F.count(F.lit(1)).alias("n"), F.sum("y_true").alias("n_pos"))
+            importance = preds.groupBy(c("symbol").alias("feature")).agg(F.count(F.lit(1)).alias("importance"))
+            metrics = preds.agg(F.count(F.lit(1)).alias("n"), F.sum((c("y_true") == c("y_pred")).cast("long")).alias("n_right"))
+            write_run(root, name, metrics, folds, importance, preds, metrics.select(F.lit(name).alias("name")))
+        return load_runs(spark, root, table)
+
+    return run
+
+
 QUERIES = {
     "bars_daily": lambda s, d: order_bars(s, d),
     "bars_daily_all": lambda s, d: order_bars(s, d, "ALL"),
@@ -194,6 +214,10 @@ QUERIES = {
     "landing_funding_daily": landing_funding_daily,
     "landing_long_short": landing_long_short,
     "column_normalise": column_normalise,
+    "stored_predictions": stored("predictions"),
+    "stored_metrics": stored("metrics"),
+    "stored_fold_metrics": stored("fold_metrics"),
+    "stored_importance": stored("feature_importance"),
     "dedupe_keep_last": dedupe,
     "dedupe_null_sequence": dedupe_null_sequence,
     "date_range": lambda s, d: date_range(order_bars(s, d), "1996-01-01", "1998-06-30"),

@@ -99,12 +99,27 @@ def sql() -> dict[str, str]:
         f"arg_max(1 / (1 + value), {at}) AS short_account FROM events GROUP BY date_trunc('day', ts)",
         ["ts"], ["ls_ratio", "long_account", "short_account"],
     )
-    out["column_normalise"] = "SELECT * FROM nation"
+    out["column_normalise"] = simple(
+        "SELECT * FROM orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"], ["o_totalprice"],
+    )
     out["dedupe_keep_last"] = simple(
         "SELECT o_orderpriority AS symbol, o_orderdate AS ts, o_orderkey, o_totalprice, o_orderstatus FROM orders "
         "QUALIFY row_number() OVER (PARTITION BY o_orderpriority, o_orderdate ORDER BY o_orderkey DESC) = 1",
         [*KEYS, "o_orderkey", "o_orderstatus"], ["o_totalprice"],
     )
+    preds = (
+        "preds", "SELECT run_id, symbol, ts, trades % 3 AS fold_id, (close > open)::INT AS y_true, (close > 250000)::INT AS y_pred "
+                 "FROM bars, (VALUES ('first', 0), ('second', 200000)) AS r(run_id, least_close) WHERE close > least_close"
+    )
+    stored = lambda sql, names: Layers("t", [BARS, preds, ("t", sql)]).out(names, [])
+    out["stored_predictions"] = stored("SELECT * FROM preds", ["run_id", "symbol", "ts", "fold_id", "y_true", "y_pred"])
+    out["stored_metrics"] = stored("SELECT run_id, count(*) AS n, sum((y_true = y_pred)::INT)::BIGINT AS n_right FROM preds GROUP BY 1", ["run_id", "n", "n_right"])
+    out["stored_fold_metrics"] = stored(
+        "SELECT run_id, fold_id::INT AS fold_id, count(*)::INT AS n, sum(y_true)::INT AS n_pos FROM preds GROUP BY 1, 2", ["run_id", "fold_id", "n", "n_pos"]
+    )
+    out["stored_importance"] = stored(
+        "SELECT run_id, symbol AS feature, count(*)::INT AS importance FROM preds GROUP BY 1, 2", ["run_id", "feature", "importance"]
+    )
     out["dedupe_null_sequence"] = simple(
         "SELECT o_orderpriority AS symbol, o_orderdate AS ts, o_orderkey, CASE WHEN o_custkey % 3 = 0 THEN o_orderkey END AS seq FROM orders "
         "QUALIFY row_number() OVER (PARTITION BY o_orderpriority, o_orderdate ORDER BY seq DESC NULLS LAST, o_orderkey DESC) = 1",
