@@ -164,8 +164,8 @@ def near_duplicates(
     Fingerprints of 64 bits a lane meet in an inverted index whose entries hold `taken` positional bytes. Pairs that
     meet are tallied over all positional bytes and their bits are counted (a loose bound from the similarity), then
     the shingle sets themselves are compared. With the defaults a pair at similarity 0.9 meets with probability 0.99, at
-    0.8 with 0.7. In entries with more than `pairwise` texts, each is compared with the entry's first, in each of
-    its entries. The first document (smallest doc_id, then digest) of a
+    0.8 with 0.7. Each text is compared with the first of each of its entries; then, in entries of up to `pairwise`
+    texts, all pairs that are not yet in one group are compared. The first document (smallest doc_id, then digest) of a
     group stays. Texts without words form one group.
     """
     rows = checkpointed(docs.select(
@@ -186,15 +186,35 @@ def near_duplicates(
         F.count("*").alias("n"), F.min("node").alias("low")
     ).where("n > 1")
     met = checkpointed(index.select("node", "entry").join(sizes, "entry"))
-    few = met.where(F.col("n") <= pairwise)
-    pairs = few.select("entry", F.col("node").alias("a")).join(few.select("entry", F.col("node").alias("b")), "entry").where("a < b").select("a", "b")
-    many = met.where(F.col("n") > pairwise)
-    stars = many.select(F.col("low").alias("a"), F.col("node").alias("b")).where("a <> b")
-    pairs = pairs.unionByName(stars).distinct()
     longs = [
         F.conv(F.hex(F.substring("print", 8 * k + 1, F.lit(8))), 16, -10).cast("long").alias(f"w{k}") for k in range(lanes)
     ]
-    words = nodes.select("node", *longs)
+    words = checkpointed(nodes.select("node", *longs))
+    # first each text with the first of its entry; then, in entries of up to pairwise texts, those pairs that are not yet in one group
+    stars = met.select(F.col("low").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
+    edges = similar(docs, node, words, stars, width, similarity, lanes, taken)
+    groups = components(edges)
+    few = met.where(F.col("n") <= pairwise).join(groups, "node", "left").select("entry", "node", F.coalesce("root", "node").alias("root"))
+    few = checkpointed(few)
+    left = few.select("entry", F.col("node").alias("a"), F.col("root").alias("root_a"))
+    right = few.select("entry", F.col("node").alias("b"), F.col("root").alias("root_b"))
+    pairs = left.join(right, "entry").where("a < b and root_a <> root_b").select("a", "b").distinct()
+    edges = edges.unionByName(similar(docs, node, words, pairs, width, similarity, lanes, taken))
+    roots = components(edges)
+    named = rows.withColumn("node", node).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = checkpointed(named.select("doc_id", "text_sha256", "root"))
+    heads = named.groupBy("root").agg(F.min(order).alias("head"))
+    return named.join(heads, "root").select(
+        "doc_id", "text_sha256", F.col("head.doc_id").alias("group_doc"), F.col("head.text_sha256").alias("group_sha256"),
+        (F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("text_sha256") == F.col("head.text_sha256"))).alias("kept"),
+    )
+
+
+def similar(
+    docs: DataFrame, node: Column, words: DataFrame, pairs: DataFrame, width: int, similarity: float, lanes: int, taken: int
+) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets have the similarity: counted over positional bytes and bits of the
+    fingerprints in words first, then exactly."""
     both = pairs.join(words.select(F.col("node").alias("a"), *[F.col(f"w{k}").alias(f"a{k}") for k in range(lanes)]), "a").join(
         words.select(F.col("node").alias("b"), *[F.col(f"w{k}").alias(f"b{k}") for k in range(lanes)]), "b"
     )
@@ -218,15 +238,7 @@ def near_duplicates(
         .join(sets_of.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
         .select("a", "b", jaccard("x", "y").alias("likeness"))
     )
-    edges = checkpointed(checked.where(F.col("likeness") >= similarity).select("a", "b"))
-    roots = components(edges)
-    named = rows.withColumn("node", node).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = checkpointed(named.select("doc_id", "text_sha256", "root"))
-    heads = named.groupBy("root").agg(F.min(order).alias("head"))
-    return named.join(heads, "root").select(
-        "doc_id", "text_sha256", F.col("head.doc_id").alias("group_doc"), F.col("head.text_sha256").alias("group_sha256"),
-        (F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("text_sha256") == F.col("head.text_sha256"))).alias("kept"),
-    )
+    return checkpointed(checked.where(F.col("likeness") >= similarity).select("a", "b"))
 
 
 def shingle_set(width: int):
