@@ -246,3 +246,22 @@ def test_pieces(spark):
         (r[0], hashlib.sha256((r[1] or "").encode()).hexdigest()) for r in rows()
     )
     assert pieces_digest(nothing(spark), pieces).count() == 0
+
+
+def test_words_are_pieces_of_several_bytes():
+    """On the real model bytes stand only for characters without a piece of their own."""
+    import pyarrow as pa
+
+    from tidebar.llm.pieces import Automaton
+
+    pieces = read_pieces()
+    machine, single = Automaton(pieces), {i for i, (_, _, one) in enumerate(pieces) if one}
+    own = {p.decode() for p, _, one in pieces if p and not one and len(p.decode()) == 1}
+    assert all(c in own for p, _, one in pieces if not one for c in p.decode())
+    texts = ["the house", "two  spaces and    four", "naïve été", "日本語\n😀 \u2581"]
+    ids, offsets, scores = machine.encode(pa.array(texts))
+    parts = [[pieces[i][0] for i in ids[a:b]] for a, b in zip(offsets, offsets[1:])]
+    assert b"".join(parts[0]) == b" the house" and not set(ids[: offsets[1]]) & single and all(len(p) > 1 for p in parts[0])
+    for text, a, b in zip(texts, offsets, offsets[1:]):
+        assert b"".join(pieces[i][0] for i in ids[a:b] if i in single) == "".join(c for c in text if c not in own).encode()
+    assert np.diff(offsets).tolist() == [len(x) for x in parts] and scores[0] == sum(pieces[i][1] for i in ids[: offsets[1]])

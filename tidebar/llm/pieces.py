@@ -15,11 +15,16 @@ from tidebar.llm.common import distinct_words, joined_bytes, text_blocks, whole_
 
 #: Bytes of text that share one list of distinct stretches.
 BLOCK = 4 << 20
+#: What a byte scores below the worst piece, as SentencePiece has it for unknown characters.
+FALLBACK = 10.0
 
 
 def read_pieces(name: str = "piece_bpe_32k.model") -> list[tuple[bytes, float, bool]]:
     """(bytes, score, stands for one byte) of each id of a public model; a space stands for its mark of white space, and
-    ids that text cannot give are empty."""
+    ids that text cannot give are empty.
+
+    The file gives bytes score 0, above all pieces. Here they score less than any piece, so that no best path has the
+    bytes of a character that is a piece."""
     import public_tokenizers
     import sentencepiece
 
@@ -33,7 +38,8 @@ def read_pieces(name: str = "piece_bpe_32k.model") -> list[tuple[bytes, float, b
             out.append((b"", 0.0, False))
         else:
             out.append((piece.replace("▁", " ").encode(), score, False))
-    return out
+    least = min(score for piece, score, single in out if piece and not single)
+    return [(piece, least - FALLBACK if single else score, single) for piece, score, single in out]
 
 
 class Automaton:
@@ -193,8 +199,8 @@ def automaton(shared) -> Automaton:
 
 
 def encode_pieces(docs: DataFrame, pieces: list[tuple[bytes, float, bool]]) -> DataFrame:
-    """One row per document: doc_id, ids (array<int>), score: the segmentation with the largest sum of piece scores, single bytes
-    where no piece fits. Null and empty texts have no ids and score 0; repeated rows are encoded each."""
+    """One row per document: doc_id, ids (array<int>), score: the segmentation with the largest sum of piece scores, the bytes
+    of a character where no piece fits. Null and empty texts have no ids and score 0; repeated rows are encoded each."""
     shared = docs.sparkSession.sparkContext.broadcast(pieces)  # the size of the model file bounds it
 
     def run(batches):
