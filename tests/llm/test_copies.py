@@ -181,3 +181,43 @@ def test_lines_that_repeat_within_a_text(spark):
     df = spark.createDataFrame([(1, "\n".join([line] * 5 + ["end"])), (2, "short\n" + line), (3, "\n".join([line, line, "short"]))], "doc_id long, text string")
     got = {r.doc_id: r.text.split("\n") for r in drop_repeated_lines(df, 50).collect()}
     assert got == {1: [line, "end"], 2: ["short", line], 3: ["short"]}
+
+
+def edited(rng, text, share):
+    """text with about that share of its words changed, in runs, so that shingle sets keep a similarity around 0.8."""
+    out = list(text)
+    for at in rng.sample(range(len(out)), max(1, round(share * len(out)))):
+        out[at] = f"n{rng.getrandbits(40)}"
+    return out
+
+
+def groups_by_brute_force(texts, least=0.8):
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for i, t in texts.items()}
+
+    def near(a, b):
+        whole = len(sets[a] | sets[b])
+        return not whole or len(sets[a] & sets[b]) / whole >= least
+
+    return roots(sets, near), sets
+
+
+def assert_groups(spark, texts, **more):
+    expected, sets = groups_by_brute_force(texts)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.group_doc for r in near_duplicates(df, **more).collect()} == expected
+    return expected, sets
+
+
+def test_near_duplicates_at_the_bound(spark):
+    """Long and short texts whose similarity is close to 0.8, against all pairs."""
+    import random
+
+    rng, texts = random.Random(5), {}
+    for size in [5, 8, 9, 12, 20, 60, 150, 300, 700]:
+        for _ in range(6):
+            base = [f"w{rng.getrandbits(30)}" for _ in range(size)]
+            for other in [base, base[:-1], base[1:], base + ["more"], *(edited(rng, base, s) for s in (0.01, 0.02, 0.023, 0.026))]:
+                texts[len(texts)] = " ".join(other)
+    expected, sets = assert_groups(spark, texts)
+    values = [len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in range(a // 8 * 8, a)]
+    assert sum(0.8 <= x < 0.85 for x in values) > 50 and sum(0.75 <= x < 0.8 for x in values) > 20

@@ -1,4 +1,4 @@
-"""Near duplicates by SimHash and an inverted index over byte positions."""
+"""Near duplicates: by SimHash and an inverted index over byte positions, and by shingle sets and a prefix filter."""
 
 from __future__ import annotations
 
@@ -8,10 +8,10 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebar.llm.common import checkpointed, shuffle_partitions, whole_text
+from tidebar.llm.common import checkpointed, whole_text
 from tidebar.llm.components import components
 
 #: Seed of the shingle hash and shingles hashed at a time, so one very long text needs bounded memory.
@@ -141,67 +141,125 @@ def simhash_groups(docs: DataFrame, width: int = 3, pairwise: int = PAIRWISE) ->
 
 # near duplicates by similarity -------------------------------------------------------------------------------------
 
-#: Lanes of the long fingerprint, positional bytes in an entry, entries of a fingerprint.
-LANES, TAKEN, TABLES = 4, 3, 64
+#: Longs of the sketch of a shingle set; the share (one in so many) of texts whose shingles are counted, and the count
+#: there from which a shingle is common; bits of a shingle's hash that name its place among the common ones.
+SKETCH, SAMPLED, COMMON, PLACES = 8, 16, 3, 22
+#: Rounds of stars at most, and comparisons for each row of the index that end them.
+ROUNDS, WORK = 3, 4
 
 
-def position_sets(positions: int, taken: int, tables: int) -> list[tuple[int, ...]]:
-    """`tables` sets of positions, each position about equally often."""
-    strides = [s for s in range(1, positions) if np.gcd(s, positions) == 1]
-    return [
-        tuple(sorted((n + k * strides[(n // positions * 5 + 2) % len(strides)] * (k + 1) // 2) % positions for k in range(taken)))
-        for n in range(tables)
-    ]
+def distinct_shingles(text: bytes, width: int) -> np.ndarray:
+    """The XXH64 of a text's word shingles as a sorted set."""
+    parts = [np.unique(h) for h in shingle_hashes(text, width)]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
-def near_duplicates(
-    docs: DataFrame, width: int = 5, similarity: float = 0.8, lanes: int = LANES, taken: int = TAKEN, tables: int = TABLES,
-    pairwise: int = PAIRWISE,
-) -> DataFrame:
-    """One row per document: doc_id, text_sha256, group_doc, group_sha256, kept; groups of texts with `width`-word
-    shingles of Jaccard similarity `similarity` or more.
+def shingle_set(width: int):
+    @F.arrow_udf("array<long>")
+    def of(texts: pa.Array) -> pa.Array:
+        return listed([distinct_shingles((x.as_py() or "").encode(), width).view(np.int64) for x in texts])
+
+    return of
+
+
+def listed(rows: list[np.ndarray]) -> pa.Array:
+    stops = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(stops), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64), pa.int64()))
+
+
+def common_levels(docs: DataFrame, width: int) -> np.ndarray:
+    """For the first PLACES bits of a hash, how common the shingles there are, by a sample of the texts: 0 for what is
+    rare, else the logarithm of the count. Any such table is right for an order; this one puts rare shingles first."""
+    sample = docs.select(whole_text().alias("text")).where(F.xxhash64("text") % SAMPLED == 0)
+    counts = sample.select(F.explode(shingle_set(width)(F.col("text"))).alias("h")).groupBy("h").count().where(F.col("count") >= COMMON)
+    found = counts.groupBy(F.shiftrightunsigned("h", 64 - PLACES).cast("int").alias("place")).agg(
+        F.max(F.log2("count")).cast("byte").alias("level")
+    ).toArrow()  # 2**PLACES rows at most, for any input
+    levels = np.zeros(1 << PLACES, np.uint8)
+    levels[np.asarray(found["place"])] = np.asarray(found["level"])
+    return levels
+
+
+def sketches(docs: DataFrame, width: int, similarity: float) -> Column:
+    """Column of structs: size of the shingle set; sketch, the parity of its members at each of 64 * SKETCH places, which
+    differs for two sets at no more places than they have members that only one of them holds; prefix, its
+    first members in one order for all texts, so many that two sets of the similarity share one at least."""
+    shared = docs.sparkSession.sparkContext.broadcast(common_levels(docs, width).tobytes())
+
+    @F.arrow_udf("struct<size:int,sketch:array<long>,prefix:array<long>>")
+    def of(texts: pa.Array) -> pa.Array:
+        levels = np.frombuffer(shared.value, np.uint8)
+        sizes, sketch, prefix = [], [], []
+        for x in texts:
+            found = distinct_shingles(x.as_py().encode(), width)
+            sizes.append(len(found))
+            odd = np.bincount((found & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+            sketch.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            # similar sets share similarity * size members; the texts without words share 0
+            first = len(found) - int(np.ceil(similarity * len(found) - 1e-9)) + 1
+            order = np.lexsort((found, levels[found >> np.uint64(64 - PLACES)]))[:first]
+            prefix.append(found[order].view(np.int64) if len(found) else np.zeros(1, np.int64))
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), listed(sketch), listed(prefix)], names=["size", "sketch", "prefix"])
+
+    return of(whole_text())
+
+
+def may_be_similar(similarity: float) -> Column:
+    """False only for pairs (size_a, sketch_a, size_b, sketch_b) whose sets surely lack the similarity."""
+    bits = sum(F.bit_count(F.col("sketch_a")[k].bitwiseXOR(F.col("sketch_b")[k])) for k in range(SKETCH))
+    sizes = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * similarity - 1e-9
+    return sizes & (bits <= (F.col("size_a") + F.col("size_b")) * ((1 - similarity) / (1 + similarity)) + 1e-9)
+
 
-    Fingerprints of 64 bits a lane meet in an inverted index whose entries hold `taken` positional bytes. Pairs that
-    meet are tallied over all positional bytes and their bits are counted (a loose bound from the similarity), then
-    the shingle sets themselves are compared. With the defaults a pair at similarity 0.9 meets with probability 0.99, at
-    0.8 with 0.7. Each text is compared with the first of each of its entries; then, in entries of up to `pairwise`
-    texts, all pairs that are not yet in one group are compared. The first document (smallest doc_id, then digest) of a
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, rounds: int = ROUNDS) -> DataFrame:
+    """One row per document: doc_id, text_sha256, group_doc, group_sha256, kept; groups of texts that links of `width`-word
+    shingle sets of Jaccard similarity `similarity` or more reach.
+
+    The groups are those of all pairs. Texts meet in an index over the prefixes of their shingle sets, rare shingles
+    first; two of the similarity share a shingle there. Each text is compared with a centre of each of its entries, in
+    rounds; then all pairs of an entry that are not yet in one group are compared, whatever its size. Sizes and
+    sketches rule out pairs that cannot be similar; the sets decide the rest. The first document (smallest doc_id, then digest) of a
     group stays. Texts without words form one group.
     """
+    # texts of one digest are one node; its number follows from the digest
+    node = F.conv(F.substring("text_sha256", 1, 15), 16, 10).cast("long")
     rows = checkpointed(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.sha2(whole_text().cast("binary"), 256).alias("text_sha256"),
-        fingerprint(width, lanes).alias("print"),
-    ))
+        sketches(docs, width, similarity).alias("set"),
+    ).withColumn("node", node))
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_sha256")
-    # texts of one digest are one node; its number follows from the digest
-    node = F.conv(F.substring("text_sha256", 1, 15), 16, 10).cast("long")
-    nodes = rows.groupBy(node.alias("node")).agg(F.first("print").alias("print"))
-    # a small table whose rows become many: as many partitions as shuffles have
-    nodes = checkpointed(nodes.repartition(shuffle_partitions(docs), "node"))
-    sets = position_sets(8 * lanes, taken, tables)
-    entries = [F.concat(F.lit(bytes([n])), *[F.substring("print", p + 1, F.lit(1)) for p in s]) for n, s in enumerate(sets)]
-    index = nodes.select("node", "print", F.explode(F.array(*[F.xxhash64(e) for e in entries])).alias("entry"))
-    sizes = index.groupBy("entry").agg(
-        F.count("*").alias("n"), F.min("node").alias("low")
-    ).where("n > 1")
-    met = checkpointed(index.select("node", "entry").join(sizes, "entry"))
-    longs = [
-        F.conv(F.hex(F.substring("print", 8 * k + 1, F.lit(8))), 16, -10).cast("long").alias(f"w{k}") for k in range(lanes)
-    ]
-    words = checkpointed(nodes.select("node", *longs))
-    # first each text with the first of its entry; then, in entries of up to pairwise texts, those pairs that are not yet in one group
-    stars = met.select(F.col("low").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
-    edges = similar(docs, node, words, stars, width, similarity, lanes, taken)
-    groups = components(edges)
-    few = met.where(F.col("n") <= pairwise).join(groups, "node", "left").select("entry", "node", F.coalesce("root", "node").alias("root"))
-    few = checkpointed(few)
-    left = few.select("entry", F.col("node").alias("a"), F.col("root").alias("root_a"))
-    right = few.select("entry", F.col("node").alias("b"), F.col("root").alias("root_b"))
-    pairs = left.join(right, "entry").where("a < b and root_a <> root_b").select("a", "b").distinct()
-    edges = edges.unionByName(similar(docs, node, words, pairs, width, similarity, lanes, taken))
+    sets = checkpointed(rows.groupBy("node").agg(F.first("set.size").alias("size"), F.first("set.sketch").alias("sketch")))
+    # a text has many entries, so the longest of them is a small part of the index
+    entry = Window.partitionBy("entry")
+    index = rows.select("node", F.explode("set.prefix").alias("entry")).withColumns({
+        "low": F.min("node").over(entry), "high": F.max("node").over(entry),
+    })
+    met = checkpointed(index.where("low < high").select("node", "entry").distinct())
+    total = met.count()
+    edges, groups, waiting = None, None, met.withColumn("root", F.col("node"))
+    for number in range(rounds):
+        centre = waiting.groupBy("entry").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(number))).alias("c"))
+        stars = waiting.join(centre, "entry").where("root <> c.root").select(
+            F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")
+        ).distinct()
+        found = similar(docs, node, sets, stars, width, similarity)
+        none = found.isEmpty()
+        edges = found if edges is None else edges.unionByName(found)
+        if not none or groups is None:
+            groups = checkpointed(components(edges))
+            waiting = unsettled(met, groups)
+        if none or (waiting.where("root <> most").agg(F.sum("n")).first()[0] or 0) <= WORK * total:
+            break
+    # in each entry, the texts outside its largest group with all of other groups
+    both = waiting.join(sets, "node")
+    name = lambda df, x: df.select("entry", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "most", "size", "sketch")])
+    left, right = name(both.where("root <> most"), "a"), name(both, "b")
+    pairs = left.join(right, "entry").where("root_a <> root_b and (root_b = most_b or node_a < node_b)").where(may_be_similar(similarity))
+    pairs = pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    edges = edges.unionByName(similar(docs, node, sets, pairs, width, similarity))
     roots = components(edges)
-    named = rows.withColumn("node", node).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = rows.select("doc_id", "text_sha256", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = checkpointed(named.select("doc_id", "text_sha256", "root"))
     heads = named.groupBy("root").agg(F.min(order).alias("head"))
     return named.join(heads, "root").select(
@@ -210,23 +268,21 @@ def near_duplicates(
     )
 
 
-def similar(
-    docs: DataFrame, node: Column, words: DataFrame, pairs: DataFrame, width: int, similarity: float, lanes: int, taken: int
-) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets have the similarity: counted over positional bytes and bits of the
-    fingerprints in words first, then exactly."""
-    both = pairs.join(words.select(F.col("node").alias("a"), *[F.col(f"w{k}").alias(f"a{k}") for k in range(lanes)]), "a").join(
-        words.select(F.col("node").alias("b"), *[F.col(f"w{k}").alias(f"b{k}") for k in range(lanes)]), "b"
-    )
-    shared = sum(
-        (byte_at(f"a{k}", p) == byte_at(f"b{k}", p)).cast("int") for k in range(lanes) for p in range(8)
+def unsettled(met: DataFrame, groups: DataFrame) -> DataFrame:
+    """node, entry, root, most, n: the entries that hold texts of several groups, with the root of the largest of these and the
+    number of texts."""
+    rooted = checkpointed(met.join(groups, "node", "left").select("node", "entry", F.coalesce("root", "node").alias("root")))
+    sizes = rooted.groupBy("entry", "root").count().groupBy("entry").agg(
+        F.max_by("root", F.struct("count", "root")).alias("most"), F.sum("count").alias("n"), F.count("*").alias("kinds")
     )
-    bits = sum(F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(lanes))
-    cosine = 2 * similarity / (1 + similarity)
-    expected = 64 * lanes * np.arccos(cosine) / np.pi
-    most = int(expected + 4 * np.sqrt(expected))
-    likely = checkpointed(both.where(shared >= taken).where(bits <= most).select("a", "b"))
-    # exact check: sets of shingles of the texts that a likely pair names, 32 bits a shingle
+    return checkpointed(rooted.join(sizes.where("kinds > 1").drop("kinds"), "entry"))
+
+
+def similar(docs: DataFrame, node: Column, sets: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets have the similarity: by size and sketch first, then exactly."""
+    of = lambda x: sets.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    likely = checkpointed(pairs.join(of("a"), "a").join(of("b"), "b").where(may_be_similar(similarity)).select("a", "b"))
+    # exact check: the whole sets of the texts that a likely pair names
     wanted = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
     texts = docs.select(whole_text().alias("text")).withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256))
     sets_of = checkpointed(
@@ -241,24 +297,12 @@ def similar(
     return checkpointed(checked.where(F.col("likeness") >= similarity).select("a", "b"))
 
 
-def shingle_set(width: int):
-    @F.arrow_udf("binary")
-    def of(texts: pa.Array) -> pa.Array:
-        out = []
-        for x in texts:
-            parts = [np.unique((h >> np.uint64(32)).astype(np.uint32)) for h in shingle_hashes((x.as_py() or "").encode(), width)]
-            out.append(np.unique(np.concatenate(parts)).tobytes() if parts else b"")
-        return pa.array(out, pa.binary())
-
-    return of
-
-
 def jaccard(x: str, y: str) -> Column:
     @F.arrow_udf("double")
     def of(a: pa.Array, b: pa.Array) -> pa.Array:
         out = []
         for u, v in zip(a, b):
-            u, v = np.frombuffer(u.as_py(), np.uint32), np.frombuffer(v.as_py(), np.uint32)
+            u, v = np.asarray(u.values, np.int64), np.asarray(v.values, np.int64)
             both = len(np.intersect1d(u, v, assume_unique=True))
             whole = len(u) + len(v) - both
             out.append(both / whole if whole else 1.0)
