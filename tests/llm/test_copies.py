@@ -221,3 +221,26 @@ def test_near_duplicates_at_the_bound(spark):
     expected, sets = assert_groups(spark, texts)
     values = [len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in range(a // 8 * 8, a)]
     assert sum(0.8 <= x < 0.85 for x in values) > 50 and sum(0.75 <= x < 0.8 for x in values) > 20
+
+
+def test_near_duplicates_in_large_entries(spark):
+    """Hundreds of texts in each entry: a common passage, a large group of near copies and pairs that meet only there."""
+    import random
+
+    rng, texts = random.Random(8), {}
+    common = [f"c{i}" for i in range(30)]
+    for _ in range(120):
+        own = [f"o{rng.getrandbits(40)}" for _ in range(8)]  # unlike by the eight, similar to the copy with one more
+        texts[len(texts)] = " ".join(common + own)
+        texts[len(texts)] = " ".join(common + own + ["more"])
+    base = [f"b{i}" for i in range(120)]
+    for _ in range(200):
+        texts[len(texts)] = " ".join(edited(rng, base, 0.02))
+    for _ in range(80):  # from the same text, but outside or at the edge of the group
+        texts[len(texts)] = " ".join(edited(rng, base, 0.04))
+    ids = list(texts)
+    rng.shuffle(ids)
+    texts = dict(zip(ids, texts.values()))
+    for rounds in (1, 3):
+        expected, _ = assert_groups(spark, texts, rounds=rounds)
+    assert 121 <= len(set(expected.values())) < 250
