@@ -244,3 +244,14 @@ def test_near_duplicates_in_large_entries(spark):
     for rounds in (1, 3):
         expected, _ = assert_groups(spark, texts, rounds=rounds)
     assert 121 <= len(set(expected.values())) < 250
+
+
+def test_near_duplicates_count_a_repeated_passage_once(spark):
+    import random
+
+    rng = random.Random(9)
+    text = [f"w{rng.getrandbits(30)}" for _ in range(200)]
+    short = [f"s{rng.getrandbits(30)}" for _ in range(60)]
+    texts = {1: " ".join(text), 2: " ".join(text[:50] + text[40:50] * 50 + text[50:]), 3: " ".join(short), 4: " ".join(short + short[-6:] * 50)}
+    expected, _ = assert_groups(spark, texts)
+    assert expected == {1: 1, 2: 1, 3: 3, 4: 3}
