@@ -265,3 +265,12 @@ def test_words_are_pieces_of_several_bytes():
     for text, a, b in zip(texts, offsets, offsets[1:]):
         assert b"".join(pieces[i][0] for i in ids[a:b] if i in single) == "".join(c for c in text if c not in own).encode()
     assert np.diff(offsets).tolist() == [len(x) for x in parts] and scores[0] == sum(pieces[i][1] for i in ids[: offsets[1]])
+
+
+def test_private_keys_go_with_their_bodies(spark):
+    body = "\n".join("MIIEow+/" + x * 56 for x in "gh")
+    key = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    texts = [f"é {key} after", f"{key}\n{key}\nafter", f"before -----BEGIN PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----\n", "-----END PRIVATE KEY----- alone"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in redact_secrets(df).collect()}
+    assert got == {0: "é [secret] after", 1: "[secret]\n[secret]\nafter", 2: "before [secret]", 3: texts[3]}

@@ -35,7 +35,8 @@ BASE = (
     Rule("hex", r"[0-9a-f]+", 24),
 )
 RULES = BASE + (
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    # with its body: to the END line of the same kind, or to the end of the text
+    Rule("private_key", r"-----BEGIN ((?:[A-Z]+ )*)PRIVATE KEY-----(?s:.*?)(?:-----END \1PRIVATE KEY-----|\Z)"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
