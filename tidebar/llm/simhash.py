@@ -144,6 +144,8 @@ def simhash_groups(docs: DataFrame, width: int = 3, pairwise: int = PAIRWISE) ->
 #: Longs of the sketch of a shingle set; the share (one in so many) of texts whose shingles are counted, and the count
 #: there from which a shingle is common; bits of a shingle's hash that name its place among the common ones.
 SKETCH, SAMPLED, COMMON, PLACES = 8, 16, 3, 22
+#: Bits of a node's number that name its place among the nodes whose sets are wanted.
+WANTED = 24
 #: Rounds of stars at most, and comparisons for each row of the index that end them.
 ROUNDS, WORK = 3, 4
 
@@ -282,33 +284,39 @@ def similar(docs: DataFrame, node: Column, sets: DataFrame, pairs: DataFrame, wi
     """The pairs (a, b) of nodes whose shingle sets have the similarity: by size and sketch first, then exactly."""
     of = lambda x: sets.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}"))
     likely = checkpointed(pairs.join(of("a"), "a").join(of("b"), "b").where(may_be_similar(similarity)).select("a", "b"))
-    # exact check: the whole sets of the texts that a likely pair names
-    wanted = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
-    texts = docs.select(whole_text().alias("text")).withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256))
+    # exact check: the whole sets of the texts that a likely pair names; only these (and a few by chance) are shuffled
+    wanted = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets_of = checkpointed(
-        texts.withColumn("node", node).join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-        .select("node", shingle_set(width)(F.col("text")).alias("shingles"))
+        docs.select(whole_text().alias("text")).withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256)).withColumn("node", node)
+        .select("node", wanted_sets(wanted, width)(F.col("node"), F.col("text")).alias("shingles"))
+        .where(F.col("shingles").isNotNull()).groupBy("node").agg(F.first("shingles").alias("shingles"))
     )
+    both = F.size(F.array_intersect("x", "y"))
+    whole = F.size("x") + F.size("y") - both
     checked = (
         likely.join(sets_of.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
         .join(sets_of.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-        .select("a", "b", jaccard("x", "y").alias("likeness"))
+        .select("a", "b", F.when(whole == 0, 1.0).otherwise(both / whole).alias("likeness"))
     )
     return checkpointed(checked.where(F.col("likeness") >= similarity).select("a", "b"))
 
 
-def jaccard(x: str, y: str) -> Column:
-    @F.arrow_udf("double")
-    def of(a: pa.Array, b: pa.Array) -> pa.Array:
-        out = []
-        for u, v in zip(a, b):
-            u, v = np.asarray(u.values, np.int64), np.asarray(v.values, np.int64)
-            both = len(np.intersect1d(u, v, assume_unique=True))
-            whole = len(u) + len(v) - both
-            out.append(both / whole if whole else 1.0)
-        return pa.array(out, pa.float64())
+def wanted_sets(wanted: DataFrame, width: int):
+    """Shingle sets of texts by node, null where no wanted node has the place; places are a table of fixed size."""
+    places = wanted.select((F.col("node") % (1 << WANTED)).cast("int").alias("place")).distinct().toArrow()
+    table = np.zeros(1 << WANTED, bool)
+    table[np.asarray(places["place"])] = True
+    shared = wanted.sparkSession.sparkContext.broadcast(np.packbits(table).tobytes())
 
-    return of(F.col(x), F.col(y))
+    @F.arrow_udf("array<long>")
+    def of(nodes: pa.Array, texts: pa.Array) -> pa.Array:
+        place = np.asarray(nodes) % (1 << WANTED)
+        held = np.frombuffer(shared.value, np.uint8)[place >> 3] >> (7 - (place & 7)) & 1
+        out = [distinct_shingles(x.as_py().encode(), width).view(np.int64) if h else np.zeros(0, np.int64) for x, h in zip(texts, held)]
+        found = listed(out)
+        return pa.ListArray.from_arrays(found.offsets, found.values, mask=pa.array(held == 0))
+
+    return of
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
