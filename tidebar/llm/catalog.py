@@ -11,6 +11,8 @@ from tidebar.llm.neighbours import nearest
 from tidebar.llm.packing import pack, read_vocabulary
 from tidebar.llm.pieces import pieces_digest, read_pieces
 from tidebar.llm.ppm import lm_scores
+from tidebar.llm.quality_rules import quality_rules
+from tidebar.llm.recompression import periodic_digest
 from tidebar.llm.secrets import secret_digest
 from tidebar.llm.sharding import balanced_shards
 from tidebar.llm.simhash import simhash_groups
@@ -57,6 +59,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read_table(spark, sf_dir, "documents")).drop("level", "name")
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_digest(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_ppm": op2_ppm,
@@ -68,6 +78,8 @@ QUERIES = {
     "op8_pieces": op8_pieces,
     "op9_sharding": op9_sharding,
     "op10_exact_dedup": op10_exact_dedup,
+    "op12_quality_rules": op12_quality_rules,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 EXACT_DEDUP_SQL = """
