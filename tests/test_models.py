@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tests.helpers import walk_bars
 from tidebar.models import create_model, list_models
+from tidebar.models.boosting import Task, cut_points, train
 from tidebar.models.calibration import calibrated
 from tidebar.models.store import load_model, save_model
 from tidebar.operators.folds import FoldPlan
@@ -141,4 +142,83 @@ def test_early_stopping_and_unknown_parameters(spark):
     with pytest.raises(ValueError, match="holds out"):
         create_model("boosted_trees", {**stop, "validation_least": 400}).fit(df, list("abcd"))
     with pytest.raises(ValueError, match="counterpart"):
-        create_model("boosted_trees", {**FAST, "num_leaves": 31}).fit(df, list("abcd"))
+        create_model("boosted_trees", {**FAST, "linear_tree": True}).fit(df, list("abcd"))
+
+
+def test_three_classes_learn(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 4))
+    pdf = pd.DataFrame(x, columns=list("abcd"))
+    pdf["label"], pdf["row_idx"] = np.digitize(x[:, 0] + 0.3 * x[:, 1], [-0.5, 0.5]), np.arange(600)
+    df = spark.createDataFrame(pdf)
+    outs = []
+    for rate in (0.01, 0.3):
+        fitted = create_model("boosted_trees", {**FAST, "n_estimators": 12, "max_depth": 3, "learning_rate": rate}).fit(df.filter("row_idx < 450"), list("abcd"))
+        out = fitted.score(df.filter("row_idx >= 450")).toPandas()
+        assert all(abs(sum(p) - 1) < 1e-9 and len(p) == 3 for p in out["probs"])
+        assert (out["y_pred"] == [int(np.argmax(p)) for p in out["probs"]]).all()
+        assert len(fitted.stages["booster"].trees) == 3
+        outs.append(out)
+    assert (outs[1]["y_pred"] == outs[1]["label"]).mean() > 0.8
+    sure = [np.mean([max(p) for p in out["probs"]]) for out in outs]
+    assert sure[1] > sure[0] + 0.2
+
+
+def test_rounds_of_early_stopping(spark):
+    df = matrix(spark, 500)
+    kept = []
+    for rounds in (1, 15):
+        params = {"n_estimators": 40, "max_depth": 3, "learning_rate": 0.7, "min_child_samples": 5, "early_stopping_rounds": rounds}
+        booster = create_model("boosted_trees", params).fit(df, list("abcd")).stages["booster"]
+        best = int(np.argmin(booster.losses))
+        assert booster.rounds == best + 1 and len(booster.losses) in (best + 1 + rounds, 40)
+        kept.append(len(booster.losses))
+    assert kept[0] < kept[1]
+
+
+def test_tasks_see_their_own_times_alone(spark):
+    """What comes after a task's end, or lies in its gap, changes neither its trees nor its cut points."""
+    df = matrix(spark, 400)
+    tasks = [Task(end=200, params=FAST), Task(end=300, params=FAST), Task(end=400, skip=(100, 220), params=FAST)]
+    later = F.col("row_idx") >= 200
+    other = df.withColumn("label", F.when(later, 1 - F.col("label")).otherwise(F.col("label"))).withColumn("a", F.when(later, F.col("b") * 9).otherwise(F.col("a")))
+    one, two = train(df, list("abcd"), tasks), train(other, list("abcd"), tasks)
+    assert one[0].trees == two[0].trees and one[0].base == two[0].base and one[1].trees != two[1].trees
+    gap = (F.col("row_idx") >= 100) & (F.col("row_idx") < 220)
+    third = train(df.withColumn("label", F.when(gap, 1 - F.col("label")).otherwise(F.col("label"))), list("abcd"), tasks)
+    assert third[2].trees == one[2].trees and third[0].trees != one[0].trees
+
+
+def test_limits_of_trees(spark):
+    df = matrix(spark, 400)
+    base = {"n_estimators": 2, "max_depth": 5, "min_child_samples": 5}
+    leaves = lambda b: [sum(1 for i, f in enumerate(feature) if f < 0 and (i == 0 or feature[(i - 1) // 2] >= 0)) for feature, _, _ in b.trees[0]]
+    small, large = train(df, list("abcd"), [Task(params={**base, "num_leaves": 4}), Task(params={**base, "num_leaves": 31})])
+    assert max(leaves(small)) <= 4 < max(leaves(large)) <= 31
+    plain, strict = train(df, list("abcd"), [Task(params={**base, "reg_alpha": 0.0, "reg_lambda": 0.0}), Task(params={**base, "reg_alpha": 5.0, "reg_lambda": 50.0})])
+    size = lambda b: max(abs(v) for _, _, value in b.trees[0] for v in value)
+    assert size(strict) < 0.6 * size(plain)
+    with pytest.raises(ValueError, match="levels"):
+        train(df, list("abcd"), [Task(params={"max_depth": 20})])
+
+
+def test_histograms_give_the_best_split(spark):
+    """The first split of a value tree against every cut tried by hand."""
+    df = matrix(spark, 300)
+    pdf = df.orderBy("row_idx").toPandas()
+    params = {"n_estimators": 1, "max_depth": 1, "min_child_samples": 20, "subsample": 1.0, "colsample_bytree": 1.0, "reg_alpha": 0.0, "reg_lambda": 0.0, "learning_rate": 1.0}
+    df = df.repartition(5)
+    found = train(df, list("abcd"), [Task(params=params)], "value")[0]
+    feature, cut, value = found.trees[0][0]
+    cuts, _ = cut_points(df, list("abcd"), "row_idx", [Task()])
+    y, best = pdf["label"].to_numpy(float), None
+    for name, values in zip("abcd", cuts):
+        assert len(values) > 20
+        for v in values:
+            left = pdf[name].to_numpy() <= v
+            if 20 <= left.sum() <= 280:
+                cost = ((y[left] - y[left].mean()) ** 2).sum() + ((y[~left] - y[~left].mean()) ** 2).sum()
+                best = min(best, (cost, name, v)) if best else (cost, name, v)
+    assert ("abcd"[feature[0]], cut[0]) == best[1:]
+    left = pdf[best[1]].to_numpy() <= best[2]
+    assert abs(found.base[0] + value[1] - y[left].mean()) < 1e-4 and abs(found.base[0] + value[2] - y[~left].mean()) < 1e-4

@@ -50,6 +50,10 @@ class Model:
         """Train on ``label`` (and an optional weight column) with the given feature columns."""
         raise NotImplementedError
 
+    def fit_tasks(self, df: DataFrame, features: Sequence[str], tasks: Sequence[Any], weight: str | None = None) -> list[Fitted]:
+        """One model per task (a range of times); models that can grow side by side override this."""
+        return [type(self)({**self.params, **t.params}).fit(t.rows(df), features, weight) for t in tasks]
+
 
 _MODELS: dict[str, type[Model]] = {}
 

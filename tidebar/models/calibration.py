@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebar.models.base import LABEL, Fitted, Model, with_vector
+from tidebar.models.boosting import Task
 from tidebar.operators.metrics import brier_improvement, brier_score
 
 c = F.col
@@ -57,9 +58,10 @@ def calibrated(
     seen = {r[0]: r[1] for r in df.groupBy(part.alias("part")).agg(F.count_distinct(LABEL)).collect()}
     if any(seen.get(k, 0) < 2 for k in range(cv)):
         raise ValueError(f"calibration in {cv} parts needs rows of both classes in each; found {seen}")
+    edges = [first + -(-k * (last - first + 1) // cv) for k in range(cv + 1)]
+    tasks = [Task(skip=(edges[k], edges[k + 1])) for k in range(cv)]
     pairs = []
-    for k in range(cv):
-        fitted = model.fit(rows.filter(part != k), features, weight)
+    for k, fitted in enumerate(model.fit_tasks(rows, features, tasks, weight)):
         pairs.append((fitted, _calibrator(fitted.score_rows(rows.filter(part == k)), method)))
 
     def score(data: DataFrame) -> DataFrame:

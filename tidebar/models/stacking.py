@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebar.models.base import FEATURES, LABEL, WEIGHT, Fitted, Model, balanced_weight, class_counts, create_model, register_model, with_vector
+from tidebar.models.boosting import Task, predictions
 from tidebar.session import materialize
 
 c = F.col
@@ -64,8 +65,7 @@ class Stacking(Model):
 
     Needs ``row_idx``, the position of the row's time on the calendar of all series, so no split trains on what
     comes after its validation rows. The last n_cv_folds of n_cv_folds + 1 equal parts are validated in turn.
-    Validation rows of one split pass through all first-layer models, so the
-    second-layer input needs no joins.
+    Validation rows are scored in one pass, each by the models of its split, so the second-layer input needs no joins.
     """
 
     defaults = {
@@ -73,31 +73,29 @@ class Stacking(Model):
         "passthrough": False, "auto_scale_pos_weight": True,
     }
 
-    def _bases(self, df: DataFrame, features: Sequence[str], weight: str | None) -> list[Fitted]:
-        scale = {"auto_scale_pos_weight": self.params["auto_scale_pos_weight"]}
-        return [
-            create_model("boosted_trees", {**scale, **b["params"]}).fit(df, features, weight)
-            for b in self.params["base_models"]
-        ]
-
     def fit(self, df: DataFrame, features: Sequence[str], weight: str | None = None) -> Fitted:
         p = self.params
         if p["meta_model"] not in ("logistic", "boosted_trees"):
             raise ValueError(f"unknown second layer '{p['meta_model']}'")
         rows = with_vector(df, features)
         first, last = df.agg(F.min("row_idx"), F.max("row_idx")).first()
-        size = (last - first + 1) // (p["n_cv_folds"] + 1) if last is not None else 0
-        parts = []
-        for k in range(p["n_cv_folds"]):
-            start = last + 1 - (p["n_cv_folds"] - k) * size
-            train = rows.filter(c("row_idx") < start)
-            valid = rows.filter((c("row_idx") >= start) & (c("row_idx") < start + size))
-            parts.append(first_layer(valid, self._bases(train, features, weight), p["use_proba"]))
-        meta_rows = parts[0]
-        for part in parts[1:]:
-            meta_rows = meta_rows.unionByName(part)
-        meta_rows = materialize(meta_rows)
-        assemble = second_input(len(p["base_models"]), p["passthrough"])
+        folds, models = p["n_cv_folds"], p["base_models"]
+        size = (last - first + 1) // (folds + 1) if last is not None else 0
+        starts = [last + 1 - (folds - k) * size for k in range(folds)]
+        # all splits of all first-layer models, and these on all rows, grow side by side
+        tasks = [Task(end=end, params=b["params"]) for b in models for end in (*starts, None)]
+        base = create_model("boosted_trees", {"auto_scale_pos_weight": p["auto_scale_pos_weight"]})
+        fitted = base.fit_tasks(rows, features, tasks, weight)
+        final = fitted[folds :: folds + 1]
+        valid = rows.filter(c("row_idx") >= starts[0]) if folds else rows.limit(0)
+        split = F.least(F.floor((c("row_idx") - F.lit(starts[0])) / F.lit(max(size, 1))), F.lit(folds - 1))
+        for i in range(len(models)):
+            boosters = [m.stages["booster"] for m in fitted[i * (folds + 1) : i * (folds + 1) + folds]]
+            probs = predictions(boosters, split)
+            best = (F.array_position("__probs", F.array_max("__probs")) - 1).cast("double")
+            valid = valid.withColumn("__probs", probs).withColumn(f"__m{i}", c("__probs")[1] if p["use_proba"] else best).drop("__probs")
+        meta_rows = materialize(valid)
+        assemble = second_input(len(models), p["passthrough"])
         counts = class_counts(meta_rows)
         scale = balanced_weight(counts, weight) if p["auto_scale_pos_weight"] else balanced_weight({}, weight)
         meta_in = assemble.transform(meta_rows).withColumn(WEIGHT, scale).withColumn(LABEL, c(LABEL).cast("double"))
@@ -111,4 +109,4 @@ class Stacking(Model):
             meta = GBTClassifier(
                 featuresCol="__meta", labelCol=LABEL, weightCol=WEIGHT, maxIter=100, maxDepth=2, stepSize=0.1, seed=42
             ).fit(meta_in)
-        return stack_from(meta, self._bases(rows, features, weight), features, p["use_proba"], p["passthrough"])
+        return stack_from(meta, final, features, p["use_proba"], p["passthrough"])

@@ -5,117 +5,103 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassifier
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebar.models.base import (
-    FEATURES,
-    LABEL,
-    WEIGHT,
-    Fitted,
-    Model,
-    balanced_weight,
-    class_counts,
-    register_model,
-    with_vector,
-)
+from tidebar.models.base import LABEL, Fitted, Model, class_counts, register_model
+from tidebar.models.boosting import DEFAULTS, Booster, Task, predictions, train
 from tidebar.operators.metrics import optimize_threshold
 
 c = F.col
 
 
-#: Parameters that the models of this module read.
-KNOWN = {
-    "n_estimators", "max_depth", "learning_rate", "subsample", "colsample_bytree", "min_child_samples", "random_state",
-    "max_memory_mb", "auto_scale_pos_weight", "early_stopping_rounds", "validation_tol", "row_column", "validation_share",
-    "validation_least", "classification_threshold", "auto_threshold", "threshold_metric", "continuous",
+#: Parameters that the models of this module read besides those of the booster.
+KNOWN = set(DEFAULTS) | {
+    "auto_scale_pos_weight", "row_column", "validation_share", "validation_least", "classification_threshold", "auto_threshold",
+    "threshold_metric", "continuous",
 }
 
 
-def tree_params(params: dict[str, Any]) -> dict[str, Any]:
-    """Common boosting names to Spark ML names; a name that has no counterpart is an error."""
+def checked(params: dict[str, Any]) -> dict[str, Any]:
+    """What the booster reads; a name that has no counterpart is an error."""
     unknown = set(params) - KNOWN
     if unknown:
         raise ValueError(f"parameters without a counterpart: {sorted(unknown)}")
-    share = params.get("colsample_bytree", 0.8)
-    return {
-        "maxDepth": params.get("max_depth", 6),
-        "subsamplingRate": params.get("subsample", 0.8),
-        "featureSubsetStrategy": "all" if share >= 1.0 else str(share),
-        "minInstancesPerNode": params.get("min_child_samples", 20),
-        "seed": params.get("random_state", 42),
-        "maxMemoryInMB": params.get("max_memory_mb", 256),
-    }
+    return {k: v for k, v in params.items() if k in DEFAULTS}
+
+
+def with_row(df: DataFrame, row: str) -> DataFrame:
+    return df if row in df.columns else df.withColumn(row, F.lit(0))
+
+
+def held_from(df: DataFrame, p: dict[str, Any], end: int | None = None) -> int | None:
+    """First of the last times, ``validation_share`` of all and ``validation_least`` at least, that tell when to stop."""
+    if not p["early_stopping_rounds"]:
+        return None
+    rows = df if end is None else df.filter(c(p["row_column"]) < end)
+    first, last = rows.agg(F.min(p["row_column"]), F.max(p["row_column"])).first()
+    times = max(int((last - first + 1) * p["validation_share"]), p["validation_least"])
+    if times > last - first:
+        raise ValueError(f"early stopping holds out {times} times; there are {last - first + 1}")
+    return last - times + 1
 
 
-def classes_from(model, features: Sequence[str]) -> Fitted:
-    """Scoring with a trained tree classifier."""
+def classes_from(booster: Booster) -> Fitted:
+    """Scoring with a trained classifier; the class is the likeliest, the lower one in a tie."""
 
     def score(data: DataFrame) -> DataFrame:
-        out = model.transform(data)
-        probs = vector_to_array("probability")
-        return out.select(
-            *data.columns, probs.alias("probs"), probs[1].alias("proba"), c("prediction").cast("int").alias("y_pred")
-        )
+        out = data.withColumn("probs", predictions([booster]))
+        best = F.array_position("probs", F.array_max("probs")) - 1
+        return out.select(*data.columns, "probs", c("probs")[1].alias("proba"), best.cast("int").alias("y_pred"))
 
-    kind = "classifier" if isinstance(model, GBTClassificationModel) else "forest"
-    return Fitted(list(features), score, list(model.featureImportances.toArray()), {"kind": kind, "model": model})
+    return Fitted(booster.features, score, booster.importances(), {"kind": "classifier", "booster": booster})
 
 
-def regression_from(model, features: Sequence[str], threshold: float, continuous: bool) -> Fitted:
-    """Scoring with a trained tree regression."""
-    value = c("prediction") if continuous else F.least(F.greatest(c("prediction"), F.lit(0.0)), F.lit(1.0))
+def regression_from(booster: Booster, threshold: float, continuous: bool) -> Fitted:
+    """Scoring with a trained regression."""
 
     def score(data: DataFrame) -> DataFrame:
-        out = model.transform(data).select(*data.columns, value.alias("proba"))
+        raw = predictions([booster])[0]
+        value = raw if continuous else F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0))
+        out = data.withColumn("__value", value).select(*data.columns, c("__value").alias("proba"))
         if continuous:
             return out.withColumn("y_pred", c("proba"))
         return out.withColumn("probs", F.array(1 - c("proba"), c("proba"))).withColumn(
             "y_pred", (c("proba") >= threshold).cast("int")
         )
 
-    stages = {"kind": "regressor", "model": model, "continuous": continuous}
-    return Fitted(list(features), score, list(model.featureImportances.toArray()), stages, threshold)
+    stages = {"kind": "regressor", "booster": booster, "continuous": continuous}
+    return Fitted(booster.features, score, booster.importances(), stages, threshold)
 
 
 @register_model("boosted_trees")
 class BoostedTrees(Model):
-    """Binary: gradient-boosted trees; more classes: a forest.
+    """Gradient-boosted trees: logistic loss for classes 0 and 1, softmax with a tree per class and round for more classes.
 
-    ``early_stopping_rounds`` (Spark ML knows on and off: training stops when the held-out error no longer falls by
-    ``validation_tol``) holds out the last ``validation_share`` of the times in ``row_column``, ``validation_least`` at
-    least; it needs more times than that. ``auto_scale_pos_weight`` balances two classes.
+    ``early_stopping_rounds`` holds out the last ``validation_share`` of the times in ``row_column``, ``validation_least`` at
+    least; it needs more times than that. Training ends when the held-out loss has not fallen for so many rounds, and the trees up to
+    the best round are kept. ``auto_scale_pos_weight`` balances two classes.
     """
 
     defaults = {
-        "n_estimators": 500, "max_depth": 6, "learning_rate": 0.05, "subsample": 0.8, "colsample_bytree": 0.8,
-        "min_child_samples": 20, "random_state": 42, "auto_scale_pos_weight": True,
-        "early_stopping_rounds": None, "validation_tol": 0.01, "row_column": "row_idx",
-        "validation_share": 0.1, "validation_least": 50,
+        **DEFAULTS, "auto_scale_pos_weight": True, "row_column": "row_idx", "validation_share": 0.1, "validation_least": 50,
     }
 
     def fit(self, df: DataFrame, features: Sequence[str], weight: str | None = None) -> Fitted:
+        return self.fit_tasks(df, features, [Task()], weight)[0]
+
+    def fit_tasks(self, df: DataFrame, features: Sequence[str], tasks: Sequence[Task], weight: str | None = None) -> list[Fitted]:
+        """Models of several ranges of times or parameters, grown side by side."""
         p = self.params
         counts = class_counts(df)
-        scale = balanced_weight(counts, weight) if p["auto_scale_pos_weight"] else balanced_weight({}, weight)
-        rows = with_vector(df, features).withColumn(WEIGHT, scale).withColumn(LABEL, c(LABEL).cast("double"))
-        common = dict(featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT, **tree_params(p))
-        if set(counts) <= {0, 1}:
-            if p["early_stopping_rounds"]:
-                first, last = df.agg(F.min(p["row_column"]), F.max(p["row_column"])).first()
-                held_times = max(int((last - first + 1) * p["validation_share"]), p["validation_least"])
-                if held_times > last - first:
-                    raise ValueError(f"early stopping holds out {held_times} times; there are {last - first + 1}")
-                held = c(p["row_column"]) > last - held_times
-                rows = rows.withColumn("__held", held)
-                common |= {"validationIndicatorCol": "__held", "validationTol": p["validation_tol"]}
-            model = GBTClassifier(maxIter=p["n_estimators"], stepSize=p["learning_rate"], **common).fit(rows)
-        else:
-            model = RandomForestClassifier(numTrees=p["n_estimators"], **common).fit(rows)
-        return classes_from(model, features)
+        known = []
+        for t in tasks:
+            own = {**p, **t.params}
+            known.append(Task(t.end, t.skip, t.held_from or held_from(df, own, t.end), checked(own)))
+        objective, classes = ("binary", 2) if set(counts) <= {0, 1} else ("classes", max(counts) + 1)
+        row = p["row_column"]
+        boosters = train(with_row(df, row), features, known, objective, classes, LABEL, weight, row, p["auto_scale_pos_weight"])
+        return [classes_from(b) for b in boosters]
 
 
 @register_model("boosted_trees_regressor")
@@ -127,19 +113,25 @@ class BoostedTreesRegressor(Model):
     """
 
     defaults = {
-        "n_estimators": 600, "max_depth": 5, "learning_rate": 0.05, "classification_threshold": 0.5,
-        "auto_threshold": False, "threshold_metric": "f1", "continuous": False,
+        **DEFAULTS, "n_estimators": 600, "max_depth": 5, "classification_threshold": 0.5, "auto_threshold": False,
+        "threshold_metric": "f1", "continuous": False, "row_column": "row_idx", "validation_share": 0.1, "validation_least": 50,
     }
 
     def fit(self, df: DataFrame, features: Sequence[str], weight: str | None = None) -> Fitted:
+        return self.fit_tasks(df, features, [Task()], weight)[0]
+
+    def fit_tasks(self, df: DataFrame, features: Sequence[str], tasks: Sequence[Task], weight: str | None = None) -> list[Fitted]:
         p = self.params
-        rows = with_vector(df, features).withColumn(LABEL, c(LABEL).cast("double"))
-        gbt = GBTRegressor(
-            featuresCol=FEATURES, labelCol=LABEL, maxIter=p["n_estimators"], stepSize=p["learning_rate"], **tree_params(p)
-        )
-        model = (gbt.setWeightCol(weight) if weight else gbt).fit(rows)
-        fitted = regression_from(model, features, p["classification_threshold"], p["continuous"])
-        if p["auto_threshold"] and not p["continuous"]:
-            best = optimize_threshold(fitted.score_rows(rows), (), p["threshold_metric"], y=LABEL).first()
-            fitted = regression_from(model, features, float(best["best_threshold"]), False)
-        return fitted
+        known = []
+        for t in tasks:
+            own = {**p, **t.params}
+            known.append(Task(t.end, t.skip, t.held_from or held_from(df, own, t.end), checked(own)))
+        row = p["row_column"]
+        out = []
+        for task, booster in zip(known, train(with_row(df, row), features, known, "value", 1, LABEL, weight, row)):
+            fitted = regression_from(booster, p["classification_threshold"], p["continuous"])
+            if p["auto_threshold"] and not p["continuous"]:
+                best = optimize_threshold(fitted.score_rows(task.rows(with_row(df, row), row)), (), p["threshold_metric"], y=LABEL).first()
+                fitted = regression_from(booster, float(best["best_threshold"]), False)
+            out.append(fitted)
+        return out

@@ -18,8 +18,9 @@ import tidebar.models  # noqa: F401
 from tidebar.features.builder import apply_null_policy, build_frame, feature_columns
 from tidebar.functions.scalars import flag, map_values
 from tidebar.models.base import LABEL, Fitted, create_model
+from tidebar.models.boosting import Task, predictions
 from tidebar.models.calibration import calibrated
-from tidebar.operators.folds import FoldPlan, number_times, regime_weight, train_end
+from tidebar.operators.folds import FoldPlan, assign_test_folds, number_times, regime_weight, train_end, validation_tail
 from tidebar.operators.frame import lay_out
 from tidebar.operators.labels import get_label_strategy, label_lookback
 from tidebar.operators.metrics import compute_metrics, optimize_threshold
@@ -172,14 +173,60 @@ def fold_ids(rows: DataFrame, plan: FoldPlan) -> list[int]:
     return ids
 
 
+def run_folds(rows: DataFrame, features: list[str], exp: Experiment, ids: list[int]) -> Result:
+    """All folds at once: their trees grow side by side, and one pass scores each test row by the model of its fold.
+
+    Same rules as :func:`run_fold`; thresholds of all folds come from one search grouped by fold.
+    """
+    plan = exp.plan
+    tail_from = {k: train_end(plan, k) - max(int(train_end(plan, k) * exp.threshold_val_ratio), 50) for k in ids}
+    cut = exp.threshold_optimize and exp.holdout
+    fit_rows, weight = rows, None
+    if exp.regime_weights and exp.regime_column in rows.columns:
+        fit_rows, weight = rows.withColumn("__sample", regime_weight(exp.regime_column, exp.regime_weights)), "__sample"
+    tasks = [Task(end=tail_from[k] if cut else train_end(plan, k)) for k in ids]
+    fitted = create_model(exp.model, exp.model_params).fit_tasks(fit_rows, features, tasks, weight)
+    boosters = [m.stages["booster"] for m in fitted]
+    value = boosters[0].objective == "value"
+
+    def scored(numbered: DataFrame) -> DataFrame:
+        probs = predictions(boosters, c("fold_id") - F.lit(ids[0]))
+        out = numbered.withColumn("__probs", probs)
+        if not value:
+            best = (F.array_position("__probs", F.array_max("__probs")) - 1).cast("int")
+            return out.withColumns({"proba": c("__probs")[1], "y_pred": best})
+        if fitted[0].stages["continuous"]:
+            return out.withColumns({"proba": c("__probs")[0], "y_pred": c("__probs")[0]})
+        limit = F.element_at(F.array(*[F.lit(float(m.threshold)) for m in fitted]), (c("fold_id") - F.lit(ids[0]) + 1).cast("int"))
+        out = out.withColumn("proba", F.least(F.greatest(c("__probs")[0], F.lit(0.0)), F.lit(1.0)))
+        return out.withColumn("y_pred", (c("proba") >= limit).cast("int"))
+
+    preds = scored(assign_test_folds(rows, plan))
+    thresholds = {k: m.threshold for k, m in zip(ids, fitted)}
+    if exp.threshold_optimize:
+        tails = validation_tail(rows, plan, exp.threshold_val_ratio).filter(c("fold_id") >= ids[0])
+        best = optimize_threshold(scored(tails), ["fold_id"], exp.threshold_metric, y=LABEL).collect()  # a row a fold
+        thresholds = {k: 0.5 for k in ids} | {r["fold_id"]: float(r["best_threshold"]) for r in best}
+        limit = F.element_at(F.array(*[F.lit(thresholds[k]) for k in ids]), (c("fold_id") - F.lit(ids[0]) + 1).cast("int"))
+        preds = preds.withColumn("y_pred", (c("proba") >= limit).cast("int"))
+    preds = materialize(preds.select("symbol", "ts", c("fold_id").cast("int").alias("fold_id"), c(LABEL).alias("y_true"), "y_pred", "proba"))
+    bounds = {r["fold_id"]: r for r in fold_bounds(rows, plan).collect()}  # a row a fold
+    folds = [
+        {"fold_id": k, "train_size": bounds[k]["train_size"], "test_size": bounds[k]["test_size"], "threshold": thresholds[k]} for k in ids
+    ]
+    return Result(preds, folds, features, fitted[-1])
+
+
 def walk_forward(rows: DataFrame, features: list[str], exp: Experiment, parallel: int = 4) -> Result:
     """All folds of prepared rows.
 
-    Folds are independent; a few are submitted at a time so that the many
-    small jobs of tree training overlap.  Each fold's predictions are written
+    Models that grow side by side are trained in one go. Others, and calibrated ones, run fold by fold; a few are
+    submitted at a time so that the many small jobs of training overlap, and each fold's predictions are written
     out, so a lost executor costs at most one fold.
     """
     ids = fold_ids(rows, exp.plan)
+    if exp.calibrate == "none" and exp.model in ("boosted_trees", "boosted_trees_regressor"):
+        return run_folds(rows, features, exp, ids)
     with ThreadPoolExecutor(max_workers=parallel) as pool:
         done = list(pool.map(lambda k: run_fold(rows, features, exp, k), ids))
     preds = done[0][0]
