@@ -1,4 +1,4 @@
-"""Model queries on real bars; tree counts are small, the rows are all of them."""
+"""Model queries on real bars; tree counts are small but for walk_forward_full, the rows are all of them."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from catalog.common import order_bars
 from tidebar.functions.scalars import map_values
 from tidebar.models import create_model
 from tidebar.models.calibration import calibrated, calibration_report
+from tidebar.models.stacking import BASE_MODELS
 from tidebar.operators.folds import FoldPlan
 from tidebar.operators.metrics import compute_metrics
 from tidebar.plans.signals import decide
@@ -18,7 +19,7 @@ from tidebar.session import materialize
 
 c = F.col
 
-SMALL = {"n_estimators": 5, "max_depth": 3, "learning_rate": 0.2, "min_child_samples": 20}
+SMALL = {"n_estimators": 10, "max_depth": 3, "learning_rate": 0.2, "min_child_samples": 20}
 PLAN = FoldPlan(init_train=1000, oos_window=250, step=250, purge_gap=14)
 BULL = dict(label_params={"T": 14, "X": 0.8}, label_map={0: 0, 1: 0, 2: 1}, plan=PLAN, model_params=SMALL)
 BEAR = dict(label_params={"T": 14, "X": 0.8}, label_map={0: 1, 1: 0, 2: 0}, plan=PLAN, model_params=SMALL)
@@ -60,13 +61,14 @@ def continuous(s, d):
 
 
 def stacking(s, d):
-    bases = [{"name": f"b{k}", "params": {**SMALL, "n_estimators": 3, "max_depth": k}} for k in (2, 3)]
-    return report(create_model("stacking", {"base_models": bases, "n_cv_folds": 2}), s, d)
+    """Four first-layer models on three inner splits each."""
+    bases = [{**b, "params": {**b["params"], "n_estimators": 20, "max_depth": min(b["params"]["max_depth"], 4), "learning_rate": 0.2}} for b in BASE_MODELS]
+    return report(create_model("stacking", {"base_models": bases}), s, d)
 
 
 def calibration(s, d):
     train, test = split(rows(s, d))
-    model = create_model("boosted_trees", {**SMALL, "n_estimators": 3})
+    model = create_model("boosted_trees", SMALL)
     plain = model.fit(train, FEATURES)
     out = None
     for method in ("platt", "isotonic"):
@@ -88,6 +90,14 @@ def experiment(s, d):
     return run_experiment(order_bars(s, d), exp).fold_metrics()
 
 
+def experiment_full(s, d):
+    """Every fold of the default window and step, with a hundred trees each, grown side by side."""
+    params = {"n_estimators": 100, "max_depth": 3, "learning_rate": 0.05, "num_leaves": 8}
+    plan = FoldPlan(init_train=1500, oos_window=63, step=21, purge_gap=14)
+    exp = Experiment(["volume"], **{**BULL, "plan": plan, "model_params": params}, threshold_optimize=True)
+    return run_experiment(order_bars(s, d), exp).fold_metrics()
+
+
 def ensemble(s, d):
     _, _, both = run_ensemble(order_bars(s, d), Experiment(["volume", "regime"], **BULL), Experiment(["volume"], **BEAR))
     return compute_metrics(both, ["symbol"])
@@ -165,6 +175,7 @@ QUERIES = {
     "model_calibration": calibration,
     "feature_selection": selection,
     "walk_forward_experiment": experiment,
+    "walk_forward_full": experiment_full,
     "walk_forward_ensemble": ensemble,
     "latest_signal": latest_signal,
     "latest_signal_keys": latest_signal_keys,

@@ -23,10 +23,10 @@ from tidebar.session import materialize
 # functions that run in tasks travel with the task, so executors need no copy of this module
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Rows of a chunk, cut points of a feature from one prefix of the rows, growth of these prefixes, and their number at most.
-CHUNK, CUTS, GROWTH, PREFIXES = 4096, 32, 1.3, 6
+#: Rows of a chunk, cut points of a feature from all prefixes of the rows, growth of these prefixes, and their number at most.
+CHUNK, CUTS, GROWTH, PREFIXES = 4096, 64, 1.3, 4
 #: Gradients are whole multiples of this, so that sums do not depend on their order; trees between two written states.
-GRAIN, WRITE_EVERY = 2.0**-20, 25
+GRAIN, WRITE_EVERY = 2.0**-16, 25
 
 DEFAULTS = {
     "n_estimators": 500, "max_depth": 6, "learning_rate": 0.05, "num_leaves": 31, "subsample": 0.8, "colsample_bytree": 0.8,
@@ -148,10 +148,11 @@ def cut_points(df: DataFrame, features: Sequence[str], row: str, tasks: Sequence
     for end in ends[1:]:
         if end >= chosen[-1] * GROWTH and len(chosen) < PREFIXES:
             chosen.append(end)
-    shares = [(k + 1) / (CUTS + 1) for k in range(CUTS)]
+    count = CUTS // len(chosen)
+    shares = [(k + 1) / (count + 1) for k in range(count)]
     found: list[dict[float, int]] = [{} for _ in features]
     for end in chosen:
-        quantiles = df.filter(F.col(row) < end).approxQuantile(list(features), shares, 0.25 / CUTS)
+        quantiles = df.filter(F.col(row) < end).approxQuantile(list(features), shares, 0.25 / count)
         for cuts, values in zip(found, quantiles):
             for v in values:
                 cuts.setdefault(float(v), end)
@@ -248,6 +249,7 @@ class Training:
         self.first, self.scale = self.start(balance)
         self.trees = [[] for _ in range(self.columns)]
         self.losses: list[list[float]] = [[] for _ in tasks]
+        self.old: list[DataFrame] = []  # states that are not needed once the present one has been read
         self.done = [False] * len(tasks)
 
     def start(self, balance: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -315,6 +317,7 @@ class Training:
                     if not len(at):
                         continue
                     out = []
+                    place = (chunk.bins[at] + np.arange(width) * bins).astype(np.int32)
                     for c, (g, h) in enumerate(gradients(chunk, task)):
                         k = task * per + c
                         if k not in open_nodes:
@@ -323,14 +326,19 @@ class Training:
                         slot_of = np.full(len(feature[k]), -1)
                         slot_of[open_nodes[k]] = np.arange(len(open_nodes[k]))
                         slot = slot_of[node]
-                        here = at[slot >= 0]
-                        slot = slot[slot >= 0]
-                        fs = used[k]
-                        code = ((slot[:, None] * len(fs) + np.arange(len(fs))) * bins + chunk.bins[here][:, fs]).ravel()
-                        size = len(open_nodes[k]) * len(fs) * bins
-                        grain = lambda v: np.repeat(np.rint(v[here] / GRAIN) * GRAIN, len(fs))  # noqa: B023, E731
-                        sums = [np.bincount(code, v, size) for v in (grain(g), grain(h), None)]
-                        cube = np.stack([np.asarray(s, np.float64).reshape(len(open_nodes[k]), -1) for s in sums], axis=1)
+                        here = slot >= 0
+                        slot, fs = slot[here], used[k]
+                        size = width * bins
+                        code = (place[here] if len(fs) == width else place[here][:, fs]) + (slot * size).astype(np.int32)[:, None]
+                        grains = [np.rint(v[at][here] / GRAIN) for v in (g, h)]
+                        # curvature and number of rows share a sum: whole numbers, the count above the curvature
+                        high = 2.0 ** np.ceil(np.log2(grains[1].sum() + 2))
+                        if high * (len(slot) + 1) > 2.0**53:
+                            raise ValueError("sample weights are too large")
+                        sums = [np.bincount(code.ravel(), np.repeat(v, len(fs)), len(open_nodes[k]) * size) for v in (grains[0], grains[1] + high)]
+                        n = np.floor(sums[1] / high)
+                        cube = np.stack([(v * GRAIN).reshape(-1, width, bins)[:, fs].reshape(len(open_nodes[k]), -1) for v in (sums[0], sums[1] - n * high)], axis=1)
+                        cube = np.concatenate((cube, n.reshape(-1, width, bins)[:, fs].reshape(len(open_nodes[k]), 1, -1)), axis=1).astype(np.float32)
                         for s in np.unique(slot).tolist():
                             out.append((k, open_nodes[k][s], cube[s].tobytes()))
                     if out:
@@ -344,7 +352,7 @@ class Training:
             total: dict[tuple[int, int], np.ndarray] = {}
             for batch in batches:
                 for k, node, cube in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                    cube = np.frombuffer(cube)
+                    cube = np.frombuffer(cube, np.float32).astype(np.float64)
                     total[k, node] = total[k, node] + cube if (k, node) in total else cube
             out = []
             for (k, node), cube in total.items():
@@ -369,7 +377,10 @@ class Training:
         parts = max(1, min(most, sum(map(len, open_nodes.values())) // 32))
         cubes = self.state.mapInArrow(histograms, "column int, node int, cube binary").repartition(parts, "column", "node")
         kinds = ", ".join(f"{x} int" for x in ("column", "node", "feature", "bin")) + ", " + ", ".join(f"{x} double" for x in ("gain", "gl", "hl", "nl", "g", "h", "n"))
-        return cubes.mapInArrow(best, kinds).collect()  # a row for each open node at most: columns x leaves
+        splits = cubes.mapInArrow(best, kinds).collect()  # a row for each open node at most: columns x leaves
+        while self.old:
+            self.old.pop().unpersist()
+        return splits
 
     def sampled(self, k: int, number: int) -> np.ndarray:
         """Features that the tree may use."""
@@ -469,9 +480,9 @@ class Training:
                     self.losses[k].append(float(total[k, 0] / max(total[k, 1], 1)))
                     if patience and len(self.losses[k]) - 1 - int(np.argmin(self.losses[k])) >= patience:
                         self.done[k] = True
-        else:
-            self.state.count()
-        before.unpersist()
+            before.unpersist()
+        else:  # the next level reads the new scores first, and keeps them
+            self.old.append(before)
 
     def with_first_scores(self) -> None:
         """Scores begin at the base."""
@@ -491,7 +502,8 @@ class Training:
         number = 0
         while self.grow(number):
             number += 1
-        self.state.unpersist()
+        for one in (*self.old, self.state):
+            one.unpersist()
         out = []
         for k, task in enumerate(self.tasks):
             own = range(k * self.per, (k + 1) * self.per)
