@@ -124,3 +124,53 @@ def test_pipeline(spark, tmp_path):
     assert "hunter2" not in left[300] and left[300].startswith(line("k", 20))
     packed = corpus_pipeline.run(spark, folder)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(left)
+
+
+def test_rounds_of_sharding_keep_the_partitions(spark, monkeypatch):
+    """No round reads more partitions than the one before, and a hot group is split evenly where it does not fit."""
+    from tidebar.llm import sharding
+
+    seen, kept = [], sharding.checkpointed
+    monkeypatch.setattr(sharding, "checkpointed", lambda df: seen.append(kept(df)) or seen[-1])
+    data = [(i, "hot" if i % 3 == 0 else f"t{i % 400}") for i in range(3000)]
+    got = balanced_shards(spark.createDataFrame(data, "doc_id long, text string").repartition(40)).collect()
+    assert max(df.rdd.getNumPartitions() for df in seen) <= 40 and len(seen) > 3
+    sizes = collections.Counter(r.shard for r in got)
+    assert sorted(sizes.values()) == [375] * 8 and sorted(r.doc_id for r in got) == list(range(3000))
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(375)) for s in range(8))
+    homes = collections.defaultdict(set)
+    for r in got:
+        if r.doc_id % 3:
+            homes[r.doc_id % 400].add(r.shard)
+    assert sum(len(h) == 1 for h in homes.values()) > 0.7 * len(homes)
+
+
+def test_moves_keep_counts_and_quotas(spark):
+    """One round worked out again by hand."""
+    from tidebar.llm.sharding import STEPS, admitted, moved, wish
+
+    data = [(1, 1, k, [(k * 7 + s) % 5 * (1 + k % 3) for s in range(3)]) for k in range(200)]
+    state = spark.createDataFrame(data, "size long, text_crc32 long, digest long, counts array<long>")
+    asks = wish(state, 0).collect()
+    asked = [[[0] * STEPS for _ in range(3)] for _ in range(3)]
+    for r in asks:
+        assert r.counts[r.wished] == max(r.counts)
+        for s in range(3):
+            if s != r.wished:
+                asked[s][r.wished][r.steps[s]] += r.counts[s]
+    sizes = [sum(r.counts[s] for r in asks) for s in range(3)]
+    limits = admitted(asked, sizes, int(sum(sizes) / 3 * 1.1))
+    want = {}
+    for r in asks:
+        after = list(r.counts)
+        for s in range(3):
+            step, n, total = limits[s][r.wished]
+            if s != r.wished:
+                go = r.counts[s] if r.steps[s] < step else int(r.counts[s] * (n / total)) if r.steps[s] == step else 0
+                after[s] -= go
+                after[r.wished] += go
+        want[r.digest] = after
+    got = {r.digest: r.counts for r in moved(wish(state, 0), limits, 3).collect()}
+    assert got == want and want != {r.digest: r.counts for r in asks}
+    assert all(sum(got[k]) == sum(d[3]) for k, d in enumerate(data))
+    assert all(sum(c[s] for c in got.values()) <= max(sizes[s], int(sum(sizes) / 3 * 1.1)) for s in range(3))

@@ -9,8 +9,6 @@ from tidebar.llm.common import checkpointed, whole_text
 
 #: Shares of moves that are let through at a time, and rounds of propagation at most.
 STEPS, ROUNDS = 1024, 8
-#: A group beyond this share of all rows is looked up by a broadcast table of as many rows at most as fit into 1.
-HOT_SHARE = 1 / 1000
 
 GROUP = ["size", "text_crc32", "digest"]
 
@@ -20,9 +18,13 @@ def balanced_shards(docs: DataFrame, shards: int = 8, rounds: int = ROUNDS, slac
 
     Law `rows`: the shards' counts differ by one at most. size: UTF-8 bytes and 1; slot: place in the shard, gapless
     from 0; grown_shard is null. Documents are linked to those of equal text (null counts as empty). Everyone begins in a shard by
-    hash; in each round linked documents ask for the shard that holds most of their group, and as many move as quotas
+    hash; in each round linked documents ask for the shard that holds most of their group (ties by a hash), and as many move as quotas
     admit: swaps between two shards, and free places up to slack. At last unlinked documents fill the shards up evenly,
-    linked ones only where those do not suffice. Repeated rows have a slot each; an empty table gives no rows.
+    linked ones only where those do not suffice.
+
+    Linked documents of one group in one shard are alike, so the rounds work on one row a group, with its count in each shard;
+    the documents are dealt to these counts once, at the end. Repeated rows have a slot each and are linked; a text of any length is
+    read once, for its size and digests. An empty table gives no rows; other columns play no part.
     """
     rows = checkpointed(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -30,75 +32,50 @@ def balanced_shards(docs: DataFrame, shards: int = 8, rounds: int = ROUNDS, slac
         F.crc32(whole_text().cast("binary")).alias("text_crc32"),
         F.xxhash64(whole_text()).alias("digest"),
         F.monotonically_increasing_id().alias("row"),
-    ))
-    groups = rows.groupBy(*GROUP).count().where("count > 1")
-    begun = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "row"), F.lit(shards)).cast("int"))
-    total = rows.count()
-    marked = checkpointed(with_group(begun, groups.withColumnRenamed("count", "linked"), total, "left"))
-    single = marked.where("linked is null")
-    state = marked.where("linked is not null")
-    alone = counts_by(single, "shard", shards)
-    room = int(total / shards * (1 + slack)) + 1
+    ).withColumns({
+        "begun": F.pmod(F.xxhash64("doc_id", "row"), F.lit(shards)).cast("int"), "task": F.shiftright("row", 33).cast("int"),
+    }))
+    state = rows.groupBy(*GROUP).agg(F.array(*[F.count_if(F.col("begun") == s) for s in range(shards)]).alias("counts"))
+    state = checkpointed(state.where(F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n) > 1))
+    begun, linked = shard_sums(rows.select(F.array(*[(F.col("begun") == s).cast("long") for s in range(shards)]).alias("counts")), shards), shard_sums(state, shards)
+    alone = [a - b for a, b in zip(begun, linked)]
+    room = int(sum(begun) / shards * (1 + slack)) + 1
     for turn in range(rounds):
-        wishes = checkpointed(wish(state, total, turn))
+        wishes = wish(state, turn)
         asked = [[[0] * STEPS for _ in range(shards)] for _ in range(shards)]
-        table = wishes.where("wished <> shard").groupBy("shard", "wished", "step").count().collect()
+        asks = wishes.select(F.posexplode("counts").alias("shard", "n"), "wished", F.col("steps"))
+        asks = asks.where("n > 0 and shard <> wished").withColumn("step", F.get("steps", F.col("shard")))
+        table = asks.groupBy("shard", "wished", "step").agg(F.sum("n").alias("n")).collect()
         if not table:  # at most shards**2 * STEPS rows
-            state = wishes.drop("wished", "step")
             break
         for r in table:
-            asked[r["shard"]][r["wished"]][r["step"]] = r["count"]
-        sizes = [a + b for a, b in zip(alone, counts_by(wishes, "shard", shards))]
+            asked[r["shard"]][r["wished"]][r["step"]] = r["n"]
+        sizes = [a + b for a, b in zip(alone, shard_sums(state, shards))]
         limits = admitted(asked, sizes, room)
-        moved = F.lit(False)
-        for i in range(shards):
-            for j in range(shards):
-                if limits[i][j]:
-                    moved = moved | ((F.col("shard") == i) & (F.col("wished") == j) & (F.col("step") < limits[i][j]))
-        state = checkpointed(
-            wishes.withColumn("shard", F.when(moved, F.col("wished")).otherwise(F.col("shard"))).drop("wished", "step")
-        )
-        if not any(map(any, limits)):
+        if not any(n for row in limits for _, n, _ in row):
             break
-    return levelled(single.unionByName(state.select(*single.columns)), shards)
-
-
-def with_group(rows: DataFrame, table: DataFrame, total: int, how: str = "inner") -> DataFrame:
-    """rows joined to a table of groups. Groups that hold many of all rows are at most 1 / HOT_SHARE, and come by
-    broadcast, so no key is dealt to one task; the others by shuffle."""
-    size = "linked" if "linked" in table.columns else "n"
-    least = max(2, int(total * HOT_SHARE))
-    hot, cold = table.where(F.col(size) > least), table.where(F.col(size) <= least)
-    keys = hot.select(*GROUP)
-    inner = rows.join(F.broadcast(hot), GROUP)
-    rest = rows.join(F.broadcast(keys), GROUP, "left_anti").join(cold, GROUP, how)
-    return inner.unionByName(rest)
-
-
-def counts_by(rows: DataFrame, column: str, shards: int) -> list[int]:
-    out = [0] * shards
-    for r in rows.groupBy(column).count().collect():
-        out[r[column]] = r["count"]
-    return out
-
-
-def wish(state: DataFrame, total: int, turn: int) -> DataFrame:
-    """Linked rows with the shard where most of their group is, and a step: moves of small steps go first, those of
-    larger gain ahead of the others."""
-    held = state.groupBy(*GROUP, "shard").agg(F.count("*").alias("n"))
-    best = held.groupBy(*GROUP).agg(
-        F.max(F.struct(F.col("n").alias("most"), F.xxhash64(*GROUP, "shard").alias("tie"), "shard")).alias("best"),
-        F.sum("n").alias("n"),
-    )
-    best = best.select(*GROUP, "n", F.col("best.shard").alias("wished"), F.col("best.most").alias("most"))
-    met = with_group(state, best, total)
-    gain = F.least(F.floor(F.log2(F.col("most") + 0.5)), F.lit(7)).cast("int")
-    part = F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(STEPS // 8)).cast("int")
-    return met.withColumn("step", (7 - gain) * (STEPS // 8) + part).drop("n", "most")
+        state = checkpointed(moved(wishes, limits, shards))
+    return levelled(dealt(rows, state), shards)
+
+
+def shard_sums(rows: DataFrame, shards: int) -> list[int]:
+    found = rows.agg(*[F.coalesce(F.sum(F.get("counts", F.lit(s))), F.lit(0)).alias(f"s{s}") for s in range(shards)]).first()
+    return [int(n) for n in found]
+
+
+def wish(state: DataFrame, turn: int) -> DataFrame:
+    """Groups with the shard where most of theirs are, and for each shard the step at which those there ask to move: small
+    steps go first, those of larger gain ahead of the others."""
+    ranked = F.transform("counts", lambda n, s: F.struct(n.alias("n"), F.xxhash64(*GROUP, s).alias("tie"), s.alias("shard")))
+    best = F.array_max(ranked)
+    gain = F.least(F.floor(F.log2(F.col("best.n") + 0.5)), F.lit(7)).cast("int")
+    part = lambda s: F.pmod(F.xxhash64(*GROUP, s, F.lit(turn)), F.lit(STEPS // 8)).cast("int")
+    steps = F.transform("counts", lambda n, s: (7 - gain) * (STEPS // 8) + part(s))
+    return state.withColumn("best", best).select(*GROUP, "counts", F.col("best.shard").alias("wished"), steps.alias("steps"))
 
 
-def admitted(asked, sizes: list[int], room: int) -> list[list[int]]:
-    """For each pair of shards the steps that may move: as many rows as move back, and then what places are free."""
+def admitted(asked, sizes: list[int], room: int) -> list[list[tuple[int, int, int]]]:
+    """For each pair of shards (step, n, asked): what asks before `step` moves, and n of what asks at it."""
     shards = len(sizes)
     want = [[sum(asked[i][j]) for j in range(shards)] for i in range(shards)]
     quota = [[min(want[i][j], want[j][i]) for j in range(shards)] for i in range(shards)]
@@ -109,18 +86,48 @@ def admitted(asked, sizes: list[int], room: int) -> list[list[int]]:
         for i, n in rest.items():
             if open_asks:
                 quota[i][j] += min(n, free[j] * n // open_asks)
-    limits = [[0] * shards for _ in range(shards)]
+    limits = [[(0, 0, 1)] * shards for _ in range(shards)]
     for i in range(shards):
         for j in range(shards):
             done = 0
             for step, n in enumerate(asked[i][j]):
                 if done + n > quota[i][j]:
+                    limits[i][j] = (step, quota[i][j] - done, n)
                     break
                 done += n
-                limits[i][j] = step + 1 if done else 0
+            else:
+                limits[i][j] = (STEPS, done, 1)
     return limits
 
 
+def moved(wishes: DataFrame, limits, shards: int) -> DataFrame:
+    """Groups after the moves. At the last step of a pair, each gives its share of what is left, rounded down."""
+    flat = [F.array(*[F.lit(limits[i][j][k]).cast("long") for i in range(shards) for j in range(shards)]) for k in range(3)]
+    at = lambda k, s: F.get(flat[k], s * shards + F.col("wished"))
+    step = lambda s: F.get("steps", s)
+    part = lambda n, s: F.floor(n * (at(1, s) / at(2, s))).cast("long")
+    going = F.transform("counts", lambda n, s: F.when((s == F.col("wished")) | (step(s) > at(0, s)), F.lit(0).cast("long")).when(step(s) < at(0, s), n).otherwise(part(n, s)))
+    total = F.aggregate("going", F.lit(0).cast("long"), lambda a, n: a + n)
+    after = F.transform("counts", lambda n, s: n - F.get("going", s) + F.when(s == F.col("wished"), F.col("total")).otherwise(0))
+    return wishes.withColumn("going", going).withColumn("total", total).select(*GROUP, after.alias("counts"))
+
+
+def dealt(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """rows with `shard` and `linked`: those of a group are numbered, and the numbers dealt to its counts.
+
+    Numbers within a task of the first reading, and what lies in the tasks before: a group has one entry a task there, so
+    a large one meets nowhere.
+    """
+    here = rows.groupBy("task", *GROUP).count()
+    ahead = F.sum("count").over(Window.partitionBy(*GROUP).orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
+    places = here.withColumn("ahead", F.coalesce(ahead, F.lit(0))).drop("count").join(state, GROUP)
+    local = F.row_number().over(Window.partitionBy("task", *GROUP).orderBy("row")) - 1
+    met = rows.withColumn("local", local).join(places, ["task", *GROUP], "left").withColumn("number", F.col("local") + F.col("ahead"))
+    upto = F.transform("counts", lambda n, s: F.aggregate(F.slice("counts", F.lit(1), s + 1), F.lit(0).cast("long"), lambda a, x: a + x))
+    shard = F.size(F.filter(upto, lambda n: n <= F.col("number")))
+    return met.select("doc_id", "size", "text_crc32", "row", F.when(F.col("counts").isNull(), F.col("begun")).otherwise(shard).alias("shard"), F.when(F.col("counts").isNotNull(), 1).alias("linked"))
+
+
 def levelled(rows: DataFrame, shards: int) -> DataFrame:
     """Rows numbered within their shards, unlinked ones first; what is above an equal share fills the others up.
 
