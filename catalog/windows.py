@@ -10,7 +10,7 @@ from catalog.common import BLOCKED, bar_frame, order_bars
 from tidebar.functions.scalars import zscore
 from tidebar.operators.ranks import pct_rank
 from tidebar.sources.bars import event_bars
-from tidebar.operators.frame import ema_segment, lay_out
+from tidebar.operators.frame import lay_out
 
 c = F.col
 
@@ -50,13 +50,21 @@ def running(s, d, **layout):
 
 
 def ema(s, d, **layout):
-    f = bar_frame(s, d, **layout, lookback=ema_segment(26))
+    f = bar_frame(s, d, **layout, lookback=5)
     return _pick(f.ema({"ema_12": ("close", 12), "ema_26": ("close", 26)}), ["ema_12", "ema_26"])
 
 
+def ema_gaps(s, d, **layout):
+    """Means over values that are missing on some days, the first ones among them."""
+    f = bar_frame(s, d, **layout, lookback=5)
+    day = F.dayofmonth("ts")
+    f = f.add({"held": F.when((day > 3) & (day % 7 != 0), c("close"))})
+    return _pick(f.ema({"ema_12": ("held", 12), "ema_90": ("held", 90)}), ["ema_12", "ema_90"])
+
+
 def hourly_ema(s, d, **layout):
     """Hourly event bars, with gaps between hours."""
-    f = lay_out(event_bars(s, d), lookback=ema_segment(9), **layout).ema({"ema_9": ("close", 9)})
+    f = lay_out(event_bars(s, d), lookback=30, **layout).ema({"ema_9": ("close", 9)})
     f = f.add({"mean_24": f.mean("close", 24)})
     return _pick(f, ["ema_9", "mean_24"])
 
@@ -90,6 +98,7 @@ QUERIES = {
     "window_min_periods": min_periods,
     "window_running": running,
     "window_ema": ema,
+    "window_ema_gaps": ema_gaps,
     "window_hourly_ema": hourly_ema,
     "window_streak": streaks,
     "window_pct_rank": ranks,

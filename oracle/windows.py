@@ -19,6 +19,23 @@ def _ema(base: tuple[str, str], spans: dict[str, int], extra: dict[str, str] | N
     return q.out(KEYS, [*spans, *(extra or {})])
 
 
+def _ema_gaps(spans: dict[str, int]) -> str:
+    """m counts the missing values since the last one."""
+    def step(k, s):
+        a, kept = f"{2 / (s + 1)!r}", f"pow({1 - 2 / (s + 1)!r}, e.m + 1)"
+        return f"CASE WHEN e.{k} IS NULL THEN n.held WHEN n.held IS NULL THEN e.{k} ELSE ({kept} * e.{k} + {a} * n.held) / ({kept} + {a}) END AS {k}"
+
+    q = Layers("bars", [BARS], recursive=True)
+    q.cte("num", f"SELECT *, CASE WHEN day(ts) > 3 AND day(ts) % 7 <> 0 THEN close END AS held, row_number() OVER ({W}) AS rn FROM bars")
+    seed, steps = ", ".join(f"held AS {k}" for k in spans), ", ".join(step(k, s) for k, s in spans.items())
+    first = next(iter(spans))
+    q.cte("e", f"SELECT symbol, rn, 0 AS m, {seed} FROM num WHERE rn = 1 UNION ALL SELECT n.symbol, n.rn, "
+               f"CASE WHEN n.held IS NULL AND e.{first} IS NOT NULL THEN e.m + 1 ELSE 0 END, {steps} "
+               "FROM e JOIN num n ON n.symbol = e.symbol AND n.rn = e.rn + 1")
+    q.cte("r", "SELECT num.*, e.* EXCLUDE (symbol, rn, m) FROM num JOIN e USING (symbol, rn)")
+    return q.out(KEYS, list(spans))
+
+
 def sql() -> dict[str, str]:
     new = lambda: Layers("bars", [BARS])
     plain = lambda cols: new().add(cols).out(KEYS, list(cols))
@@ -37,6 +54,7 @@ def sql() -> dict[str, str]:
             "max_365": roll("max", "close", 365, 1), "min_30": roll("min", "close", 30, 1), "mean_20_min5": mean("close", 20, 5),
         }),
         "window_ema": _ema(BARS, {"ema_12": 12, "ema_26": 26}),
+        "window_ema_gaps": _ema_gaps({"ema_12": 12, "ema_90": 90}),
         "window_hourly_ema": _ema(event_bars(), {"ema_9": 9}, {"mean_24": mean("close", 24)}),
         "window_forward": plain({"max_ahead": ahead("max", "close", 14), "min_ahead": ahead("min", "close", 14)}),
         "window_zscore": plain({f"z_{w}": ratio(f"close - {mean('close', w)}", std("close", w)) for w in (60, 90)}),

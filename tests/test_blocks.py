@@ -159,3 +159,33 @@ def test_blocked_carries_read_their_input_in_line(spark):
         counts.append(plan.count("Scan ExistingRDD"))
     steps = [b - a for a, b in zip(counts, counts[1:])]
     assert max(steps) <= 4, counts
+
+
+@pytest.mark.parametrize("layout", [{}, {"block_rows": 256, "cell_rows": 32}, {"block_rows": 64, "cell_rows": 64}])
+def test_exponential_means_with_nulls(spark, layout):
+    """pandas' values: leading and inner nulls, long gaps, a series without values, and inputs that span many orders of magnitude."""
+    import numpy as np
+
+    rng, frames = np.random.default_rng(11), []
+    for name, n, share in (("A", 1500, 0.0), ("B", 900, 0.4), ("C", 700, 0.97), ("D", 40, 1.0), ("E", 600, 0.1)):
+        x = rng.normal(100, 10, n)
+        x[rng.random(n) < share] = np.nan
+        if name == "B":
+            x[:70] = np.nan
+        if name == "E":
+            x = x * 10.0 ** np.linspace(30, -30, n)
+        frames.append(pd.DataFrame({"symbol": name, "ts": pd.date_range("2020-01-01", periods=n, freq="h"), "x": x}))
+    pdf = pd.concat(frames)
+    rows = spark.createDataFrame(pdf).withColumn("x", F.when(~F.isnan("x"), F.col("x")))
+    spans = {"e1": 1, "e2": 2, "e3": 3, "e30": 30, "e400": 400}
+    f = lay_out(rows, lookback=40, **layout).ema({k: ("x", v) for k, v in spans.items()}).ema({"again": ("e30", 9)})
+    assert f.blocked == bool(layout)
+    got = f.finish().toPandas().sort_values(["symbol", "ts"]).reset_index(drop=True)
+    assert set(got.columns) == {"symbol", "ts", "x", "again", *spans}
+    groups = pdf.groupby("symbol")
+    for k, v in spans.items():
+        want = groups["x"].transform(lambda s: s.ewm(span=v, adjust=False).mean())
+        np.testing.assert_allclose(got[k].astype(float), want.to_numpy(), rtol=1e-9, err_msg=k)
+    pdf["e30"] = groups["x"].transform(lambda s: s.ewm(span=30, adjust=False).mean())
+    want = pdf.groupby("symbol")["e30"].transform(lambda s: s.ewm(span=9, adjust=False).mean())
+    np.testing.assert_allclose(got["again"].astype(float), want.to_numpy(), rtol=1e-9)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidebar.features.registry import register_feature_set
 from tidebar.functions.scalars import EPS, at_least, div, ratio, rel
-from tidebar.operators.frame import Frame, ema_segment
+from tidebar.operators.frame import Frame
 
 c = F.col
 
@@ -17,7 +17,7 @@ def true_range(f: Frame):
     return F.greatest(c("high") - c("low"), F.abs(c("high") - prev), F.abs(c("low") - prev))
 
 
-@register_feature_set("technical", lookback=max(200, ema_segment(200), ema_segment(26) + ema_segment(9)) + 5)
+@register_feature_set("technical", lookback=205)
 def technical(f: Frame) -> Frame:
     windows = (5, 10, 20, 50, 100, 200)
     emas = {f"ema_{w}": ("close", w) for w in windows}

@@ -12,7 +12,6 @@ one block, the layout is simply ``partitionBy(symbol)``.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -39,12 +38,8 @@ CELL_ROWS = 2_048
 # Most tasks of one window stage; beyond it a task handles several blocks in turn.
 MAX_TASKS = 20_000
 
-# An exponential mean keeps (1-a)^k of a value k rows back; past this many
-# nats the rest is below double precision.
-_EMA_NATS = 41.5
-# Longest scaling inside one segment, as nats of growth (about 1e200).
-_EMA_GROWTH = 460.0
-_EMA_SEGMENTS = (110, 1_100, 4_200, 46_000)
+# Nats by which an exponential mean forgets within one segment of its sums; two segments on, a value is below the least double.
+_EMA_NATS = 400.0
 
 
 _FAMILY = {
@@ -62,16 +57,40 @@ def _pair(family: str, a: Column, b: Column) -> Column:
     return best if family.endswith("any") else F.when(a.isNotNull() & b.isNotNull(), best)
 
 
-def ema_segment(span: int) -> int:
-    """Rows per segment for an exponential mean of this span."""
-    decay = -math.log1p(-2.0 / (span + 1.0)) if span > 1 else math.inf
-    if span <= 1:
-        return 1
-    need, allowed = math.ceil(_EMA_NATS / decay), math.floor(_EMA_GROWTH / decay)
-    for size in _EMA_SEGMENTS:
-        if need <= size <= allowed:
-            return size
-    return need
+def fading_sums(df: DataFrame, keys: Sequence[str], ts: str, names: Sequence[str]) -> DataFrame:
+    """For each name the running y = A * y before + B of the maps in ``<name>l`` (log of A, null for 1) and ``<name>b`` (B, null
+    for 0), as ``<name>y``, and the running log of all A as ``<name>s``.
+
+    A map is composed with all before it: y = sum of B * exp(s - s at B). The sums run within segments of ``_EMA_NATS`` nats, where
+    no factor overflows; the sum at the end of a segment, with that of the one before it, counts in the next. What lies further back
+    is multiplied by less than the least double.
+    """
+    order = Window.partitionBy(*keys).orderBy(ts)
+    upto, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    c = F.col
+    df = df.withColumns({f"{n}s": F.coalesce(F.sum(f"{n}l").over(upto), F.lit(0.0)) for n in names})
+    df = df.withColumns({f"{n}g": F.floor(-c(f"{n}s") / F.lit(_EMA_NATS)) for n in names})
+    sums = {}
+    for n in names:
+        inside = Window.partitionBy(*keys, f"{n}g").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
+        shift = c(f"{n}s") + F.lit(_EMA_NATS) * c(f"{n}g")
+        sums[f"{n}z"] = F.coalesce(F.sum(c(f"{n}b") * F.exp(-shift)).over(inside), F.lit(0.0)) * F.exp(shift)
+    df = df.withColumns(sums)
+    final = {n: F.lead(f"{n}g").over(order) != c(f"{n}g") for n in names}
+    ended = lambda n, z: F.last(F.when(c(f"{n}f"), F.struct(c(z).alias("z"), c(f"{n}s").alias("s"))), ignorenulls=True).over(before)
+    faded = lambda n, e: F.coalesce(c(e)["z"] * F.exp(c(f"{n}s") - c(e)["s"]), F.lit(0.0))
+    df = df.withColumns({f"{n}f": final[n] for n in names})
+    df = df.withColumns({f"{n}e": ended(n, f"{n}z") for n in names})
+    df = df.withColumns({f"{n}w": c(f"{n}z") + faded(n, f"{n}e") for n in names})
+    df = df.withColumns({f"{n}e": ended(n, f"{n}w") for n in names})
+    df = df.withColumns({f"{n}y": c(f"{n}z") + faded(n, f"{n}e") for n in names})
+    return df.drop(*[f"{n}{x}" for n in names for x in "gzfew"])
+
+
+def affine(x: Column, gap: Column, a: float) -> tuple[Column, Column]:
+    """Log of A, and B, of the map that a value x makes of the exponential mean before it, ``gap`` rows after the last value."""
+    kept = F.pow(F.lit(1.0 - a), gap.cast("double"))
+    return F.log(kept) - F.log(kept + F.lit(a)), F.lit(a) * x / (kept + F.lit(a))
 
 
 @dataclass(frozen=True)
@@ -332,42 +351,93 @@ class Frame:
 
     # -- exponential mean -------------------------------------------------
     def ema(self, specs: dict[str, tuple[str, int]]) -> Frame:
-        """y0 = x0, yt = a*xt + (1-a)*y(t-1), a = 2/(span+1); inputs must not be null.
+        """y0 = x0, yt = a*xt + (1-a)*y(t-1), a = 2/(span+1), from the first value that is not null.
 
-        Segments of ``ema_segment(span)`` rows: inside one, a running sum of
-        rescaled terms; before it, only the end value of the previous segment
-        still counts in double precision.
+        A null keeps the mean and fades it: after m nulls the mean before weighs (1-a)^(m+1) against a, so a value is an affine map of
+        the mean, and a null is the identity. Maps are composed by :func:`fading_sums`. In blocked mode the cells' composed
+        maps give the exact mean before each block; nothing is cut off. Valid where :meth:`cumulative` is.
         """
-        out = self.add({"__li": F.row_number().over(self.order) - 1})
-        segs = sorted({ema_segment(span) for _, span in specs.values()})
-        out = out.add({f"__seg{s}": F.floor(F.col("__li") / F.lit(s)).cast("long") for s in segs})
-        zs, prevs, ys = {}, {}, {}
-        for name, (src, span) in specs.items():
-            seg, a = ema_segment(span), 2.0 / (span + 1.0)
-            keep = F.lit(1.0 - a)
-            k = (F.col("__li") % F.lit(seg)).cast("double")
-            inside = (
-                Window.partitionBy(*self.keys, f"__seg{seg}")
-                .orderBy(self.ts)
-                .rowsBetween(Window.unboundedPreceding, 0)
-            )
-            weight = F.when(F.col("__rn") == 0, F.lit(1.0)).otherwise(F.lit(a))
-            if span <= 1:
-                zs[f"__z_{name}"] = F.col(src)
-                ys[name] = F.col(src)
-                continue
-            zs[f"__z_{name}"] = F.sum(F.col(src) * weight * F.pow(keep, -k)).over(inside) * F.pow(keep, k)
-            before = self.order.rowsBetween(Window.unboundedPreceding, -1)
-            ends = F.when(F.col("__li") % F.lit(seg) == seg - 1, F.col(f"__z_{name}"))
-            prevs[f"__e_{name}"] = F.last(ends, ignorenulls=True).over(before)
-            ys[name] = F.when(
-                F.col(src).isNotNull(),
-                F.col(f"__z_{name}") + F.pow(keep, k + 1) * F.coalesce(F.col(f"__e_{name}"), F.lit(0.0)),
-            )
-        out = out.add(zs)
-        out = out.add(prevs) if prevs else out
+        plain = {n: s for n, s in specs.items() if s[1] > 1}
+        direct = {n: src for n, (src, span) in specs.items() if span <= 1}  # the last value itself
+        out = self.cumulative({n: ("last", F.col(src)) for n, src in direct.items()}) if direct else self
+        if not plain:
+            return out
+        sources = sorted({src for src, _ in plain.values()})
+        seen = {src: f"__o{i}_" for i, src in enumerate(sources)}
+        number = {n: f"__m{i}_" for i, n in enumerate(plain)}
+        if self.blocked:
+            out = out._attach_means(plain, seen, number)
+            counted = F.col("__rn") >= F.col("__blk") * self.block_rows - self._lead_in(False) * self.cell_rows
+        else:
+            counted = F.lit(True)
+        before = self.order.rowsBetween(Window.unboundedPreceding, -1)
+        last = {}
+        for src, o in seen.items():
+            here = F.last(F.when(counted & F.col(src).isNotNull(), F.col("__rn")), ignorenulls=True).over(before)
+            last[f"{o}p"] = F.coalesce(here, F.col(f"{o}c")) if self.blocked else here
+        out = out.add(last)
+        maps = {}
+        for n, (src, span) in plain.items():
+            p, x, here = F.col(f"{seen[src]}p"), F.col(src).cast("double"), counted & F.col(src).isNotNull()
+            fade, add_ = affine(x, F.col("__rn") - p, 2.0 / (span + 1.0))
+            maps[f"{number[n]}l"] = F.when(here & p.isNotNull(), fade)
+            maps[f"{number[n]}b"] = F.when(here, F.when(p.isNull(), x).otherwise(add_))
+        out = out.add(maps)
+        out = replace(out, df=fading_sums(out.df, self.keys, self.ts, list(number.values())))
+        ys = {}
+        for n, (src, _) in plain.items():
+            m, begun = number[n], F.col(f"{seen[src]}p").isNotNull() | (counted & F.col(src).isNotNull())
+            early = F.coalesce(F.col(f"{m}c") * F.exp(F.col(f"{m}s")), F.lit(0.0)) if self.blocked else F.lit(0.0)
+            ys[n] = F.when(begun, F.col(f"{m}y") + early)
         out = out.add(ys)
-        return out.drop(*zs, *prevs, "__li", *[f"__seg{s}" for s in segs])
+        return out.drop(*[c for c in out.df.columns if c.startswith(("__o", "__m")) and c[:-1] in (*seen.values(), *number.values())])
+
+    def _attach_means(self, specs: dict[str, tuple[str, int]], seen: dict[str, str], number: dict[str, str]) -> Frame:
+        """Join the last row with a value (``<seen>c``) and the means (``<number>c``) as they are before each block's first counted row.
+
+        Own rows of a cell are composed to one map; cells of a series are one narrow row each.
+        """
+        cell = F.floor(F.col("__rn") / F.lit(self.cell_rows)).cast("long")
+        rows = self.df.filter(self._own()).withColumn("__cell", cell)
+        inside = Window.partitionBy(*self.keys, "__cell")
+        before = inside.orderBy(self.ts).rowsBetween(Window.unboundedPreceding, -1)
+        upto = inside.orderBy(self.ts).rowsBetween(Window.unboundedPreceding, 0)
+        value = {src: F.col(src).isNotNull() for src in seen}
+        rows = rows.withColumns({f"{o}p": F.last(F.when(value[s], F.col("__rn")), ignorenulls=True).over(before) for s, o in seen.items()})
+        maps = {}
+        for n, (src, span) in specs.items():
+            p = F.col(f"{seen[src]}p")
+            fade, add_ = affine(F.col(src).cast("double"), F.col("__rn") - p, 2.0 / (span + 1.0))
+            maps |= {f"{number[n]}l": F.when(value[src] & p.isNotNull(), fade), f"{number[n]}b": F.when(value[src] & p.isNotNull(), add_)}
+        rows = rows.withColumns(maps)
+        logs = {f"{m}s": F.coalesce(F.sum(f"{m}l").over(upto), F.lit(0.0)) for m in number.values()}
+        logs |= {f"{m}t": F.coalesce(F.sum(f"{m}l").over(inside), F.lit(0.0)) for m in number.values()}
+        rows = rows.withColumns(logs)
+        ends = []
+        for src, o in seen.items():
+            at = F.when(value[src], F.col("__rn"))
+            ends += [F.min(at).alias(f"{o}f"), F.max(at).alias(f"{o}l"), F.min_by(F.col(src).cast("double"), at).alias(f"{o}x")]
+        for m in number.values():
+            whole = F.sum(F.col(f"{m}b") * F.exp(F.col(f"{m}t") - F.col(f"{m}s")))
+            ends += [F.max(f"{m}t").alias(f"{m}t"), F.coalesce(whole, F.lit(0.0)).alias(f"{m}r")]
+        cells = materialize(rows.groupBy(*self.by, "__cell").agg(*ends))
+        cells = prefix_scan(cells, self.by, "__cell", {f"{o}c": ("last", F.col(f"{o}l")) for o in seen.values()})
+        maps = {}
+        for n, (src, span) in specs.items():
+            o, m = seen[src], number[n]
+            f_, p, x = (F.col(f"{o}{k}") for k in "fcx")
+            fade, add_ = affine(x, f_ - p, 2.0 / (span + 1.0))
+            maps[f"{m}l"] = F.when(f_.isNotNull() & p.isNotNull(), fade + F.col(f"{m}t"))
+            maps[f"{m}b"] = F.when(f_.isNotNull(), F.when(p.isNull(), x).otherwise(add_) * F.exp(F.col(f"{m}t")) + F.col(f"{m}r"))
+        cells = fading_sums(cells.withColumns(maps), self.by, "__cell", list(number.values()))
+        ordered = Window.partitionBy(*self.by).orderBy("__cell")
+        cells = cells.withColumns({f"{m}c": F.when(F.col(f"{seen[specs[n][0]]}c").isNotNull(), F.lag(f"{m}y").over(ordered)) for n, m in number.items()})
+        per_block = self.block_rows // self.cell_rows
+        shifted = F.col("__cell") + F.lit(self._lead_in(False))
+        carries = cells.filter(shifted % per_block == 0).select(
+            *self.by, (shifted / per_block).cast("long").alias("__blk"), *[f"{o}c" for o in seen.values()], *[f"{m}c" for m in number.values()]
+        )
+        return replace(self, df=self.df.join(carries, self.keys, "left"))
 
 
 def task_count(df: DataFrame, extent: Extent, block_rows: int) -> int:
