@@ -27,6 +27,7 @@ from tidebar.operators.metrics import (
     confusion_matrix,
     majority_baseline,
     optimize_threshold,
+    tail_threshold_table,
     threshold_table,
 )
 from tidebar.operators.pnl import attach_pnl, pnl_metrics, strategy_returns
@@ -110,6 +111,13 @@ def thresholds(s, d):
     return best_thresholds(threshold_table(fold_rows(s, d), keys), keys, goals).withColumnRenamed("goal", "metric")
 
 
+def tail_thresholds(s, d):
+    """Thresholds from every fold's validation tail, counted without a copy of a row."""
+    goals = {m: (m, 0.0) for m in ("f1", "kappa", "youden")}
+    table = tail_threshold_table(number_rows(scored_rows(s, d)), PLAN)
+    return best_thresholds(table, ["symbol", "fold_id"], goals).withColumnRenamed("goal", "metric")
+
+
 def applied(s, d):
     rows = fold_rows(s, d)
     best = optimize_threshold(rows, ["symbol", "fold_id"], "youden")
@@ -194,6 +202,7 @@ QUERIES = {
     "confusion_matrix": lambda s, d: confusion_matrix(multiclass(s, d), ["symbol"], [0, 1, 2]),
     "classification_report": lambda s, d: classification_report(multiclass(s, d), ["symbol"]),
     "threshold_search": thresholds,
+    "threshold_validation_tail": tail_thresholds,
     "threshold_applied": applied,
     "brier_score": lambda s, d: brier(fold_rows(s, d), ["symbol", "fold_id"]),
     "pnl_returns": equity,

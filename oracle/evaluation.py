@@ -187,6 +187,12 @@ def sql() -> dict[str, str]:
     q.cte("allbest", " UNION ALL ".join(f"SELECT *, '{m}' AS metric FROM {t}" for m, t in names.items()))
     out["threshold_search"] = q.out(["symbol", "fold_id", "metric"], ["best_threshold", "best_score"])
     q = fold_rows()
+    q2 = folds(scored())
+    q2.cte("fr", "SELECT s.symbol, f.fold_id, proba, y_true FROM s JOIN f ON s.symbol = f.symbol AND row_idx < train_size "
+                 "AND row_idx >= train_size - greatest(CAST(floor(train_size * 0.15::DOUBLE) AS BIGINT), 50)")
+    names = {m: thresholds(q2, m, m) for m in ("f1", "kappa", "youden")}
+    q2.cte("best", " UNION ALL ".join(f"SELECT *, '{m}' AS metric FROM {n}" for m, n in names.items()))
+    out["threshold_validation_tail"] = q2.out(["symbol", "fold_id", "metric"], ["best_threshold", "best_score"])
     best = thresholds(q, "y", "youden")
     q.cte("ap", f"SELECT symbol, fold_id, y_true, CAST(proba >= best_threshold AS INTEGER) AS y_pred FROM fr JOIN {best} USING (symbol, fold_id)")
     out["threshold_applied"] = metrics(q, "ap", "symbol").out(["symbol", "n"], ["accuracy", "f1_binary", "cohen_kappa"])

@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import frame
-from tidebar.operators.folds import FoldPlan, check_folds, series_sizes, walk_forward_folds
-from tidebar.operators.metrics import compute_metrics, optimize_threshold
+from tidebar.operators.folds import FoldPlan, check_folds, series_sizes, validation_tail, walk_forward_folds
+from tidebar.operators.metrics import compute_metrics, optimize_threshold, tail_threshold_table, threshold_table
 from tidebar.operators.pnl import PNL_FIELDS, pnl_metrics
 from tidebar.operators.prepare import dedupe_keep_last, require_columns
 from tidebar.operators.asof import asof_join
@@ -135,3 +135,24 @@ def test_asof_cases(spark):
     assert np.isnan(levels[0]) and levels[1:3] == [50.0, 50.0]  # before the first, exact hit, gap
     assert np.isnan(levels[3]) and np.isnan(levels[4])  # a null value of the last row stays null
     assert levels[5] == 7.0
+
+
+@pytest.mark.parametrize("plan,ratio,least", [
+    (FoldPlan(40, 10, 7, 3), 0.15, 5), (FoldPlan(30, 5, 1, 0), 0.9, 2), (FoldPlan(3, 2, 2, 8), 0.5, 1), (FoldPlan(60, 10, 30, 0), 0.0, 50),
+])
+def test_validation_tails_without_copies(spark, plan, ratio, least):
+    """The counts of every fold's tail against rows copied per fold."""
+    rng = np.random.default_rng(3)
+    parts = []
+    for name, n in (("A", 260), ("B", 130), ("C", 20)):
+        parts.append(pd.DataFrame({
+            "symbol": name, "row_idx": np.arange(n), "n_rows": n, "proba": rng.random(n).round(2), "y_true": rng.integers(0, 2, n), "fold": 0,
+        }))
+    rows = spark.createDataFrame(pd.concat(parts))
+    rows = rows.withColumn("proba", F.when(F.col("row_idx") % 11 != 0, F.col("proba")))
+    keys = ["symbol", "fold_id"]
+    held = validation_tail(rows, plan, ratio, least).filter(F.lit(plan.init_train - plan.purge_gap) + F.col("fold_id") * plan.step > 0)
+    want = threshold_table(held, keys)
+    got = tail_threshold_table(rows, plan, ratio, least)
+    pick = lambda df: sorted(map(tuple, df.select(*keys, "threshold", "tp", "fp", "tn", "fn").collect()))
+    assert pick(got) == pick(want) and got.count() > 0

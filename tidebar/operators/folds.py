@@ -112,6 +112,26 @@ def in_validation_tail(plan: FoldPlan, ratio: float = 0.15, least: int = 50) ->
     return (c("row_idx") >= start) & (c("row_idx") < size)
 
 
+def tail_range(plan: FoldPlan, ratio: float = 0.15, least: int = 50) -> tuple[Column, Column]:
+    """First fold, and first fold no more, whose validation tail holds the row (``row_idx`` of ``n_rows``).
+
+    Tails begin and end later from fold to fold, so the folds of a row are a range. Its end follows from the largest training size
+    whose tail still reaches back to the row, put right by a step where rounding went astray.
+    """
+    base, step = plan.init_train - plan.purge_gap, F.lit(plan.step)
+    row = c("row_idx")
+
+    def reached(fold: Column) -> Column:
+        size = F.lit(base) + fold * step
+        return size - F.greatest(F.floor(size * F.lit(ratio)), F.lit(least)) <= row
+
+    first = F.greatest(F.floor((row - F.lit(base)) / step) + 1, F.lit(-base // plan.step + 1 if base <= 0 else 0))
+    size = F.greatest(F.floor(row / F.lit(1.0 - ratio)), row + F.lit(least))
+    near = F.floor((size - F.lit(base)) / step)
+    last = F.when(reached(near + 1), near + 1).when(reached(near), near).otherwise(near - 1)
+    return first.cast("long"), (F.least(last, plan.count(c("n_rows")) - 1) + 1).cast("long")
+
+
 def validation_tail(numbered: DataFrame, plan: FoldPlan, ratio: float = 0.15, least: int = 50) -> DataFrame:
     """Rows of every fold's validation tail.
 

@@ -11,6 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidebar.operators.folds import FoldPlan, tail_range, walk_forward_folds
+from tidebar.operators.scan import prefix_scan
+from tidebar.session import materialize
+
 from tidebar.operators.ranks import row_ranks
 
 c = F.col
@@ -121,12 +125,21 @@ def threshold_table(
     counts at a threshold are sums over the higher bins (at most
     len(thresholds)+1 rows per group).  Rows are not repeated per threshold.
     """
-    grid = sorted(thresholds)
-    reached = sum(((c(proba) >= F.lit(t)).cast("int") for t in grid), F.lit(0))
+    return table_of_bins(threshold_bins(scored, by, thresholds, proba, y), by, thresholds)
+
+
+def threshold_bins(scored: DataFrame, by: Sequence[str], thresholds: Sequence[float], proba: str, y: str) -> DataFrame:
+    """pos and neg rows of each group by the number of thresholds that they reach."""
+    reached = sum(((c(proba) >= F.lit(t)).cast("int") for t in sorted(thresholds)), F.lit(0))
     rows = scored.filter(c(proba).isNotNull() & c(y).isNotNull())
-    bins = rows.groupBy(*by, reached.alias("bin")).agg(
+    return rows.groupBy(*by, reached.alias("bin")).agg(
         F.sum((c(y) == 1).cast("long")).alias("pos"), F.sum((c(y) == 0).cast("long")).alias("neg")
     )
+
+
+def table_of_bins(bins: DataFrame, by: Sequence[str], thresholds: Sequence[float]) -> DataFrame:
+    """tp, fp, tn, fn of every threshold per group, from threshold_bins."""
+    grid = sorted(thresholds)
     per_group = bins.groupBy(*by).agg(
         F.map_from_entries(F.collect_list(F.struct("bin", F.struct("pos", "neg")))).alias("bins"),
         F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"),
@@ -146,6 +159,36 @@ def threshold_table(
     )
 
 
+def tail_threshold_table(
+    numbered: DataFrame, plan: FoldPlan, ratio: float = 0.15, least: int = 50, by: Sequence[str] = ("symbol",),
+    thresholds: Sequence[float] = THRESHOLDS, proba: str = "proba", y: str = "y_true",
+) -> DataFrame:
+    """threshold_table of every fold's validation tail, for scores that do not depend on the fold; no row is copied.
+
+    A row lies in the tails of the folds from ``lo`` to ``hi`` - 1. Rows are counted once by (lo, hi, bin); a count enters at lo and leaves
+    at hi, and the running sum over the folds of a series is the count of each fold. Output grows with the folds alone.
+    Tails without a usable row are left out.
+    """
+    rows = numbered.withColumns(dict(zip(("__lo", "__hi"), tail_range(plan, ratio, least)))).filter(c("__lo") < c("__hi"))
+    counts = threshold_bins(rows, [*by, "__lo", "__hi"], thresholds, proba, y)
+    enters = F.struct(c("__lo").alias("fold_id"), c("pos"), c("neg"))
+    leaves = F.struct(c("__hi").alias("fold_id"), (-c("pos")).alias("pos"), (-c("neg")).alias("neg"))
+    changes = counts.select(*by, "bin", F.inline(F.array(enters, leaves)))
+    sizes = numbered.groupBy(*by).agg(F.max("n_rows").alias("n_rows"))
+    folds = walk_forward_folds(sizes, plan).select(*by, "fold_id")
+    every = counts.select(*by, "bin").distinct().join(folds, list(by))
+    zero = F.lit(0).cast("long")
+    keys = [*by, "bin", "fold_id"]
+    summed = changes.unionByName(every.select(*by, "bin", "fold_id", zero.alias("pos"), zero.alias("neg"))).groupBy(*keys).agg(
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
+    )
+    summed = materialize(summed)
+    before = prefix_scan(summed, [*by, "bin"], "fold_id", {"__pos": ("sum", c("pos")), "__neg": ("sum", c("neg"))})
+    upto = before.select(*keys, (c("pos") + F.coalesce("__pos", zero)).alias("pos"), (c("neg") + F.coalesce("__neg", zero)).alias("neg"))
+    held = upto.join(folds, [*by, "fold_id"]).filter(c("pos") + c("neg") > 0)
+    return table_of_bins(held, [*by, "fold_id"], thresholds)
+
+
 def threshold_score(metric: str) -> Column:
     """Score of one confusion row (tp, fp, tn, fn)."""
     tp, fp, tn, fn = c("tp"), c("fp"), c("tn"), c("fn")
