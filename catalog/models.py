@@ -13,7 +13,7 @@ from tidebar.operators.folds import FoldPlan
 from tidebar.operators.metrics import compute_metrics
 from tidebar.plans.signals import decide
 from tidebar.plans.walk_forward import (
-    Experiment, fold_bounds, latest_rows, prepare, run_ensemble, run_experiment, score_latest, select_features,
+    Experiment, fold_bounds, latest_rows, parameter_search, prepare, run_ensemble, run_experiment, score_latest, select_features,
 )
 from tidebar.session import materialize
 
@@ -98,6 +98,14 @@ def experiment_full(s, d):
     return run_experiment(order_bars(s, d), exp).fold_metrics()
 
 
+def search(s, d):
+    """Two horizons that leave folds and one that does not, with two thresholds each, on one feature table."""
+    exp = Experiment(["volume"], **{**BULL, "model_params": {**SMALL, "n_estimators": 3}})
+    found = parameter_search(order_bars(s, d), exp, [7, 14, 4000], [0.5, 0.8])
+    fine = c("accuracy").between(0, 1) & c("f1_macro").between(0, 1)
+    return found.select("T", "X", (c("status") == "ok").cast("int").alias("ran"), F.coalesce(fine, F.lit(False)).cast("int").alias("scored"))
+
+
 def ensemble(s, d):
     _, _, both = run_ensemble(order_bars(s, d), Experiment(["volume", "regime"], **BULL), Experiment(["volume"], **BEAR))
     return compute_metrics(both, ["symbol"])
@@ -176,6 +184,7 @@ QUERIES = {
     "feature_selection": selection,
     "walk_forward_experiment": experiment,
     "walk_forward_full": experiment_full,
+    "parameter_search": search,
     "walk_forward_ensemble": ensemble,
     "latest_signal": latest_signal,
     "latest_signal_keys": latest_signal_keys,

@@ -30,4 +30,7 @@ def sql() -> dict[str, str]:
     )
     q = Layers("cut", [BARS, NUMBERED, COMPLETE, folds, cut])
     out["walk_forward_no_future"] = q.out(["fold_id", "last_train_ts", "first_test_ts", "train_size", "test_size"], [])
+    fits = "CASE WHEN (SELECT count(DISTINCT ts) FROM bars) - T >= 1000 + 250 + 60 THEN 1 ELSE 0 END"
+    q = Layers("p", [BARS, ("p", f"SELECT T, X, {fits} AS ran, {fits} AS scored FROM (VALUES (7), (14), (4000)) AS t(T), (VALUES (0.5::DOUBLE), (0.8::DOUBLE)) AS x(X)")])
+    out["parameter_search"] = q.out(["T", "ran", "scored"], ["X"])
     return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 from functools import reduce
 from itertools import product
 from operator import and_
@@ -268,24 +268,57 @@ def fold_bounds(rows: DataFrame, plan: FoldPlan) -> DataFrame:
     return folds.select("fold_id", "last_train_ts", "first_test_ts", "train_size", (c("upto") - c("before")).alias("test_size"))
 
 
+def prepare_grid(
+    bars: DataFrame, exp: Experiment, pairs: Sequence[tuple[int, float]], sources: dict[str, DataFrame] | None = None, **layout
+) -> tuple[DataFrame, list[str]]:
+    """Complete feature rows, written once, with one label column for each (T, X); a label may be null."""
+    asked = [{**exp.label_params, "T": T, "X": X} for T, X in pairs]
+    f = build_frame(
+        bars, exp.sets, sources, lookahead=max(T for T, _ in pairs), extra_lookback=max(map(label_lookback, asked)), **layout
+    )
+    names = [x for x in f.columns if x not in ("symbol", "ts")]
+    columns = [f"label_{i}" for i in range(len(asked))]
+    strategy = get_label_strategy(exp.label)
+    for name, params in zip(columns, asked):
+        f = strategy(f, **params)
+        f = f.add({f"__{name}": map_values(LABEL, exp.label_map) if exp.label_map else c(LABEL)}).drop(LABEL)
+    f = apply_null_policy(f, exp.null_policy).add({name: c(f"__{name}") for name in columns})
+    complete = reduce(and_, [c(n).isNotNull() for n in names])
+    return materialize(f.finish().filter(complete)), columns
+
+
 def parameter_search(
     bars: DataFrame, exp: Experiment, Ts: Sequence[int], Xs: Sequence[float],
     sources: dict[str, DataFrame] | None = None, parallel: int = 4, **layout
 ) -> DataFrame:
     """One run per label horizon and threshold: (T, X, status, accuracy, f1_macro, cohen_kappa).
 
-    A failed run is recorded with its message and the search goes on.
+    Features are built once, and every pair is a label column of that table. Folds lie on the times that have the pair's label. A few
+    runs are submitted at a time. A failed run is recorded with its message and the search goes on.
     """
-    rows = []
-    for T, X in product(Ts, Xs):
-        one = replace(exp, label_params={**exp.label_params, "T": T, "X": X})
+    pairs = list(product(Ts, Xs))
+    if not pairs:
+        return bars.sparkSession.createDataFrame([], SEARCHED)
+    table, columns = prepare_grid(bars, exp, pairs, sources, **layout)
+    features = [x for x in feature_columns(table) if x not in columns]
+
+    def one(pair: tuple[int, float], name: str) -> tuple:
         try:
-            m = run_experiment(bars, one, sources, parallel, **layout).pooled_metrics().first().asDict()
-            rows.append((T, float(X), "ok", m.get("accuracy"), m.get("f1_macro"), m.get("cohen_kappa")))
+            rows = table.filter(c(name).isNotNull()).withColumn(LABEL, c(name)).drop(*columns)
+            rows = materialize(number_times(rows))
+            fold_ids(rows, exp.plan)
+            result = walk_forward(rows, select_features(rows, features, exp), exp, parallel)
+            m = result.pooled_metrics().first().asDict()
+            return pair[0], float(pair[1]), "ok", m.get("accuracy"), m.get("f1_macro"), m.get("cohen_kappa")
         except Exception as err:  # one failed run, of whatever kind, must not end the search
-            rows.append((T, float(X), str(err)[:500], None, None, None))
-    schema = "T int, X double, status string, accuracy double, f1_macro double, cohen_kappa double"
-    return bars.sparkSession.createDataFrame(rows, schema)
+            return pair[0], float(pair[1]), str(err)[:500], None, None, None
+
+    with ThreadPoolExecutor(max_workers=parallel) as pool:
+        found = list(pool.map(one, pairs, columns))
+    return bars.sparkSession.createDataFrame(found, SEARCHED)
+
+
+SEARCHED = "T int, X double, status string, accuracy double, f1_macro double, cohen_kappa double"
 
 
 def combine_by_regime(
