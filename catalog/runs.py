@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidebar.operators.metrics import importance_rank
+from tidebar.plans.run_store import RunStore
 from tidebar.plans.runs import (
     archive,
     best_per_metric,
@@ -24,6 +27,7 @@ from tidebar.plans.runs import (
     top_features,
     upsert,
 )
+from tidebar.session import ensure_checkpoint_dir
 from tidebar.sources.bars import read_table
 
 c = F.col
@@ -68,6 +72,16 @@ def updates(s, d):
     return again.unionByName(new)
 
 
+def store(s, d):
+    """The registry, its updates and deletions as batches on storage, merged and compacted."""
+    table = RunStore(s, f"{ensure_checkpoint_dir(s)}/store-{uuid.uuid4().hex}")
+    table.upsert(registry(s, d))
+    table.upsert(updates(s, d))
+    table.delete(registry(s, d).filter(c("created_at") < "1993-01-01"))
+    table.compact()
+    return flat(table.read())
+
+
 def fold_table(s, d):
     return read_table(s, d, "lineitem").select(
         c("l_orderkey").alias("run_id"), c("l_linenumber").alias("fold_id"),
@@ -155,4 +169,5 @@ QUERIES = {
     "importance_top_sets": top_set,
     "importance_overlap": overlap,
     "parameter_grid": grid,
+    "runs_store": store,
 }

@@ -50,6 +50,9 @@ def sql() -> dict[str, str]:
                  "UNION ALL SELECT * REPLACE (concat('new_', experiment_id) AS experiment_id) FROM reg WHERE created_at > '2001-06-01'")
     q = Layers("u", [REG, up, ("u", "SELECT * FROM reg WHERE experiment_id NOT IN (SELECT experiment_id FROM upd) UNION ALL SELECT * FROM upd")])
     out["runs_upsert"] = q.out(FLAT, D)
+    q = Layers("u", [REG, up, ("u", "SELECT * FROM (SELECT * FROM reg WHERE experiment_id NOT IN (SELECT experiment_id FROM upd) UNION ALL SELECT * FROM upd) "
+                                    "WHERE experiment_id NOT IN (SELECT experiment_id FROM reg WHERE created_at < '1993-01-01')")])
+    out["runs_store"] = q.out(FLAT, D)
     q = Layers("p", [REG, ("p", "SELECT min(experiment_id) AS experiment_id FROM reg WHERE contains(experiment_id, '00000042') HAVING count(*) = 1")])
     out["runs_resolve_partial_id"] = q.out(["experiment_id"], [])
     q = Layers("p", [REG, ("p", "SELECT concat('weekly_v', v) AS prefix, max(experiment_id) AS experiment_id FROM reg WHERE v IN (1, 3, 8) GROUP BY 1")])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,16 +28,19 @@ def write_json(df: DataFrame, path: str, mode: str = "error") -> None:
 
 def read_optional_series(spark: SparkSession, path: str, ts: str = "date") -> DataFrame | None:
     """Outside series as CSV; None when the path does not exist, so its features are skipped."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
+    try:
+        rows = read_csv(spark, path)
+    except AnalysisException as err:
+        if err.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    return read_csv(spark, path).withColumn("ts", F.col(ts).cast("timestamp")).drop(*([ts] if ts != "ts" else []))
+    return rows.withColumn("ts", F.col(ts).cast("timestamp")).drop(*([ts] if ts != "ts" else []))
 
 
-def write_predictions(preds: DataFrame, path: str, run_id: str, mode: str = "append") -> None:
-    """Predictions with symbol, time and fold, one directory per run."""
-    preds.withColumn("run_id", F.lit(run_id)).write.mode(mode).partitionBy("run_id").parquet(path)
+def write_predictions(preds: DataFrame, path: str, run_id: str) -> None:
+    """Predictions with symbol, time and fold, one directory per run; a run that is written again replaces its own."""
+    rows = preds.withColumn("run_id", F.lit(run_id)).write.option("partitionOverwriteMode", "dynamic")
+    rows.mode("overwrite").partitionBy("run_id").parquet(path)
 
 
 def write_run(root: str, run_id: str, metrics: DataFrame, folds: DataFrame, importance: DataFrame,
