@@ -189,3 +189,30 @@ def test_exponential_means_with_nulls(spark, layout):
     pdf["e30"] = groups["x"].transform(lambda s: s.ewm(span=30, adjust=False).mean())
     want = pdf.groupby("symbol")["e30"].transform(lambda s: s.ewm(span=9, adjust=False).mean())
     np.testing.assert_allclose(got["again"].astype(float), want.to_numpy(), rtol=1e-9)
+
+
+def test_asof_with_a_hot_time(spark):
+    """A third of all rows at one time: same values, and no task has twice the rows of the median one."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    times = pd.to_datetime("2024-01-01") + pd.to_timedelta(np.where(np.arange(6000) % 3 == 0, 500, rng.integers(0, 1000, 6000)), unit="m")
+    left = pd.DataFrame({"symbol": np.where(np.arange(6000) % 5 < 4, "A", "B"), "ts": times, "row": np.arange(6000)})
+    source = pd.DataFrame({"ts": pd.date_range("2024-01-01 00:07", periods=90, freq="11min"), "v": np.arange(90.0)})
+    sources = pd.concat([source.assign(symbol="A"), source.assign(symbol="B", v=source.v + 1000)])
+    df, right = spark.createDataFrame(left), spark.createDataFrame(sources)
+    whole = asof_join(df, [right])
+    kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        split = asof_join(df, [right], block_rows=64)
+        loads = sorted(r["count"] for r in split.groupBy(F.spark_partition_id().alias("p")).count().collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
+    pick = lambda x: sorted(map(tuple, x.select("symbol", "ts", "row", F.coalesce("v", F.lit(-1.0))).collect()))
+    assert pick(whole) == pick(split) and len(pick(split)) == 6000
+    assert len(loads) == 8 and loads[-1] <= 2 * loads[4]
+    merged = pd.merge_asof(left[left.symbol == "A"].sort_values("ts"), source, on="ts")
+    assert sorted(merged.v.fillna(-1.0)) == sorted(r[3] for r in pick(split) if r[0] == "A")
+    market = spark.createDataFrame(source)
+    assert pick(asof_join(df, [market], by=[], block_rows=64)) == pick(asof_join(df, [market], by=[]))

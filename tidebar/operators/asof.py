@@ -23,6 +23,7 @@ def asof_join(
     by: Sequence[str] = ("symbol",),
     ts: str = "ts",
     block_rows: int = BLOCK_ROWS,
+    distinct: bool = False,
 ) -> DataFrame:
     """Add the columns of each source's last row with time <= the row's time.
 
@@ -30,7 +31,10 @@ def asof_join(
     ``last`` per source.  The last source row decides even where its values
     are null.  ``(by, ts)`` is unique in every source.  With an empty ``by``
     the sources hold one series for all rows; they are aligned to the
-    distinct times of ``left`` and joined back on the time.
+    distinct times of ``left`` and joined back on the time.  So they are where
+    so many rows of a series have one time that no time bucket is small
+    enough; hot times are split in the join.  ``distinct`` says that ``left``
+    has each (by, ts) once.
     """
     by = list(by)
     values = [[c for c in s.columns if c not in (*by, ts)] for s in sources]
@@ -39,7 +43,7 @@ def asof_join(
         one = F.lit(0).alias("__all")
         times = left.select(ts).distinct().select(one, ts)
         aligned = asof_join(times, [s.select(one, "*") for s in sources], ["__all"], ts, block_rows)
-        return left.join(aligned.drop("__all"), ts, "left").select(*left.columns, *names)
+        return split_join(left, aligned.drop("__all"), [ts], block_rows).select(*left.columns, *names)
 
     rest = [c for c in left.columns if c not in (*by, ts)]
     slots = [f"__s{i}" for i in range(len(sources))]
@@ -57,6 +61,10 @@ def asof_join(
         )
     else:
         width = choose_bucket_width(both, by, ts, extent, block_rows)
+        if width == 1 and not distinct:
+            times = left.select(*by, ts).distinct()
+            aligned = asof_join(times, sources, by, ts, block_rows, distinct=True)
+            return split_join(left, aligned, [*by, ts], block_rows).select(*left.columns, *names)
         keyed = both.withColumn("__bkt", bucket_column(both, ts, extent.lo, width))
         latest = keyed.groupBy(*by, "__bkt").agg(
             *[F.max_by(s, F.when(F.col(s).isNotNull(), F.col(ts))).alias(f"{s}_end") for s in slots]
@@ -74,3 +82,19 @@ def asof_join(
     picked = {c: F.col(f"__l.{c}") for c in rest}
     picked |= {v: F.col(f"{s}.{v}") for s, group in zip(slots, values) for v in group}
     return out.select(*[picked[c].alias(c) if c in picked else F.col(c) for c in [*left.columns, *names]])
+
+
+def split_join(left: DataFrame, table: DataFrame, keys: Sequence[str], task_rows: int) -> DataFrame:
+    """left with the columns of table, which has one row a key.
+
+    Keys with more than ``task_rows`` rows, and a thousandth of all, are at most a thousand: their row of the table is repeated once for
+    each ``task_rows`` rows, and these are dealt to the copies, so no task gets all rows of a key.
+    """
+    keys = list(keys)
+    total = left.count()
+    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > max(task_rows, total // 1000))
+    hot = counts.select(*keys, F.ceil(F.col("__n") / F.lit(task_rows)).cast("int").alias("__parts"))
+    parts = F.coalesce("__parts", F.lit(1))
+    dealt = left.join(F.broadcast(hot), keys, "left").withColumn("__part", F.pmod(F.monotonically_increasing_id(), parts).cast("int"))
+    copies = table.join(F.broadcast(hot), keys, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return dealt.drop("__parts").join(copies.drop("__parts"), [*keys, "__part"], "left").drop("__part")
