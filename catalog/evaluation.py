@@ -186,6 +186,8 @@ QUERIES = {
     "label_return_sign": label_query("return_sign", T=7),
     "label_return_rate": label_query("return_rate", T=14),
     "label_triple_barrier": label_query("triple_barrier", T=14, X=0.7),
+    "label_triple_barrier_far": label_query("triple_barrier", T=300, X=3.0, sl_ratio=0.3),
+    "label_triple_barrier_far_blocked": label_query("triple_barrier", T=300, X=3.0, sl_ratio=0.3, block_rows=512, cell_rows=64),
     "label_triple_barrier_dynamic": label_query("triple_barrier", T=14, dynamic_threshold=True, sl_ratio=0.5, atr_multiplier=0.8),
     "label_balance_grid": grid,
     "walk_forward_folds": folds,

@@ -136,6 +136,8 @@ def sql() -> dict[str, str]:
         "label_return_rate": new().add({"label": f"({lead('close', 14)} / nullif(close, 0) - 1) * 100"}).out(KEYS, ["label"]),
         "label_triple_barrier": lab(triple(14, "0.7::DOUBLE", "1.0", new())),
     }
+    out["label_triple_barrier_far"] = lab(triple(300, "3.0::DOUBLE", "0.3", new()))
+    out["label_triple_barrier_far_blocked"] = out["label_triple_barrier_far"]
     q = new().add({"tr": TR}).add({"atr": mean("tr", 14)})
     out["label_triple_barrier_dynamic"] = lab(triple(14, "0.8::DOUBLE * atr / nullif(close, 0)", "0.5", q))
 

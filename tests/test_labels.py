@@ -76,3 +76,23 @@ def test_triple_barrier_loop(bars):
 def test_distribution_sums_to_100(bars):
     dist = class_distribution(add_labels(bars, "reversal", T=14, X=0.02), ["symbol"]).toPandas()
     assert dist["n"].sum() == 286 and abs(dist["pct"].sum() - 100) < 1e-9
+
+
+@pytest.mark.parametrize("layout", [{}, {"block_rows": 128, "cell_rows": 32}])
+def test_far_barriers_by_extremes(spark, monkeypatch, layout):
+    """The search by extremes against one look-ahead per row, missing prices and flat stretches among them."""
+    from tidebar.operators import labels
+
+    pdf = walk_bars(700, 4, "A")
+    pdf.loc[100:130, ["open", "high", "low", "close"]] = pdf.loc[100, ["open", "high", "low", "close"]].tolist()
+    pdf.loc[::17, "low"] = np.nan
+    pdf.loc[::23, "high"] = np.nan
+    df = spark.createDataFrame(pd.concat([pdf, walk_bars(90, 5, "B"), walk_bars(20, 6, "C")]))
+    df = df.withColumns({x: F.when(~F.isnan(x), F.col(x)) for x in ("low", "high")})
+    for T, X, more in ((3, 0.01, {}), (37, 0.04, {"sl_ratio": 0.5}), (64, 0.06, {}), (37, 0.0, {"dynamic_threshold": True, "atr_multiplier": 3.0})):
+        found = []
+        for near in (0, 1000):
+            monkeypatch.setattr(labels, "NEAR", near)
+            out = add_labels(df, "triple_barrier", T=T, X=X, **more, **layout).select("symbol", "ts", "label")
+            found.append(sorted((r.symbol, r.ts, -1 if r.label is None else r.label) for r in out.collect()))
+        assert found[0] == found[1] and len({x[2] for x in found[0]}) >= 3
