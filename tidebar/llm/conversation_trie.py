@@ -341,8 +341,9 @@ def conversation_trie(conversations: DataFrame, capacity: int = CAPACITY, block_
     for level in range(deepest, -1, -1):
         rows = blocks.where(F.col("block") == level)
         if level:
-            over = blocks.where(F.col("block") == level - 1).groupBy("all_one", "all_two").agg(F.min("conv").alias("head"))
-            rows = rows.join(over, (rows["from_one"] == over["all_one"]) & (rows["from_two"] == over["all_two"])).drop(over["all_one"], over["all_two"])
+            over = blocks.where(F.col("block") == level - 1).select("conv", F.col("all_one").alias("from_one"), F.col("all_two").alias("from_two"))
+            over = over.groupBy("from_one", "from_two").agg(F.min("conv").alias("head"))
+            rows = rows.join(over, ["from_one", "from_two"])
         else:
             rows = rows.join(F.broadcast(blocks.agg(F.min("conv").alias("head"))), F.lit(True))
         entries = rows.groupBy("head", "one", "two").agg(

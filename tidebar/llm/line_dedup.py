@@ -36,12 +36,11 @@ def repeated(rows: DataFrame, key: list[str]) -> DataFrame:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """The lines of every document by number, as two hashes and a count of words (parts between spaces)."""
+    """The lines of every document by number, as two hashes and a count of words (runs without white space)."""
     lines = keyed(docs).select(*DOC, F.posexplode(F.split(whole_text(), "\n")).alias("pos", "line"))
-    blanks = F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(" "), F.lit("")))
     return lines.select(
         *DOC, "pos", F.xxhash64("line").alias("line1"), F.xxhash64(F.lit("line"), F.col("line")).alias("line2"),
-        F.when(F.col("line") == "", 0).otherwise(blanks + 1).cast("long").alias("words"),
+        F.regexp_count("line", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("words"),
     )
 
 
