@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import re
 
 import xxhash
 
@@ -132,7 +133,7 @@ def test_near_duplicates(spark):
 
 
 def counted(line):
-    return line.count(" ") + 1 if line else 0
+    return len(re.findall(r"[^\x20\x09-\x0D]+", line))
 
 
 def plain_lines(docs, least):
@@ -176,6 +177,14 @@ def test_repeated_lines(spark):
     assert checked > 20
 
 
+def test_words_are_runs_without_white_space(spark):
+    """Words parted by tabs count, indentation does not."""
+    tabs, code = "\t".join(f"t{i}" for i in range(80)), " " * 60 + "x"
+    df = spark.createDataFrame([(1, tabs), (2, tabs + "\nend"), (3, f"{code}\n{code}\nq"), (4, f"{code}\n{code}\nr")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in drop_repeated_lines(df, 50).collect()}
+    assert got == {1: tabs, 2: "end", 3: f"{code}\n{code}\nq", 4: f"{code}\n{code}\nr"}
+
+
 def test_lines_that_repeat_within_a_text(spark):
     line = " ".join(f"k{i}" for i in range(30))
     df = spark.createDataFrame([(1, "\n".join([line] * 5 + ["end"])), (2, "short\n" + line), (3, "\n".join([line, line, "short"]))], "doc_id long, text string")
@@ -255,3 +264,37 @@ def test_near_duplicates_count_a_repeated_passage_once(spark):
     texts = {1: " ".join(text), 2: " ".join(text[:50] + text[40:50] * 50 + text[50:]), 3: " ".join(short), 4: " ".join(short + short[-6:] * 50)}
     expected, _ = assert_groups(spark, texts)
     assert expected == {1: 1, 2: 1, 3: 3, 4: 3}
+
+
+def test_near_duplicates_whose_numbers_clash(spark):
+    """Two digits of the digest number 300 texts, so most share theirs with another text."""
+    import random
+
+    rng, texts = random.Random(12), {}
+    for _ in range(150):
+        base = [f"w{rng.getrandbits(30)}" for _ in range(rng.choice([20, 90]))]
+        texts[len(texts)] = " ".join(base)
+        texts[len(texts)] = " ".join(edited(rng, base, rng.choice([0.01, 0.03, 0.3])))
+    expected, _ = assert_groups(spark, texts, digits=2)
+    assert 150 < len(set(expected.values())) < 300
+
+
+def test_wide_sketches_never_rule_out_similar_sets(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tidebar.llm.simhash import likely_by_wide, parity
+
+    rng, rows_, want = np.random.default_rng(3), [], set()
+    for k in range(120):
+        size, other = int(rng.integers(20, 3000)), float(rng.choice([0.0, 0.05, 0.1, 0.12, 0.3]))
+        a = rng.integers(0, 1 << 63, size).astype(np.uint64)
+        b = np.concatenate((a[: int(size * (1 - other))], rng.integers(0, 1 << 63, int(size * other)).astype(np.uint64)))
+        longs = lambda x: max(8, 1 << (len(x) // 32).bit_length())
+        rows_.append((k, len(a), len(b), parity(a, longs(a)).tolist(), parity(b, longs(b) * (2 if k % 3 == 0 else 1)).tolist()))
+        common = len(set(a.tolist()) & set(b.tolist()))
+        if common / (len(a) + len(b) - common) >= 0.8:
+            want.add(k)
+    df = spark.createDataFrame(rows_, "k int, size_a int, size_b int, wide_a array<long>, wide_b array<long>")
+    got = {r.k for r in likely_by_wide(df, 0.8).collect()}
+    assert want <= got and len(got) < 110

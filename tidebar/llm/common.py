@@ -49,16 +49,27 @@ def shuffle_partitions(df: DataFrame) -> int:
 
 
 def worker_cache(key, make):
-    """make()'s value, kept for later tasks in the same Python worker."""
+    """make()'s value, kept for later tasks in the same Python worker until another key is asked for."""
     import sys
     import types
 
-    held = sys.modules.setdefault("llm_worker_cache", types.ModuleType("llm_worker_cache")).__dict__
+    held = sys.modules.setdefault("llm_worker_cache", types.ModuleType("llm_worker_cache")).__dict__.setdefault("slot", {})
     if key not in held:
+        held.clear()
         held[key] = make()
     return held[key]
 
 
+def give_back() -> None:
+    """Hand memory that a batch no longer needs back to the system; workers live on from stage to stage."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def text_blocks(texts: pa.Array, block_bytes: int = BLOCK_BYTES):
     """(first row, slice) pairs that cover texts, each of about block_bytes, one row at least."""
     sizes = np.asarray(pc.binary_length(texts).fill_null(0), dtype=np.int64)

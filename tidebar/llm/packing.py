@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebar.llm.common import distinct_words, joined_bytes, lower_ascii, split_words, text_blocks, whole_text, worker_cache
+from tidebar.llm.common import distinct_words, give_back, joined_bytes, lower_ascii, split_words, text_blocks, whole_text, worker_cache
 
 #: Longest sequence, the id after each document, and words that a worker keeps encoded.
 LONGEST, END, KEPT_WORDS = 4096, 2, 300_000
@@ -159,6 +159,8 @@ def pack(docs: DataFrame, vocabulary: str, longest: int = LONGEST, end: int = EN
                     columns.append(pa.ListArray.from_arrays(pa.array(np.append(at // 4, len(ids)).astype(np.int32)), pa.array(ids.astype(np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+                del ids, raw, columns
+            give_back()
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
     pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(cut, schema)

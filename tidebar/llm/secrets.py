@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebar.llm.common import joined_bytes, lower_ascii, text_blocks, whole_text
+from tidebar.llm.common import give_back, joined_bytes, lower_ascii, text_blocks, whole_text
 
 
 @dataclass(frozen=True)
@@ -249,6 +249,7 @@ def redacted(rules: tuple[Rule, ...] = RULES, mark: str = "[secret]") -> Column:
                     parts += [text[done:s], mark]
                     done = e
                 out[first + row] = "".join(parts) + text[done:]
+        give_back()
         return pa.array(out, pa.string())
 
     return replace(F.col("text").cast("string"))

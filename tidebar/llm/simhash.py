@@ -8,10 +8,10 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebar.llm.common import checkpointed, whole_text
+from tidebar.llm.common import checkpointed, give_back, whole_text
 from tidebar.llm.components import components
 
 #: Seed of the shingle hash and shingles hashed at a time, so one very long text needs bounded memory.
@@ -144,6 +144,10 @@ def simhash_groups(docs: DataFrame, width: int = 3, pairwise: int = PAIRWISE) ->
 #: Longs of the sketch of a shingle set; the share (one in so many) of texts whose shingles are counted, and the count
 #: there from which a shingle is common; bits of a shingle's hash that name its place among the common ones.
 SKETCH, SAMPLED, COMMON, PLACES = 8, 16, 3, 22
+#: Longs of a wide sketch at most; one long for 32 members, a power of two.
+WIDEST = 1 << 12
+#: Hexadecimal digits of a text's digest that number its node, and texts whose number is taken, at most.
+DIGITS, CLASHES = 15, 10_000
 #: Bits of a node's number that name its place among the nodes whose sets are wanted.
 WANTED = 24
 #: Rounds of stars at most, and comparisons for each row of the index that end them.
@@ -184,36 +188,64 @@ def common_levels(docs: DataFrame, width: int) -> np.ndarray:
 
 def sketches(docs: DataFrame, width: int, similarity: float) -> Column:
     """Column of structs: size of the shingle set; sketch, the parity of its members at each of 64 * SKETCH places, which
-    differs for two sets at no more places than they have members that only one of them holds; prefix, its
+    differs for two sets at no more places than they have members that only one of them holds; wide, the same with
+    two places or more for each member; prefix, its
     first members in one order for all texts, so many that two sets of the similarity share one at least."""
     shared = docs.sparkSession.sparkContext.broadcast(common_levels(docs, width).tobytes())
 
-    @F.arrow_udf("struct<size:int,sketch:array<long>,prefix:array<long>>")
+    @F.arrow_udf("struct<size:int,sketch:array<long>,wide:array<long>,prefix:array<long>>")
     def of(texts: pa.Array) -> pa.Array:
         levels = np.frombuffer(shared.value, np.uint8)
-        sizes, sketch, prefix = [], [], []
+        sizes, sketch, wide, prefix = [], [], [], []
         for x in texts:
             found = distinct_shingles(x.as_py().encode(), width)
             sizes.append(len(found))
-            odd = np.bincount((found & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
-            sketch.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            sketch.append(parity(found, SKETCH))
+            wide.append(parity(found, min(WIDEST, max(SKETCH, 1 << (len(found) // 32).bit_length()))))
             # similar sets share similarity * size members; the texts without words share 0
             first = len(found) - int(np.ceil(similarity * len(found) - 1e-9)) + 1
             order = np.lexsort((found, levels[found >> np.uint64(64 - PLACES)]))[:first]
             prefix.append(found[order].view(np.int64) if len(found) else np.zeros(1, np.int64))
-        return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), listed(sketch), listed(prefix)], names=["size", "sketch", "prefix"])
+        out = pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), listed(sketch), listed(wide), listed(prefix)], names=["size", "sketch", "wide", "prefix"])
+        del sketch, wide, prefix
+        give_back()
+        return out
 
     return of(whole_text())
 
 
+def parity(members: np.ndarray, longs: int) -> np.ndarray:
+    """For each of 64 * longs places (a power of two) whether an odd number of members lie there."""
+    odd = np.bincount((members & np.uint64(64 * longs - 1)).astype(np.int64), minlength=64 * longs) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def may_be_similar(similarity: float) -> Column:
     """False only for pairs (size_a, sketch_a, size_b, sketch_b) whose sets surely lack the similarity."""
     bits = sum(F.bit_count(F.col("sketch_a")[k].bitwiseXOR(F.col("sketch_b")[k])) for k in range(SKETCH))
     sizes = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * similarity - 1e-9
-    return sizes & (bits <= (F.col("size_a") + F.col("size_b")) * ((1 - similarity) / (1 + similarity)) + 1e-9)
+    return sizes & (bits <= most_apart(similarity))
+
 
+def most_apart(similarity: float) -> Column:
+    """Members that only one of two sets of the similarity holds, at most."""
+    return (F.col("size_a") + F.col("size_b")) * ((1 - similarity) / (1 + similarity)) + 1e-9
+
+
+def likely_by_wide(pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs that the wide sketches do not rule out, the longer one folded to the length of the other."""
+    first = F.size("wide_a") <= F.size("wide_b")
+    short, long = F.when(first, F.col("wide_a")).otherwise(F.col("wide_b")), F.when(first, F.col("wide_b")).otherwise(F.col("wide_a"))
+    steps = F.least(F.size("wide_a"), F.size("wide_b"))
+    nothing = F.lit(0).cast("long")
+    folded = lambda i: F.aggregate(
+        F.sequence(i, F.greatest(F.size("wide_a"), F.size("wide_b")) - 1, F.col("steps")), nothing, lambda x, j: x.bitwiseXOR(F.get("long", j))
+    )
+    bits = F.aggregate(F.sequence(F.lit(0), F.col("steps") - 1), F.lit(0), lambda n, i: n + F.bit_count(F.get("short", i).bitwiseXOR(folded(i))))
+    return pairs.withColumns({"short": short, "long": long, "steps": steps}).where(bits <= most_apart(similarity))
 
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, rounds: int = ROUNDS) -> DataFrame:
+
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, rounds: int = ROUNDS, digits: int = DIGITS) -> DataFrame:
     """One row per document: doc_id, text_sha256, group_doc, group_sha256, kept; groups of texts that links of `width`-word
     shingle sets of Jaccard similarity `similarity` or more reach.
 
@@ -224,20 +256,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, ro
     group stays. Texts without words form one group.
     """
     # texts of one digest are one node; its number follows from the digest
-    node = F.conv(F.substring("text_sha256", 1, 15), 16, 10).cast("long")
-    rows = checkpointed(docs.select(
+    written = checkpointed(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.sha2(whole_text().cast("binary"), 256).alias("text_sha256"),
         sketches(docs, width, similarity).alias("set"),
-    ).withColumn("node", node))
+    ))
+    node = node_number(written, digits)
+    rows = written.withColumn("node", node)
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_sha256")
-    sets = checkpointed(rows.groupBy("node").agg(F.first("set.size").alias("size"), F.first("set.sketch").alias("sketch")))
-    # a text has many entries, so the longest of them is a small part of the index
-    entry = Window.partitionBy("entry")
-    index = rows.select("node", F.explode("set.prefix").alias("entry")).withColumns({
-        "low": F.min("node").over(entry), "high": F.max("node").over(entry),
-    })
-    met = checkpointed(index.where("low < high").select("node", "entry").distinct())
+    sets = checkpointed(rows.groupBy("node").agg(F.first("set.size").alias("size"), F.first("set.sketch").alias("sketch"), F.first("set.wide").alias("wide")))
+    # entries of one text alone go: bounds of an entry are a partial row a task, and the join back splits long entries
+    index = rows.select("node", F.explode("set.prefix").alias("entry"))
+    bounds = index.groupBy("entry").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    met = checkpointed(index.join(bounds.select("entry"), "entry").distinct())
     total = met.count()
     edges, groups, waiting = None, None, met.withColumn("root", F.col("node"))
     for number in range(rounds):
@@ -254,7 +285,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, ro
         if none or (waiting.where("root <> most").agg(F.sum("n")).first()[0] or 0) <= WORK * total:
             break
     # in each entry, the texts outside its largest group with all of other groups
-    both = waiting.join(sets, "node")
+    both = waiting.join(sets.drop("wide"), "node")
     name = lambda df, x: df.select("entry", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "most", "size", "sketch")])
     left, right = name(both.where("root <> most"), "a"), name(both, "b")
     pairs = left.join(right, "entry").where("root_a <> root_b and (root_b = most_b or node_a < node_b)").where(may_be_similar(similarity))
@@ -270,6 +301,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, ro
     )
 
 
+def node_number(rows: DataFrame, digits: int) -> Column:
+    """The number of a row's text_sha256: its first digits. Of several digests that begin alike, the smallest has
+    that number and the others get negative ones, which travel as a list; beyond CLASHES of them it is an error."""
+    base = F.conv(F.substring("text_sha256", 1, digits), 16, 10).cast("long")
+    taken = rows.groupBy(base.alias("number")).agg(F.min("text_sha256").alias("first"), F.max("text_sha256").alias("last")).where("first <> last")
+    clashing = rows.select("text_sha256", base.alias("number")).join(taken, "number").where("text_sha256 <> first")
+    found = [r[0] for r in clashing.select("text_sha256").distinct().orderBy("text_sha256").limit(CLASHES + 1).collect()]
+    if len(found) > CLASHES:
+        raise ValueError("too many digests begin alike")
+    if not found:
+        return base
+    pairs = [F.lit(x) for k, sha in enumerate(found) for x in (sha, -1 - k)]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("text_sha256")), base).cast("long")
+
+
 def unsettled(met: DataFrame, groups: DataFrame) -> DataFrame:
     """node, entry, root, most, n: the entries that hold texts of several groups, with the root of the largest of these and the
     number of texts."""
@@ -283,7 +329,9 @@ def unsettled(met: DataFrame, groups: DataFrame) -> DataFrame:
 def similar(docs: DataFrame, node: Column, sets: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes whose shingle sets have the similarity: by size and sketch first, then exactly."""
     of = lambda x: sets.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    likely = checkpointed(pairs.join(of("a"), "a").join(of("b"), "b").where(may_be_similar(similarity)).select("a", "b"))
+    likely = pairs.join(of("a"), "a").join(of("b"), "b").where(may_be_similar(similarity)).select("a", "b", "size_a", "size_b")
+    wide = lambda x: sets.select(F.col("node").alias(x), F.col("wide").alias(f"wide_{x}"))
+    likely = checkpointed(likely_by_wide(likely.join(wide("a"), "a").join(wide("b"), "b"), similarity).select("a", "b"))
     # exact check: the whole sets of the texts that a likely pair names; only these (and a few by chance) are shuffled
     wanted = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets_of = checkpointed(
@@ -303,7 +351,7 @@ def similar(docs: DataFrame, node: Column, sets: DataFrame, pairs: DataFrame, wi
 
 def wanted_sets(wanted: DataFrame, width: int):
     """Shingle sets of texts by node, null where no wanted node has the place; places are a table of fixed size."""
-    places = wanted.select((F.col("node") % (1 << WANTED)).cast("int").alias("place")).distinct().toArrow()
+    places = wanted.select(F.pmod("node", F.lit(1 << WANTED)).cast("int").alias("place")).distinct().toArrow()
     table = np.zeros(1 << WANTED, bool)
     table[np.asarray(places["place"])] = True
     shared = wanted.sparkSession.sparkContext.broadcast(np.packbits(table).tobytes())
@@ -314,6 +362,8 @@ def wanted_sets(wanted: DataFrame, width: int):
         held = np.frombuffer(shared.value, np.uint8)[place >> 3] >> (7 - (place & 7)) & 1
         out = [distinct_shingles(x.as_py().encode(), width).view(np.int64) if h else np.zeros(0, np.int64) for x, h in zip(texts, held)]
         found = listed(out)
+        del out
+        give_back()
         return pa.ListArray.from_arrays(found.offsets, found.values, mask=pa.array(held == 0))
 
     return of

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebar.llm.common import fold_of, joined_bytes, lower_ascii, text_blocks, whole_text, worker_cache
+from tidebar.llm.common import fold_of, give_back, joined_bytes, lower_ascii, text_blocks, whole_text, worker_cache
 
 BASE, MASK = 0x100000001B3, (1 << 64) - 1
 #: Bytes of text whose features are made at once; a task needs some 60 bytes of memory for each.
@@ -189,6 +189,8 @@ def toxicity(model, plan: FtrlPlan = FtrlPlan(), spark=None) -> Column:
         for first, block in text_blocks(texts, BLOCK_BYTES):
             at, which = features(block, plan, wanted)
             out[first : first + len(block)] += np.bincount(at, weights=dense[which].astype(float), minlength=len(block))
+            del at, which
+        give_back()
         return pa.array(1 / (1 + np.exp(-np.clip(out, -35, 35))))
 
     return score(whole_text())
