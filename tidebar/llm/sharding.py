@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,8 +42,9 @@ def balanced_shards(docs: DataFrame, shards: int = 8, rounds: int = ROUNDS, slac
     begun, linked = shard_sums(rows.select(F.array(*[(F.col("begun") == s).cast("long") for s in range(shards)]).alias("counts")), shards), shard_sums(state, shards)
     alone = [a - b for a, b in zip(begun, linked)]
     room = int(sum(begun) / shards * (1 + slack)) + 1
+    full: list[int] = []
     for turn in range(rounds):
-        wishes = wish(state, turn)
+        wishes = wish(state, turn, full)
         asked = [[[0] * STEPS for _ in range(shards)] for _ in range(shards)]
         asks = wishes.select(F.posexplode("counts").alias("shard", "n"), "wished", F.col("steps"))
         asks = asks.where("n > 0 and shard <> wished").withColumn("step", F.get("steps", F.col("shard")))
@@ -52,8 +55,13 @@ def balanced_shards(docs: DataFrame, shards: int = 8, rounds: int = ROUNDS, slac
             asked[r["shard"]][r["wished"]][r["step"]] = r["n"]
         sizes = [a + b for a, b in zip(alone, shard_sums(state, shards))]
         limits = admitted(asked, sizes, room)
-        if not any(n for row in limits for _, n, _ in row):
-            break
+        if not any(step or n for row in limits for step, n, _ in row):
+            # nothing may move: once more, with the groups that are apart leaving the shards without room
+            if full or not any(n >= room for n in sizes):
+                break
+            full = [s for s, n in enumerate(sizes) if n >= room]
+            continue
+        full = []
         state = checkpointed(moved(wishes, limits, shards))
     return levelled(dealt(rows, state), shards)
 
@@ -63,12 +71,14 @@ def shard_sums(rows: DataFrame, shards: int) -> list[int]:
     return [int(n) for n in found]
 
 
-def wish(state: DataFrame, turn: int) -> DataFrame:
+def wish(state: DataFrame, turn: int, full: Sequence[int] = ()) -> DataFrame:
     """Groups with the shard where most of theirs are, and for each shard the step at which those there ask to move: small
-    steps go first, those of larger gain ahead of the others."""
-    ranked = F.transform("counts", lambda n, s: F.struct(n.alias("n"), F.xxhash64(*GROUP, s).alias("tie"), s.alias("shard")))
+    steps go first, those of larger gain ahead of the others. A group that is apart does not ask for a full shard."""
+    apart = F.array_max("counts") < F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n)
+    known = lambda n, s: F.when(apart & s.isin(*full), F.lit(-1).cast("long")).otherwise(n) if full else n
+    ranked = F.transform("counts", lambda n, s: F.struct(known(n, s).alias("n"), F.xxhash64(*GROUP, s).alias("tie"), s.alias("shard")))
     best = F.array_max(ranked)
-    gain = F.least(F.floor(F.log2(F.col("best.n") + 0.5)), F.lit(7)).cast("int")
+    gain = F.least(F.floor(F.log2(F.greatest(F.col("best.n"), F.lit(1)) + 0.5)), F.lit(7)).cast("int")
     part = lambda s: F.pmod(F.xxhash64(*GROUP, s, F.lit(turn)), F.lit(STEPS // 8)).cast("int")
     steps = F.transform("counts", lambda n, s: (7 - gain) * (STEPS // 8) + part(s))
     return state.withColumn("best", best).select(*GROUP, "counts", F.col("best.shard").alias("wished"), steps.alias("steps"))
@@ -92,7 +102,8 @@ def admitted(asked, sizes: list[int], room: int) -> list[list[tuple[int, int, in
             done = 0
             for step, n in enumerate(asked[i][j]):
                 if done + n > quota[i][j]:
-                    limits[i][j] = (step, quota[i][j] - done, n)
+                    if quota[i][j]:
+                        limits[i][j] = (step, quota[i][j] - done, n)
                     break
                 done += n
             else:
