@@ -23,7 +23,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near copies, five-word shingles of similarity 0.8 or more: found by their SimHashes,
+    and by shared rare shingles where these lie too far apart."""
     return drop_near_duplicates(docs)
 
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 
 import xxhash
@@ -132,6 +133,54 @@ def test_near_duplicates(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 5]
 
 
+def test_near_duplicates_go_by_fingerprints(spark, monkeypatch):
+    """The SimHashes of all texts pass the index over byte positions; what it links is joined, if alike enough."""
+    from tidebar.llm import simhash as module
+
+    rng, seen = random.Random(8), []
+
+    def recorded(prints, *more):
+        found = links(prints, *more)
+        seen.append(({r.fp for r in prints.collect()}, found.count()))
+        return found
+
+    monkeypatch.setattr(module, "links", recorded)
+    texts = []
+    for k in range(4):
+        base = [f"t{rng.getrandbits(40)}" for _ in range(1500)]
+        texts += [" ".join(base), " ".join(base + ["more"]), " ".join(base[:400])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.doc_id for r in drop_near_duplicates(df).orderBy("doc_id").collect()] == [i for i in range(12) if i % 3 != 1]
+    prints = [module.print_of([module.distinct_shingles(t.encode(), 5)]) for t in texts]
+    close = {(a, b) for b in prints for a in prints if a < b and (int.from_bytes(a) ^ int.from_bytes(b)).bit_count() <= 2}
+    assert close
+    assert seen == [({int.from_bytes(x, signed=True) for x in prints}, len(close))]
+
+
+def test_near_duplicates_are_those_of_all_pairs(spark):
+    from tidebar.llm.simhash import distinct_shingles
+
+    rng = random.Random(9)
+    texts = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(30)}" for _ in range(rng.choice([6, 9, 40, 150]))]
+        for _ in range(rng.randint(1, 5)):
+            words = list(base)
+            for _ in range(rng.randint(0, 1 + len(base) // 50)):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(30)}"
+            texts.append(" ".join(words[: len(words) - rng.randint(0, len(words) // 5)]))
+    texts = sorted(set(texts)) + ["", " "]
+    sets = [set(distinct_shingles(t.encode(), 5).tolist()) for t in texts]
+
+    def alike(a, b):
+        x, y = sets[a], sets[b]
+        return len(x & y) >= 0.8 * len(x | y)
+
+    expected = roots(set(range(len(texts))), alike)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.group_doc for r in near_duplicates(df).collect()} == expected
+
+
 def counted(line):
     return len(re.findall(r"[^\x20\x09-\x0D]+", line))
 

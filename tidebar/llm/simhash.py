@@ -47,9 +47,14 @@ def lanes_of(hashes: np.ndarray, lanes: int) -> np.ndarray:
 
 
 def simhash(text: bytes, width: int, lanes: int = 1) -> bytes:
-    """8 bytes a lane, highest first; a bit is 1 if over half of the hashes have it. No words: zeros."""
+    """The fingerprint of all shingles, repeats included."""
+    return print_of(shingle_hashes(text, width), lanes)
+
+
+def print_of(parts, lanes: int = 1) -> bytes:
+    """8 bytes a lane, highest first; a bit is 1 if over half of the hashes have it. No hashes: zeros."""
     ones, total = np.zeros(64 * lanes, dtype=np.int64), 0
-    for hashes in shingle_hashes(text, width):
+    for hashes in parts:
         bits = np.unpackbits(lanes_of(hashes, lanes).astype(">u8").view(np.uint8)).reshape(-1, 64 * lanes)
         ones += bits.sum(axis=0, dtype=np.int32)
         total += len(hashes)
@@ -187,27 +192,29 @@ def common_levels(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, width: int, similarity: float) -> Column:
-    """Column of structs: size of the shingle set; sketch, the parity of its members at each of 64 * SKETCH places, which
+    """Column of structs: size of the shingle set; fp, its SimHash; sketch, the parity of its members at each of 64 * SKETCH places, which
     differs for two sets at no more places than they have members that only one of them holds; wide, the same with
     two places or more for each member; prefix, its
     first members in one order for all texts, so many that two sets of the similarity share one at least."""
     shared = docs.sparkSession.sparkContext.broadcast(common_levels(docs, width).tobytes())
 
-    @F.arrow_udf("struct<size:int,sketch:array<long>,wide:array<long>,prefix:array<long>>")
+    @F.arrow_udf("struct<size:int,fp:long,sketch:array<long>,wide:array<long>,prefix:array<long>>")
     def of(texts: pa.Array) -> pa.Array:
         levels = np.frombuffer(shared.value, np.uint8)
-        sizes, sketch, wide, prefix = [], [], [], []
+        sizes, fp, sketch, wide, prefix = [], [], [], [], []
         for x in texts:
             found = distinct_shingles(x.as_py().encode(), width)
             sizes.append(len(found))
+            fp.append(int.from_bytes(print_of(found[k : k + STEP] for k in range(0, len(found), STEP)), "big", signed=True))
             sketch.append(parity(found, SKETCH))
             wide.append(parity(found, min(WIDEST, max(SKETCH, 1 << (len(found) // 32).bit_length()))))
             # similar sets share similarity * size members; the texts without words share 0
             first = len(found) - int(np.ceil(similarity * len(found) - 1e-9)) + 1
             order = np.lexsort((found, levels[found >> np.uint64(64 - PLACES)]))[:first]
             prefix.append(found[order].view(np.int64) if len(found) else np.zeros(1, np.int64))
-        out = pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), listed(sketch), listed(wide), listed(prefix)], names=["size", "sketch", "wide", "prefix"])
-        del sketch, wide, prefix
+        columns = [pa.array(sizes, pa.int32()), pa.array(fp, pa.int64()), listed(sketch), listed(wide), listed(prefix)]
+        out = pa.StructArray.from_arrays(columns, names=["size", "fp", "sketch", "wide", "prefix"])
+        del columns, sketch, wide, prefix
         give_back()
         return out
 
@@ -249,8 +256,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, ro
     """One row per document: doc_id, text_sha256, group_doc, group_sha256, kept; groups of texts that links of `width`-word
     shingle sets of Jaccard similarity `similarity` or more reach.
 
-    The groups are those of all pairs. Texts meet in an index over the prefixes of their shingle sets, rare shingles
-    first; two of the similarity share a shingle there. Each text is compared with a centre of each of its entries, in
+    The groups are those of all pairs. First, texts whose sets have SimHashes at 2 or fewer differing bits, found by the index over
+    byte positions and its count filter (`links`), are checked exactly. For pairs that lie further apart, texts of different
+    groups meet in an index over the prefixes of their shingle sets, rare shingles first; two of the similarity share a
+    shingle there. Where that is much to compare, each text is first compared with a centre of each of its entries, in
     rounds; then all pairs of an entry that are not yet in one group are compared, whatever its size. Sizes and
     sketches rule out pairs that cannot be similar; the sets decide the rest. The first document (smallest doc_id, then digest) of a
     group stays. Texts without words form one group.
@@ -264,28 +273,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, ro
     node = node_number(written, digits)
     rows = written.withColumn("node", node)
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_sha256")
-    sets = checkpointed(rows.groupBy("node").agg(F.first("set.size").alias("size"), F.first("set.sketch").alias("sketch"), F.first("set.wide").alias("wide")))
-    # entries of one text alone go: bounds of an entry are a partial row a task, and the join back splits long entries
-    index = rows.select("node", F.explode("set.prefix").alias("entry"))
-    bounds = index.groupBy("entry").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    met = checkpointed(index.join(bounds.select("entry"), "entry").distinct())
+    sets = checkpointed(rows.groupBy("node").agg(F.first("set.size").alias("size"), F.first("set.fp").alias("fp"), F.first("set.sketch").alias("sketch"), F.first("set.wide").alias("wide")))
+    edges = similar(docs, node, sets, print_links(sets.select("node", "fp")), width, similarity)
+    groups = checkpointed(components(edges))
+    # entries of one text alone go, and those of just two whose sizes are too far apart: bounds of an entry are a partial
+    # row a task, and the join back splits long entries
+    index = rows.select("node", F.col("set.size").alias("size"), F.explode("set.prefix").alias("entry"))
+    bounds = index.groupBy("entry").agg(
+        F.min("node").alias("low"), F.max("node").alias("high"), F.min("size").alias("least"), F.max("size").alias("most"), F.count("*").alias("n")
+    ).where("low < high").where((F.col("n") > 2) | (F.col("least") >= F.col("most") * similarity - 1e-9))
+    met = checkpointed(index.drop("size").join(bounds.select("entry"), "entry").distinct())
     total = met.count()
-    edges, groups, waiting = None, None, met.withColumn("root", F.col("node"))
+    waiting = unsettled(met, groups)
     for number in range(rounds):
+        if (waiting.where("root <> most").agg(F.sum("n")).first()[0] or 0) <= WORK * total:
+            break
         centre = waiting.groupBy("entry").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(number))).alias("c"))
         stars = waiting.join(centre, "entry").where("root <> c.root").select(
             F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")
         ).distinct()
         found = similar(docs, node, sets, stars, width, similarity)
-        none = found.isEmpty()
-        edges = found if edges is None else edges.unionByName(found)
-        if not none or groups is None:
-            groups = checkpointed(components(edges))
-            waiting = unsettled(met, groups)
-        if none or (waiting.where("root <> most").agg(F.sum("n")).first()[0] or 0) <= WORK * total:
+        if found.isEmpty():
             break
+        edges = edges.unionByName(found)
+        waiting = unsettled(met, checkpointed(components(edges)))
     # in each entry, the texts outside its largest group with all of other groups
-    both = waiting.join(sets.drop("wide"), "node")
+    both = waiting.join(sets.drop("wide", "fp"), "node")
     name = lambda df, x: df.select("entry", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "most", "size", "sketch")])
     left, right = name(both.where("root <> most"), "a"), name(both, "b")
     pairs = left.join(right, "entry").where("root_a <> root_b and (root_b = most_b or node_a < node_b)").where(may_be_similar(similarity))
@@ -301,6 +314,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, ro
     )
 
 
+def print_links(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) that join the nodes whose fingerprints `fp` are equal or differ in 2 or fewer bits, a the smaller."""
+    firsts = checkpointed(sets.groupBy("fp").agg(F.min("node").alias("first")))
+    of = lambda x: firsts.select(F.col("fp").alias(x), F.col("first").alias(f"first_{x}"))
+    linked = links(firsts.select("fp")).join(of("a"), "a").join(of("b"), "b").select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"))
+    same = sets.join(firsts, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    return linked.unionByName(same)
+
+
 def node_number(rows: DataFrame, digits: int) -> Column:
     """The number of a row's text_sha256: its first digits. Of several digests that begin alike, the smallest has
     that number and the others get negative ones, which travel as a list; beyond CLASHES of them it is an error."""
