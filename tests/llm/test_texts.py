@@ -160,6 +160,22 @@ def test_toxicity(spark):
     assert {r.doc_id for r in kept.collect()} >= {count, count + 1}
 
 
+def test_training_memory():
+    """Beside its two tables of 2**bits numbers, training holds the rows' features and little else."""
+    import tracemalloc
+
+    from tidebar.llm.toxicity import train
+
+    rng = random.Random(2)
+    texts = [" ".join(f"w{rng.randrange(400)}" for _ in range(50)) for _ in range(200)]
+    tracemalloc.start()
+    index, w, _ = train(texts, [i % 2 for i in range(200)], FtrlPlan())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(index) == len(w) > 0 and (w != 0).all()
+    assert peak < 16 * 2**22 + 45e6
+
+
 def test_toxicity_without_labels(spark):
     docs, labels, _ = toxic_tables(spark, 20)
     assert {r.score for r in toxicity_scores(docs, labels.limit(0)).collect()} == {0.5}

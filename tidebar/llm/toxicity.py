@@ -13,7 +13,7 @@ from tidebar.llm.common import fold_of, give_back, joined_bytes, lower_ascii, te
 
 BASE, MASK = 0x100000001B3, (1 << 64) - 1
 #: Bytes of text whose features are made at once; a task needs some 60 bytes of memory for each.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -106,8 +106,10 @@ def worker_powers(count: int):
     return held["tables"]
 
 
-def train(texts: list[str], labels: list[int], plan: FtrlPlan) -> tuple[np.ndarray, np.ndarray, float]:
+def train(texts: list[str] | pa.ChunkedArray, labels: list[int], plan: FtrlPlan) -> tuple[np.ndarray, np.ndarray, float]:
     """FTRL-proximal with one learning rate a coordinate; feature numbers, weights other than zero, and the bias."""
+    if not isinstance(texts, pa.ChunkedArray):
+        texts = pa.chunked_array([pa.array(texts, pa.large_string())])
     size = 1 << plan.bits
     z, n = np.zeros(size + 1), np.zeros(size + 1)
 
@@ -116,18 +118,18 @@ def train(texts: list[str], labels: list[int], plan: FtrlPlan) -> tuple[np.ndarr
         w = -(zi - np.sign(zi) * plan.l1) / ((plan.beta + np.sqrt(n[at])) / plan.alpha + plan.l2)
         return np.where(np.abs(zi) <= plan.l1, 0.0, w)
 
-    parts, sizes = [], []
-    for _, block in text_blocks(pa.array(texts, pa.large_string()), BLOCK_BYTES):
-        at, index = features(block, plan)
-        # every row also has the bias, whose number is the largest
-        sizes.append(np.bincount(at, minlength=len(block)) + 1)
-        parts.append(np.insert(index, np.cumsum(sizes[-1] - 1), size).astype(np.int32))
-    flat, ends = np.concatenate(parts), np.cumsum(np.concatenate(sizes))
-    del parts
+    rows = []  # views of one array a block
+    for chunk in texts.chunks:
+        for _, block in text_blocks(chunk, BLOCK_BYTES):
+            at, index = features(block, plan)
+            counts = np.bincount(at, minlength=len(block))
+            # every row also has the bias, whose number is the largest
+            flat = np.insert(index, np.cumsum(counts), size).astype(np.int32)
+            rows += np.split(flat, np.cumsum(counts + 1)[:-1])
     order = np.random.default_rng(7)
     for _ in range(plan.epochs):
-        for i in order.permutation(len(ends)):
-            at = flat[ends[i - 1] if i else 0 : ends[i]]
+        for i in order.permutation(len(rows)):
+            at = rows[i]
             w = weights(at)
             p = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35)))
             g = p - labels[i]
@@ -135,9 +137,14 @@ def train(texts: list[str], labels: list[int], plan: FtrlPlan) -> tuple[np.ndarr
             sigma = (np.sqrt(ni + g * g) - np.sqrt(ni)) / plan.alpha
             z[at] += g - sigma * w
             n[at] = ni + g * g
-    w = weights(np.arange(size + 1))
-    kept = np.flatnonzero(w[:-1])
-    return kept, w[kept], float(w[-1])
+    kept, found = [], []
+    for first in range(0, size, 1 << 16):  # a few MB at a time
+        at = np.arange(first, min(first + (1 << 16), size))
+        w = weights(at)
+        some = np.flatnonzero(w)
+        kept.append(at[some])
+        found.append(w[some])
+    return np.concatenate(kept), np.concatenate(found), float(weights(np.array([size]))[0])
 
 
 def fit(docs: DataFrame, labels: DataFrame, plan: FtrlPlan = FtrlPlan()) -> tuple[np.ndarray, np.ndarray, float]:
@@ -156,13 +163,15 @@ def fit(docs: DataFrame, labels: DataFrame, plan: FtrlPlan = FtrlPlan()) -> tupl
     def learn(batches):
         texts, marks = [], []
         for batch in batches:
-            texts += batch.column("text").to_pylist()
+            texts.append(batch.column("text"))
             marks += batch.column("__toxic").to_pylist()
         if len(set(marks)) < 2:
             share = min(max((sum(marks) + 0.5) / (len(marks) + 1), 1e-6), 1 - 1e-6)
             index, w, bias = np.zeros(0, np.int64), np.zeros(0), float(np.log(share / (1 - share)))
         else:
-            index, w, bias = train(texts, marks, plan)
+            index, w, bias = train(pa.chunked_array(texts), marks, plan)
+        del texts
+        give_back()
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.append(index, -1).astype(np.int64)), pa.array(np.append(w, bias))], names=["feature", "weight"]
         )
