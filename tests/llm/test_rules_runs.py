@@ -86,6 +86,29 @@ def test_junk_is_told_from_prose(spark):
     assert kept == {i for i, _ in prose}
 
 
+def test_all_labels_count(spark):
+    """The registered plan looks at every labelled document, also beyond 20,000."""
+    from tidebar.llm.quality_rules import labelled_ids
+
+    count = 20_500
+    docs = spark.range(2 * count).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 10 + id % 7), i -> concat('w', (id * i) % 97))) as text")
+    marks = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
+    assert [labelled_ids(marks, q, RatioPlan()).count() for q in (0, 1)] == [count, count]
+    got = quality_rules(docs, marks).collect()
+    cut = sum(statistics.median(r.score for r in got if r.doc_id % 2 == q and not r.base_failed) for q in (0, 1)) / 2
+    assert all(r.kept == (not r.base_failed and r.score >= cut) for r in got)
+
+
+@pytest.mark.parametrize("count", [0, 1, 2, 999, 1000])
+def test_median(spark, count):
+    from tidebar.llm.quality_rules import median
+
+    rng = random.Random(count)
+    values = [rng.choice([0.0, rng.uniform(-2, 2)]) for _ in range(count)]
+    df = spark.createDataFrame([(x,) for x in values], "score double").repartition(5)
+    assert median(df) == (statistics.median(values) if values else None)
+
+
 def test_rules_without_labels_or_rows(spark):
     assert quality_rules(nothing(spark), labels(spark)).count() == 0
     got = quality_rules(documents(spark), labels(spark).where("false")).collect()

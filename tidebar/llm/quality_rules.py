@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebar.llm.common import checkpointed, whole_text
@@ -20,11 +20,11 @@ UNIT = 1_000_000
 
 @dataclass(frozen=True)
 class RatioPlan:
-    """buckets: places of the hashed n-grams; the two multinomials go over the driver as a table of that size. sample: trusted
-    documents that the target is fitted on, and documents labelled as bad that the threshold is set by, at most; the raw side counts all."""
+    """buckets: places of the hashed n-grams; the two multinomials go over the driver as a table of that size. sample: labelled
+    ids of each kind that target and threshold look at, at most; None: all of them. The raw side counts all documents."""
 
     buckets: int = 1 << 14
-    sample: int = 20_000
+    sample: int | None = None
     width: int = 5
     least_words: int = 10
     most_repeated: int = 20
@@ -92,9 +92,10 @@ def bucket_of(gram: Column, plan: RatioPlan) -> Column:
 
 
 def labelled_ids(labels: DataFrame, quality: int, plan: RatioPlan) -> DataFrame:
-    """`sample` ids at most of documents with this label, in a fixed order that does not follow the ids."""
+    """Distinct ids with this label: all, or the first `sample` in a fixed order that does not follow the ids."""
     ids = labels.where(F.col("quality") == quality).select(F.col("doc_id").cast("long").alias("known_id")).where("known_id is not null")
-    return ids.distinct().orderBy(F.xxhash64("known_id"), "known_id").limit(plan.sample)
+    ids = ids.distinct()
+    return ids if plan.sample is None else ids.orderBy(F.xxhash64("known_id"), "known_id").limit(plan.sample)
 
 
 def bodies(docs: DataFrame) -> DataFrame:
@@ -103,7 +104,8 @@ def bodies(docs: DataFrame) -> DataFrame:
 
 def bucket_weights(docs: DataFrame, trusted: DataFrame, plan: RatioPlan) -> list[int]:
     """log of target over raw share for each bucket, in units; all documents are counted on the raw side. Both have one added a bucket."""
-    known = docs.join(F.broadcast(trusted), F.col("doc_id") == F.col("known_id"), "left")
+    # no broadcast hint: there may be as many labels as documents
+    known = docs.join(trusted, F.col("doc_id") == F.col("known_id"), "left")
     # the outer form, since the plain one repeats the whole expression in a filter of its own
     grams = with_grams(known, plan).select(F.col("known_id").isNotNull().alias("good"), F.explode_outer("grams").alias("gram"))
     counts = grams.where("gram is not null").groupBy(bucket_of(F.col("gram"), plan).alias("bucket")).agg(F.count("*").alias("raw"), F.count_if("good").alias("target"))
@@ -114,8 +116,31 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame, plan: RatioPlan) -> list
 
 
 def median_score(scored: DataFrame, ids: DataFrame) -> float | None:
-    known = scored.where(~F.col("base_failed")).join(F.broadcast(ids), F.col("doc_id") == F.col("known_id"), "left_semi")
-    return known.agg(F.percentile("score", F.lit(0.5))).first()[0]
+    return median(scored.where(~F.col("base_failed")).join(ids, F.col("doc_id") == F.col("known_id"), "left_semi").select("score"))
+
+
+def median(values: DataFrame) -> float | None:
+    """The exact median of the column `score`, null without rows. Distinct scores with their counts lie in ranges of one
+    partition each; a count a range reaches the driver, and only the middle's range is looked at row by row."""
+    counts = values.groupBy("score").agg(F.count("*").alias("n")).orderBy("score")
+    counts = checkpointed(counts.withColumn("part", F.spark_partition_id()))
+    sizes = counts.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()
+    total = sum(r["n"] for r in sizes)
+    if not total:
+        return None
+
+    def at(place: int) -> float:
+        before = 0
+        for part, n in sizes:
+            if place < before + n:
+                break
+            before += n
+        upto = F.sum("n").over(Window.partitionBy("part").orderBy("score"))
+        inside = counts.where(F.col("part") == part).withColumn("upto", upto)
+        return inside.where(F.col("upto") > place - before).agg(F.min("score")).first()[0]
+
+    low = at((total - 1) // 2)
+    return low if total % 2 else (low + at(total // 2)) / 2
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, plan: RatioPlan = RatioPlan()) -> DataFrame:
@@ -130,7 +155,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, plan: RatioPlan = RatioPla
     Null and empty texts have no words and are base_failed; texts without a token score 0. Repeated rows stand each for themselves, and so
     do rows of one id; a label holds for all rows of its id, and an id labelled both ways counts on both sides. Null ids and labels
     say nothing. Without trusted or without bad documents no score rejects. Ties with the threshold are kept. An empty table gives no rows. Other columns of either table play no part. A very long text is one
-    row of some arrays of 8 bytes a word. Two passes over the texts, and no shuffle of them.
+    row of some arrays of 8 bytes a word. Two passes over the texts; the first shuffles them where the trusted ids are too many for Spark
+    to broadcast.
     """
     texts = bodies(docs)
     trusted = checkpointed(labelled_ids(labels, 1, plan))
