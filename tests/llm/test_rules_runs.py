@@ -99,6 +99,34 @@ def test_all_labels_count(spark):
     assert all(r.kept == (not r.base_failed and r.score >= cut) for r in got)
 
 
+@pytest.mark.parametrize("cells", [1, 8, 1 << 20])
+def test_texts_stay_where_they_are(spark, cells):
+    """Labels too many to broadcast do not shuffle the texts, and ids that the cells let through by chance change nothing."""
+    from pyspark.sql import functions as F
+
+    from tidebar.llm.quality_rules import bodies, bucket_of, bucket_weights, cells_of, with_grams, with_likely
+
+    plan = RatioPlan(buckets=256, cells=cells)
+    docs = bodies(documents(spark))
+    docs = docs.unionByName(docs.where("doc_id < 9"))
+    trusted = spark.createDataFrame([(i,) for i in (*range(0, 60, 7), 1002, 1005, 1007, 9999)], "known_id long")
+    ids = {r[0] for r in trusted.collect()}
+    raw, target = [1] * plan.buckets, [1] * plan.buckets
+    for r in with_grams(docs, plan).withColumn("grams", F.transform("grams", lambda g: bucket_of(g, plan))).collect():
+        for g in r.grams:
+            raw[g] += 1
+            target[g] += r.doc_id in ids
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan_of = with_likely(docs, cells_of(trusted, "known_id", plan), plan)._jdf.queryExecution().executedPlan().toString()
+        got = bucket_weights(docs, trusted, plan)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan_of and "BroadcastHashJoin" in plan_of
+    assert got == [round(1e6 * (math.log(t / sum(target)) - math.log(r / sum(raw)))) for t, r in zip(target, raw)]
+
+
 @pytest.mark.parametrize("count", [0, 1, 2, 999, 1000])
 def test_median(spark, count):
     from tidebar.llm.quality_rules import median

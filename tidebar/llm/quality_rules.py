@@ -21,13 +21,15 @@ UNIT = 1_000_000
 @dataclass(frozen=True)
 class RatioPlan:
     """buckets: places of the hashed n-grams; the two multinomials go over the driver as a table of that size. sample: labelled
-    ids of each kind that target and threshold look at, at most; None: all of them. The raw side counts all documents."""
+    ids of each kind that target and threshold look at, at most; None: all of them. The raw side counts all documents. cells:
+    words of 64 bits at most in the table of labelled ids that is broadcast."""
 
     buckets: int = 1 << 14
     sample: int | None = None
     width: int = 5
     least_words: int = 10
     most_repeated: int = 20
+    cells: int = 1 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -102,15 +104,54 @@ def bodies(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("body"))
 
 
-def bucket_weights(docs: DataFrame, trusted: DataFrame, plan: RatioPlan) -> list[int]:
-    """log of target over raw share for each bucket, in units; all documents are counted on the raw side. Both have one added a bucket."""
-    # no broadcast hint: there may be as many labels as documents
-    known = docs.join(trusted, F.col("doc_id") == F.col("known_id"), "left")
+def cell_and_bits(name: str, plan: RatioPlan) -> tuple[Column, Column]:
+    """The cell of an id, null for a null id, and the four bits (or fewer) that it has there."""
+    mixed = F.xxhash64(name)
+    bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(mixed, 40 + 6 * k).bitwiseAND(F.lit(63)).cast("int")) for k in range(4)]
+    whole = bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2]).bitwiseOR(bits[3])
+    return F.when(F.col(name).isNotNull(), F.pmod(mixed, F.lit(plan.cells).cast("long"))), whole
+
+
+def cells_of(ids: DataFrame, name: str, plan: RatioPlan) -> DataFrame:
+    """cell, held: the bits of all ids of a cell; `cells` rows at most, whatever the input."""
+    cell, bits = cell_and_bits(name, plan)
+    return ids.select(cell.alias("cell"), bits.alias("bits")).groupBy("cell").agg(F.bit_or("bits").alias("held"))
+
+
+def with_likely(rows: DataFrame, cells: DataFrame, plan: RatioPlan) -> DataFrame:
+    """The column `likely`: true for all rows whose doc_id is in the cells, and by chance for others."""
+    cell, bits = cell_and_bits("doc_id", plan)
+    # the hint is safe: the table has a fixed size
+    met = rows.withColumns({"at": cell, "bits": bits}).join(F.broadcast(cells), F.col("at") == F.col("cell"), "left")
+    return met.withColumn("likely", F.coalesce(F.col("held").bitwiseAND(F.col("bits")) == F.col("bits"), F.lit(False))).drop("at", "bits", "cell", "held")
+
+
+def gram_counts(rows: DataFrame, plan: RatioPlan) -> dict[int, tuple[int, int]]:
+    """For each bucket the grams of `body` there in all rows, and in those that are `likely`."""
     # the outer form, since the plain one repeats the whole expression in a filter of its own
-    grams = with_grams(known, plan).select(F.col("known_id").isNotNull().alias("good"), F.explode_outer("grams").alias("gram"))
-    counts = grams.where("gram is not null").groupBy(bucket_of(F.col("gram"), plan).alias("bucket")).agg(F.count("*").alias("raw"), F.count_if("good").alias("target"))
-    found = {r["bucket"]: (r["raw"] + 1, r["target"] + 1) for r in counts.collect()}  # `buckets` rows at most, whatever the input
-    both = [found.get(k, (1, 1)) for k in range(plan.buckets)]
+    grams = with_grams(rows, plan).select("likely", F.explode_outer("grams").alias("gram"))
+    counts = grams.where("gram is not null").groupBy(bucket_of(F.col("gram"), plan).alias("bucket")).agg(F.count("*").alias("raw"), F.count_if("likely").alias("target"))
+    return {r["bucket"]: (r["raw"], r["target"]) for r in counts.collect()}  # `buckets` rows at most, whatever the input
+
+
+def bucket_weights(docs: DataFrame, trusted: DataFrame, plan: RatioPlan) -> list[int]:
+    """log of target over raw share for each bucket, in units; all documents are counted on the raw side. Both have one added a bucket.
+
+    Texts are not shuffled to meet their labels: one pass counts, as target, the documents that the cells of the trusted ids
+    let through. Which of these are not trusted is found by ids alone; the grams of those few, exactly joined, are taken off.
+    """
+    cells = checkpointed(cells_of(trusted, "known_id", plan))
+    found = gram_counts(with_likely(docs, cells, plan), plan)
+    seen = with_likely(docs.select("doc_id"), cells, plan).where("likely").select(F.col("doc_id").alias("false_id")).distinct()
+    false = checkpointed(seen.join(trusted, F.col("false_id") == F.col("known_id"), "left_anti"))
+    wrong = {}
+    if not false.isEmpty():
+        near = with_likely(docs, cells_of(false, "false_id", plan), plan).where("likely")
+        wrong = gram_counts(near.join(false, F.col("doc_id") == F.col("false_id"), "left_semi"), plan)
+    both = []
+    for k in range(plan.buckets):
+        raw, target = found.get(k, (0, 0))
+        both.append((raw + 1, target - wrong.get(k, (0, 0))[1] + 1))
     all_raw, all_target = map(sum, zip(*both))
     return [round(UNIT * (math.log(target / all_target) - math.log(raw / all_raw))) for raw, target in both]
 
@@ -155,8 +196,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, plan: RatioPlan = RatioPla
     Null and empty texts have no words and are base_failed; texts without a token score 0. Repeated rows stand each for themselves, and so
     do rows of one id; a label holds for all rows of its id, and an id labelled both ways counts on both sides. Null ids and labels
     say nothing. Without trusted or without bad documents no score rejects. Ties with the threshold are kept. An empty table gives no rows. Other columns of either table play no part. A very long text is one
-    row of some arrays of 8 bytes a word. Two passes over the texts; the first shuffles them where the trusted ids are too many for Spark
-    to broadcast.
+    row of some arrays of 8 bytes a word. Two passes over the texts, which are not shuffled; where cells let ids through by chance, a third,
+    which shuffles the texts of those alone.
     """
     texts = bodies(docs)
     trusted = checkpointed(labelled_ids(labels, 1, plan))
