@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one step inside a task handles at once.
 BLOCK_BYTES = 4 << 20
+#: Small rows, such as pairs of numbers, that one partition holds.
+FEW = 200_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +46,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """df of about so many small rows in a partition for each FEW of them, where it has more: a shuffle writes files for each."""
+    return df.coalesce(rows // FEW + 1)
+
+
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebar.llm.common import checkpointed
+from tidebar.llm.common import checkpointed, few
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,12 +19,16 @@ def components(edges: DataFrame) -> DataFrame:
     )
     mark = signature(state)
     while mark[0]:
+        size = 2 * mark[0]
+        state = few(state, size)
         both = state.unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = few(few(large, size).distinct(), size)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        state = checkpointed(small.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+        small = few(small.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b"), size)
+        state = checkpointed(few(small.distinct(), size))
         before, mark = mark, signature(state)
         if before == mark:
             break

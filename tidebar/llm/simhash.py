@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebar.llm.common import checkpointed, give_back, whole_text
+from tidebar.llm.common import checkpointed, few, give_back, whole_text
 from tidebar.llm.components import components
 
 #: Seed of the shingle hash and shingles hashed at a time, so one very long text needs bounded memory.
@@ -156,7 +156,9 @@ DIGITS, CLASHES = 15, 10_000
 #: Bits of a node's number that name its place among the nodes whose sets are wanted.
 WANTED = 24
 #: Rounds of stars at most, and comparisons for each row of the index that end them.
-ROUNDS, WORK = 3, 4
+ROUNDS, WORK = 4, 4
+#: Two similar sets share an entry more for each so many members of the smaller one.
+SPREAD = 100
 
 
 def distinct_shingles(text: bytes, width: int) -> np.ndarray:
@@ -195,7 +197,7 @@ def sketches(docs: DataFrame, width: int, similarity: float) -> Column:
     """Column of structs: size of the shingle set; fp, its SimHash; sketch, the parity of its members at each of 64 * SKETCH places, which
     differs for two sets at no more places than they have members that only one of them holds; wide, the same with
     two places or more for each member; prefix, its
-    first members in one order for all texts, so many that two sets of the similarity share one at least."""
+    first members in one order for all texts, so many that two sets of the similarity share `asked` of them at least."""
     shared = docs.sparkSession.sparkContext.broadcast(common_levels(docs, width).tobytes())
 
     @F.arrow_udf("struct<size:int,fp:long,sketch:array<long>,wide:array<long>,prefix:array<long>>")
@@ -209,7 +211,8 @@ def sketches(docs: DataFrame, width: int, similarity: float) -> Column:
             sketch.append(parity(found, SKETCH))
             wide.append(parity(found, min(WIDEST, max(SKETCH, 1 << (len(found) // 32).bit_length()))))
             # similar sets share similarity * size members; the texts without words share 0
-            first = len(found) - int(np.ceil(similarity * len(found) - 1e-9)) + 1
+            shared_least = int(np.ceil(similarity * len(found) - 1e-9))
+            first = len(found) - shared_least + max(1, min(1 + len(found) // SPREAD, shared_least))
             order = np.lexsort((found, levels[found >> np.uint64(64 - PLACES)]))[:first]
             prefix.append(found[order].view(np.int64) if len(found) else np.zeros(1, np.int64))
         columns = [pa.array(sizes, pa.int32()), pa.array(fp, pa.int64()), listed(sketch), listed(wide), listed(prefix)]
@@ -230,8 +233,7 @@ def parity(members: np.ndarray, longs: int) -> np.ndarray:
 def may_be_similar(similarity: float) -> Column:
     """False only for pairs (size_a, sketch_a, size_b, sketch_b) whose sets surely lack the similarity."""
     bits = sum(F.bit_count(F.col("sketch_a")[k].bitwiseXOR(F.col("sketch_b")[k])) for k in range(SKETCH))
-    sizes = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * similarity - 1e-9
-    return sizes & (bits <= most_apart(similarity))
+    return near_in_size(similarity) & (bits <= most_apart(similarity))
 
 
 def most_apart(similarity: float) -> Column:
@@ -273,7 +275,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, ro
     node = node_number(written, digits)
     rows = written.withColumn("node", node)
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_sha256")
-    sets = checkpointed(rows.groupBy("node").agg(F.first("set.size").alias("size"), F.first("set.fp").alias("fp"), F.first("set.sketch").alias("sketch"), F.first("set.wide").alias("wide")))
+    sets = checkpointed(rows.groupBy("node").agg(*[F.first(f"set.{c}").alias(c) for c in ("size", "fp", "sketch", "wide")]))
     edges = similar(docs, node, sets, print_links(sets.select("node", "fp")), width, similarity)
     groups = checkpointed(components(edges))
     # entries of one text alone go, and those of just two whose sizes are too far apart: bounds of an entry are a partial
@@ -282,28 +284,33 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, ro
     bounds = index.groupBy("entry").agg(
         F.min("node").alias("low"), F.max("node").alias("high"), F.min("size").alias("least"), F.max("size").alias("most"), F.count("*").alias("n")
     ).where("low < high").where((F.col("n") > 2) | (F.col("least") >= F.col("most") * similarity - 1e-9))
-    met = checkpointed(index.drop("size").join(bounds.select("entry"), "entry").distinct())
+    met = checkpointed(index.join(bounds.select("entry"), "entry").distinct())
     total = met.count()
-    waiting = unsettled(met, groups)
+    waiting, before = unsettled(met, groups), None
     for number in range(rounds):
-        if (waiting.where("root <> most").agg(F.sum("n")).first()[0] or 0) <= WORK * total:
+        work = waiting.where("root <> most").agg(F.sum("n")).first()[0] or 0
+        # a round that leaves nearly all of the work found what there was to find
+        if work <= WORK * total or before and work > 0.9 * before:
             break
-        centre = waiting.groupBy("entry").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(number))).alias("c"))
+        before = work
+        first = F.xxhash64("node", F.lit(number))
+        if number:  # what is left is compared with the largest group
+            first = F.when(F.col("root") == F.col("most"), first)
+        centre = waiting.groupBy("entry").agg(F.min_by(F.struct("node", "root", "size"), first).alias("c"))
         stars = waiting.join(centre, "entry").where("root <> c.root").select(
-            F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")
-        ).distinct()
-        found = similar(docs, node, sets, stars, width, similarity)
+            F.col("node").alias("node_a"), F.col("size").alias("size_a"), F.col("c.node").alias("node_b"), F.col("c.size").alias("size_b")
+        )
+        found = similar(docs, node, sets, sharing(stars, similarity, 4), width, similarity)
         if found.isEmpty():
             break
         edges = edges.unionByName(found)
         waiting = unsettled(met, checkpointed(components(edges)))
     # in each entry, the texts outside its largest group with all of other groups
-    both = waiting.join(sets.drop("wide", "fp"), "node")
+    both = waiting.join(sets.select("node", "sketch"), "node")
     name = lambda df, x: df.select("entry", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "most", "size", "sketch")])
     left, right = name(both.where("root <> most"), "a"), name(both, "b")
     pairs = left.join(right, "entry").where("root_a <> root_b and (root_b = most_b or node_a < node_b)").where(may_be_similar(similarity))
-    pairs = pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-    edges = edges.unionByName(similar(docs, node, sets, pairs, width, similarity))
+    edges = edges.unionByName(similar(docs, node, sets, sharing(pairs, similarity), width, similarity))
     roots = components(edges)
     named = rows.select("doc_id", "text_sha256", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = checkpointed(named.select("doc_id", "text_sha256", "root"))
@@ -314,6 +321,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, ro
     )
 
 
+def asked(size: Column, similarity: float) -> Column:
+    """Entries that two similar sets of this size or more share at least.
+
+    Sets of the similarity share similarity * size members or more, whichever of the two is meant. A prefix lacks as many of its
+    set, less what is asked; so it holds as many of the first shared ones in the order, and two prefixes share the lesser number.
+    """
+    return F.greatest(F.lit(1), F.least(1 + F.floor(size / SPREAD), F.ceil(similarity * size - 1e-9)))
+
+
+def near_in_size(similarity: float) -> Column:
+    return F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * similarity - 1e-9
+
+
+def sharing(met: DataFrame, similarity: float, share: int = 1) -> DataFrame:
+    """Pairs (a, b) of nodes, a the smaller, from a row for each entry that two nodes share: those near in size that share the
+    entries asked, or one in `share` of these where met has only some of the entries. Texts that meet by a few shingles go here."""
+    rows = met.where(near_in_size(similarity)).select(
+        F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), F.least("size_a", "size_b").alias("size")
+    )
+    counts = rows.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("size").alias("size"))
+    return counts.where(F.col("n") * share >= asked(F.col("size"), similarity)).select("a", "b")
+
+
 def print_links(sets: DataFrame) -> DataFrame:
     """Pairs (a, b) that join the nodes whose fingerprints `fp` are equal or differ in 2 or fewer bits, a the smaller."""
     firsts = checkpointed(sets.groupBy("fp").agg(F.min("node").alias("first")))
@@ -339,9 +369,9 @@ def node_number(rows: DataFrame, digits: int) -> Column:
 
 
 def unsettled(met: DataFrame, groups: DataFrame) -> DataFrame:
-    """node, entry, root, most, n: the entries that hold texts of several groups, with the root of the largest of these and the
+    """node, entry, size, root, most, n: the entries that hold texts of several groups, with the root of the largest of these and the
     number of texts."""
-    rooted = checkpointed(met.join(groups, "node", "left").select("node", "entry", F.coalesce("root", "node").alias("root")))
+    rooted = checkpointed(met.join(groups, "node", "left").select("node", "entry", "size", F.coalesce("root", "node").alias("root")))
     sizes = rooted.groupBy("entry", "root").count().groupBy("entry").agg(
         F.max_by("root", F.struct("count", "root")).alias("most"), F.sum("count").alias("n"), F.count("*").alias("kinds")
     )
@@ -349,11 +379,14 @@ def unsettled(met: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def similar(docs: DataFrame, node: Column, sets: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets have the similarity: by size and sketch first, then exactly."""
-    of = lambda x: sets.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    likely = pairs.join(of("a"), "a").join(of("b"), "b").where(may_be_similar(similarity)).select("a", "b", "size_a", "size_b")
-    wide = lambda x: sets.select(F.col("node").alias(x), F.col("wide").alias(f"wide_{x}"))
-    likely = checkpointed(likely_by_wide(likely.join(wide("a"), "a").join(wide("b"), "b"), similarity).select("a", "b"))
+    """The pairs (a, b) of nodes whose shingle sets have the similarity: by size and wide sketch first, then exactly."""
+    wide = lambda x: sets.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("wide").alias(f"wide_{x}"))
+    likely = pairs.join(wide("a"), "a").join(wide("b"), "b").where(near_in_size(similarity))
+    likely = checkpointed(likely_by_wide(likely, similarity).select("a", "b"))
+    number = likely.count()
+    if not number:
+        return likely
+    likely = few(likely, number)
     # exact check: the whole sets of the texts that a likely pair names; only these (and a few by chance) are shuffled
     wanted = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets_of = checkpointed(
@@ -368,7 +401,7 @@ def similar(docs: DataFrame, node: Column, sets: DataFrame, pairs: DataFrame, wi
         .join(sets_of.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
         .select("a", "b", F.when(whole == 0, 1.0).otherwise(both / whole).alias("likeness"))
     )
-    return checkpointed(checked.where(F.col("likeness") >= similarity).select("a", "b"))
+    return checkpointed(few(checked.where(F.col("likeness") >= similarity).select("a", "b"), number))
 
 
 def wanted_sets(wanted: DataFrame, width: int):
