@@ -347,3 +347,51 @@ def test_wide_sketches_never_rule_out_similar_sets(spark):
     df = spark.createDataFrame(rows_, "k int, size_a int, size_b int, wide_a array<long>, wide_b array<long>")
     got = {r.k for r in likely_by_wide(df, 0.8).collect()}
     assert want <= got and len(got) < 110
+
+
+def test_texts_that_meet_by_a_few_shingles_are_no_pairs(spark, monkeypatch):
+    """Long unlike texts with one rare passage: sketches of 512 places cannot tell them apart, the entries shared do."""
+    from tidebar.llm import simhash
+
+    rng = random.Random(8)
+    own = lambda n: " ".join(f"x{rng.randrange(10**9)}" for _ in range(n))
+    texts = [f"{own(700)} one rare passage of six words {own(700)}" for _ in range(40)]
+    base = own(1400).split()
+    copies = [" ".join(base[: 30 * i] + base[30 * i + 60 :]) for i in range(6)]
+    docs = spark.createDataFrame(list(enumerate(texts + copies)), "doc_id long, text string")
+    given, similar = [], simhash.similar
+    monkeypatch.setattr(simhash, "similar", lambda d, n, s, pairs, *a: given.append(pairs.count()) or similar(d, n, s, pairs, *a))
+    got = {r.doc_id: r.group_doc for r in simhash.near_duplicates(docs).collect()}
+    assert got == {i: min(i, 40) for i in range(46)}
+    assert sum(given) <= 60
+
+
+def test_similar_sets_share_the_entries_asked(spark):
+    from pyspark.sql import functions as F
+
+    from tidebar.llm.simhash import asked, distinct_shingles, sketches
+
+    rng, texts = random.Random(9), []
+    for n in (5, 8, 30, 90, 200, 450, 1100):
+        base = [f"y{rng.randrange(10**9)}" for _ in range(n)]
+        for _ in range(6):
+            words = list(base)
+            for _ in range(rng.randrange(1 + n // 60)):
+                words[rng.randrange(n)] = "changed"
+            texts.append(" ".join(words[rng.randrange(1 + n // 20) : n - rng.randrange(1 + n // 20)]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = docs.select("text", sketches(docs, 5, 0.8).alias("s")).select("text", "s.prefix", asked(F.col("s.size"), 0.8).alias("asked")).collect()
+    sets = [set(distinct_shingles(r.text.encode(), 5).tolist()) for r in found]
+    pairs = 0
+    for i, x in enumerate(found):
+        for j, y in enumerate(found[:i]):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                pairs += 1
+                assert len(set(x.prefix) & set(y.prefix)) >= min(x.asked, y.asked)
+    assert pairs > 40
+
+
+def test_few_rows_lie_in_few_partitions(spark):
+    from tidebar.llm.common import few
+
+    assert [few(spark.range(0, 1000, 1, 50), n).rdd.getNumPartitions() for n in (0, 1000, 600_000, 10**9)] == [1, 1, 4, 50]
