@@ -12,6 +12,10 @@ from tidebar.llm.simhash import drop_near_duplicates
 from tidebar.llm.toxicity import drop_toxic
 
 
+#: Bytes of text that packing takes at once; its workers share an executor with what the earlier stages left there.
+PACKED_BYTES = 1 << 20
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a model of the labels finds toxic go."""
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -35,7 +39,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The texts as sequences of ids without padding."""
-    return pack(docs, read_vocabulary())
+    return pack(docs, read_vocabulary(), word_block=PACKED_BYTES)
 
 
 STAGES = [

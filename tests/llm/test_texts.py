@@ -8,6 +8,8 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from tests.llm.fixtures import documents, nothing, rows
@@ -290,3 +292,26 @@ def test_private_keys_go_with_their_bodies(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.text for r in redact_secrets(df).collect()}
     assert got == {0: "é [secret] after", 1: "[secret]\n[secret]\nafter", 2: "before [secret]", 3: texts[3]}
+
+
+def test_redaction_sends_back_changed_texts_alone(spark, monkeypatch):
+    import tidebar.llm.secrets as secrets
+
+    sizes, find = [], secrets.find
+    monkeypatch.setattr(secrets, "find", lambda block, rules: sizes.append(pc.sum(pc.binary_length(block)).as_py()) or find(block, rules))
+    plain = "é plain words " * 40_000  # over half of a block
+    texts = [plain, "é password=abcdefgh x", None, plain, "", plain + "AKIA" + "A" * 16]
+    got = secrets.changed_texts(pa.array(texts, pa.string()), RULES, "[secret]").to_pylist()
+    assert got == [None, "é [secret] x", None, None, None, plain + "[secret]"]
+    assert len(sizes) > 2 and max(s or 0 for s in sizes) <= secrets.REDACTED_BYTES
+    monkeypatch.undo()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.text for r in redact_secrets(df).collect()} == dict(enumerate(g or t for g, t in zip(got, texts)))
+
+
+def test_packing_in_small_blocks(spark):
+    vocabulary = read_vocabulary()
+    df = documents(spark).coalesce(1)
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
+    whole, small = (collections.Counter(map(str, pack(df, vocabulary, word_block=n).select(names).collect())) for n in (4 << 20, 200))
+    assert whole == small and whole

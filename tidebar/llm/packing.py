@@ -121,14 +121,15 @@ def power_pieces(tokens: np.ndarray, longest: int = LONGEST) -> tuple[np.ndarray
     return rows, before - first, lengths
 
 
-def pack(docs: DataFrame, vocabulary: str, longest: int = LONGEST, end: int = END, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, longest: int = LONGEST, end: int = END, with_ids: bool = True, word_block: int = WORD_BLOCK) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, bucket, sequence_id, offset and, if asked
     for, ids (array<int>).
 
     vocabulary: the text of a tokenizers file that drops white space. Every document becomes its ids and the end id,
     so null and empty texts are one piece of one id. The pieces are power-of-two long and each is a sequence of its own: bucket (its
     length) tells with which others it makes a batch, no sequence crosses documents and none has padding.
-    One pass without a shuffle; repeated rows and ids are packed each.
+    One pass without a shuffle; repeated rows and ids are packed each. word_block: bytes of text that share one list of
+    distinct words; fewer take less memory and a little more time.
     """
     if longest & (longest - 1):
         raise ValueError("longest must be a power of two")
@@ -143,7 +144,7 @@ def pack(docs: DataFrame, vocabulary: str, longest: int = LONGEST, end: int = EN
         encoder = worker_cache(key, lambda: WordEncoder(shared.value, end))
         for batch in batches:
             ids_of, texts = batch.column("doc_id"), batch.column("text")
-            for first, block in text_blocks(texts, WORD_BLOCK):
+            for first, block in text_blocks(texts, word_block):
                 ids, offsets = encoder.encode(block)
                 tokens = np.diff(offsets)
                 rows, starts, lengths = power_pieces(tokens, longest)

@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from tidebar.llm.common import give_back, joined_bytes, lower_ascii, text_blocks, whole_text
 
 
+#: Bytes of text that redaction, whose workers share an executor with full shuffles, indexes at once.
+REDACTED_BYTES = 1 << 20
+
+
 @dataclass(frozen=True)
 class Rule:
     """A kind of secret: ASCII pattern over UTF-8 bytes; matches are leftmost and do not overlap, those whose `group`
@@ -230,29 +234,36 @@ def secret_digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
     )
 
 
+def changed_texts(texts: pa.Array, rules: tuple[Rule, ...], mark: str) -> pa.Array:
+    """The texts that redaction changes, null for all others: most have no secret and need not travel back."""
+    out: list[str | None] = [None] * len(texts)
+    for first, block in text_blocks(texts, REDACTED_BYTES):
+        for row, spans in find(block, rules).items():
+            text, parts, done = block[row].as_py(), [], 0
+            merged: list[list[int]] = []
+            for _, s, e in spans:
+                if merged and s < merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], e)
+                else:
+                    merged.append([s, e])
+            for s, e in merged:
+                parts += [text[done:s], mark]
+                done = e
+            out[first + row] = "".join(parts) + text[done:]
+    return pa.array(out, pa.string())
+
+
 def redacted(rules: tuple[Rule, ...] = RULES, mark: str = "[secret]") -> Column:
     """The text with every span, overlapping ones as one, replaced by mark; null stays null."""
 
     @F.arrow_udf("string")
     def replace(texts: pa.Array) -> pa.Array:
-        out = texts.to_pylist()
-        for first, block in text_blocks(texts):
-            for row, spans in find(block, rules).items():
-                text, parts, done = out[first + row], [], 0
-                merged: list[list[int]] = []
-                for _, s, e in spans:
-                    if merged and s < merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], e)
-                    else:
-                        merged.append([s, e])
-                for s, e in merged:
-                    parts += [text[done:s], mark]
-                    done = e
-                out[first + row] = "".join(parts) + text[done:]
+        changed = changed_texts(texts, rules, mark)
         give_back()
-        return pa.array(out, pa.string())
+        return changed
 
-    return replace(F.col("text").cast("string"))
+    text = F.col("text").cast("string")
+    return F.coalesce(replace(text), text)
 
 
 def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
