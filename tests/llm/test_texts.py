@@ -315,3 +315,34 @@ def test_packing_in_small_blocks(spark):
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
     whole, small = (collections.Counter(map(str, pack(df, vocabulary, word_block=n).select(names).collect())) for n in (4 << 20, 200))
     assert whole == small and whole
+
+
+def test_words_met_again_stay_encoded(monkeypatch):
+    from tidebar.llm import packing
+
+    monkeypatch.setattr(packing, "KEPT_WORDS", 40)
+    encoder = packing.WordEncoder(read_vocabulary(), 2)
+    asked, encoded = collections.Counter(), encoder.encoded
+    monkeypatch.setattr(encoder, "encoded", lambda words: asked.update(words) or encoded(words))
+    letters = "abcdefghijklmnopqrst"
+    texts = [" ".join(["often###"] * 2 + [f"rare{a}{b}" for b in letters]) for a in letters]
+    for text in texts:
+        ids, offsets = encoder.encode(pa.array([text, None]))
+        assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids + [2, 2]
+        assert offsets.tolist() == [0, len(ids) - 1, len(ids)] and len(encoder.numbers) <= 40
+    # a word that came twice lasts while rare ones go, and marks are no part of it
+    assert asked[b"often"] == asked[b"###"] == 1 and b"often###" not in asked and len(asked) == 402
+
+
+def test_ids_of_odd_words():
+    from tidebar.llm import packing
+
+    encoder = packing.WordEncoder(read_vocabulary(), 2)
+    assert encoder.plain is not encoder.tokenizer
+    assert packing.plain_tokenizer(read_vocabulary().replace('"type":"NFC"', '"type":"NFKC"').replace('"type": "NFC"', '"type": "NFKC"')) is None
+    draw, alphabet = random.Random(3), [*"abcéÉñßÿĀz AZ  \t\n.,#$%&*'\"()[]<>|=+~^`{}@-_/\\:;!?01", "'s", "'re", "<|endoftext|>", "́", "̸", "̇", "İ", "日本", "😀", "\x85"]
+    texts = ["".join(draw.choices(alphabet, k=draw.randint(0, 60))) for _ in range(1500)]
+    for first in range(0, len(texts), 100):
+        ids, offsets = encoder.encode(pa.array(texts[first : first + 100]))
+        for k, text in enumerate(texts[first : first + 100]):
+            assert ids[offsets[k] : offsets[k + 1]].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids + [2], text

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,23 +17,28 @@ from tidebar.llm.common import distinct_words, give_back, joined_bytes, lower_as
 LONGEST, END, KEPT_WORDS = 4096, 2, 300_000
 #: Bytes of text that share one list of distinct words, and plain words that are encoded as one text.
 WORD_BLOCK, TOGETHER = 4 << 20, 256
-#: Words of Latin letters alone, or of marks alone: one run for the tokenizer.
-PLAIN = re.compile(b"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[.,;:!?]+")
+#: Words of small Latin letters alone, or of marks alone: one run for the tokenizer, which leaves them as they are.
+PLAIN = r"^(?:(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+|[!-&(-/:;=?@]+)$"
+#: ASCII marks before which a letter ends a word; < | > [ ] are left out, as special tokens are written with them.
 MARKS = np.zeros(256, dtype=bool)
-MARKS[list(b".,;:!?\"'()")] = True
+MARKS[list(b"!\"#$%&'()*+,-./:;=?@^`{}~")] = True
+#: What a tokenizer takes as one run, for plain words letters and marks alone.
+RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class WordEncoder:
     """ids of whole texts by way of their distinct words; the tokenizer must drop white space and part letters from marks.
 
     Texts are cut at ASCII white space and after each ASCII letter that a mark follows; there the tokenizer starts anew
-    anyway, so the ids are those of the whole text. Known words are kept from block to block.
+    anyway, so the ids are those of the whole text. Known words are kept from block to block; where they get too many,
+    those met just once go.
     """
 
     def __init__(self, vocabulary: str, end: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
+        self.plain = plain_tokenizer(vocabulary) or self.tokenizer
         self.end = end
         last = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, dtype=bool)
         for token, number in self.tokenizer.get_vocab().items():
@@ -44,14 +50,32 @@ class WordEncoder:
         self.numbers: dict[bytes, int] = {}
         self.ids = np.array([self.end], dtype=np.uint32)
         self.starts, self.lengths = np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.used = np.zeros(1, np.int64)
+
+    def forget(self, room: int) -> None:
+        """Only words met more than once stay, if that leaves room for so many words more, else none."""
+        kept = np.flatnonzero(self.used > 1)
+        kept = kept[kept > 0]
+        if len(kept) + room > KEPT_WORDS:
+            self.clear()
+            return
+        place = np.zeros(len(self.used), np.int64)
+        place[kept] = np.arange(1, len(kept) + 1)
+        self.numbers = {w: p for w, p in zip(self.numbers, place[1:].tolist()) if p}
+        kept = np.insert(kept, 0, 0)
+        lengths = self.lengths[kept]
+        starts = np.cumsum(lengths) - lengths
+        self.ids = self.ids[np.repeat(self.starts[kept] - starts, lengths) + np.arange(int(lengths.sum()))]
+        # half the count: words of long ago go in the end
+        self.starts, self.lengths, self.used = starts, lengths, self.used[kept] >> 1
 
     def encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Lengths and ids of words. Plain ones (letters alone, or one run of marks) end at the only id that closes a
         word, so many of them are encoded as one text; the others are encoded one by one."""
-        simple = [bool(PLAIN.fullmatch(w)) for w in words]
+        simple = pc.match_substring_regex(pa.array(words, pa.binary()), PLAIN).to_pylist()
         easy = [w.decode() for w, ok in zip(words, simple) if ok]
         lines = [" ".join(easy[i : i + TOGETHER]) for i in range(0, len(easy), TOGETHER)]
-        flat = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+        flat = [np.array(x.ids, np.uint32) for x in self.plain.encode_batch_fast(lines, add_special_tokens=False)]
         flat = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
         easy_ends = np.flatnonzero(self.last[flat]) + 1
         if len(easy_ends) != len(easy):
@@ -72,10 +96,11 @@ class WordEncoder:
     def known(self, words: list[bytes]) -> np.ndarray:
         """The number of each word, from 1; number 0 stands for the end of a document."""
         numbers = self.numbers
-        if len(numbers) + len(words) > KEPT_WORDS:
-            self.clear()
-            numbers = self.numbers
         new = [w for w in words if w not in numbers]
+        if len(numbers) + len(new) > KEPT_WORDS:
+            self.forget(len(words))
+            numbers = self.numbers
+            new = [w for w in words if w not in numbers]
         if new:
             lengths, flat = self.encoded(new)
             begin = len(self.lengths)
@@ -83,6 +108,7 @@ class WordEncoder:
             self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(lengths) - lengths))
             self.lengths = np.concatenate((self.lengths, lengths))
             self.ids = np.concatenate((self.ids, flat))
+            self.used = np.concatenate((self.used, np.zeros(len(new), np.int64)))
         return np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
 
     def encode(self, block: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -96,6 +122,7 @@ class WordEncoder:
         starts, ends, rows = split_words(data, offsets, cuts)
         codes, words = distinct_words(data, starts, ends)
         number = self.known(words.to_pylist())
+        self.used[number] += np.bincount(codes, minlength=len(number))
         sequence = np.insert(number[codes], np.searchsorted(rows, np.arange(len(block)), side="right"), 0)
         lengths = self.lengths[sequence]
         stops = np.cumsum(lengths)
@@ -104,6 +131,30 @@ class WordEncoder:
         return ids, np.concatenate(([0], stops[np.flatnonzero(sequence == 0)]))
 
 
+def plain_tokenizer(vocabulary: str):
+    """A tokenizer for plain words with a space between, without the steps that leave these as they are; None where the
+    file has other steps."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    def steps(name, inner):
+        part = json.loads(vocabulary).get(name) or {}
+        return part.get(inner) or [part]
+
+    blanks = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    runs = {"type": "Split", "pattern": {"Regex": RUNS}, "behavior": "Removed", "invert": True}
+    bytes_of = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    if any(x != blanks and x.get("type") not in ("NFC", "Lowercase") for x in steps("normalizer", "normalizers")):
+        return None
+    if steps("pre_tokenizer", "pretokenizers") != [runs, bytes_of]:
+        return None
+    found = Tokenizer.from_str(vocabulary)
+    found.normalizer = None
+    found.pre_tokenizer = pre_tokenizers.Sequence(
+        [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+    )
+    return found
+
+
 def power_pieces(tokens: np.ndarray, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """row, start, length of the pieces: as many of the longest as fit, then the binary digits of the rest, long first."""
     top = longest.bit_length() - 1
