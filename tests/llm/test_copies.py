@@ -395,3 +395,21 @@ def test_few_rows_lie_in_few_partitions(spark):
     from tidebar.llm.common import few
 
     assert [few(spark.range(0, 1000, 1, 50), n).rdd.getNumPartitions() for n in (0, 1000, 600_000, 10**9)] == [1, 1, 4, 50]
+
+
+def test_short_lists_of_similar_pairs_are_few_tasks(spark, monkeypatch):
+    from tidebar.llm import simhash as module
+
+    parts = []
+    monkeypatch.setattr(module, "components", lambda edges: parts.append(edges.rdd.getNumPartitions()) or components(edges))
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*words[:30], *(f"x{k}y{i}" for i in range(5 * (k % 3)))]) for k in range(12)] + [" ".join(words)] * 2
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = near_duplicates(df, rounds=0).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == len(texts) and sum(not r.kept for r in got) >= 4
+    # a list of some pairs is one partition, however many tasks wrote it
+    assert len(parts) > 1 and all(n <= k for k, n in enumerate(parts, 1)), parts

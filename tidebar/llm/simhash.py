@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebar.llm.common import checkpointed, give_back, whole_text
+from tidebar.llm.common import checkpointed, few, give_back, whole_text
 from tidebar.llm.components import components
 
 #: Seed of the shingle hash and shingles hashed at a time, so one very long text needs bounded memory.
@@ -379,12 +379,14 @@ def unsettled(met: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def similar(docs: DataFrame, node: Column, sets: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets have the similarity: by size and wide sketch first, then exactly."""
+    """The pairs (a, b) of nodes whose shingle sets have the similarity: by size and wide sketch first, then exactly. A short list has
+    few partitions: lists of several rounds go into one, whose partitions are tasks of each round to come."""
     wide = lambda x: sets.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("wide").alias(f"wide_{x}"))
     likely = pairs.join(wide("a"), "a").join(wide("b"), "b").where(near_in_size(similarity))
     likely = checkpointed(likely_by_wide(likely, similarity).select("a", "b"))
-    if likely.isEmpty():
-        return likely
+    count = likely.count()
+    if not count:
+        return few(likely, 0)
     # exact check: the whole sets of the texts that a likely pair names; only these (and a few by chance) are shuffled
     wanted = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets_of = checkpointed(
@@ -399,7 +401,8 @@ def similar(docs: DataFrame, node: Column, sets: DataFrame, pairs: DataFrame, wi
         .join(sets_of.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
         .select("a", "b", F.when(whole == 0, 1.0).otherwise(both / whole).alias("likeness"))
     )
-    return checkpointed(checked.where(F.col("likeness") >= similarity).select("a", "b"))
+    # written by all tasks, then read by few
+    return few(checkpointed(checked.where(F.col("likeness") >= similarity).select("a", "b")), count)
 
 
 def wanted_sets(wanted: DataFrame, width: int):
